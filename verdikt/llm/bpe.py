@@ -18,6 +18,7 @@ Strings of special tokens inside a text are ordinary text.
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 from array import array
@@ -27,8 +28,29 @@ import numpy as np
 
 BORDER = re.compile(r"(?<=\S) (?=\S)")
 ODD_SPACE = re.compile(r"[^\S \n]|\s | \s")
-MARKS = rb"!-&(-/:-@[-`{-~"
-PARTED = re.compile(rb"( ?[" + MARKS + rb"]*)([^\x00-\x40\x5b-\x60\x7b-\x7f]+)([" + MARKS + rb"]*)", re.DOTALL)
+#: ASCII punctuation but the apostrophe, which begins contractions.
+MARKS = bytes(c for c in range(33, 127) if not chr(c).isalnum() and c != 39)
+
+
+class Pieces(dict):
+    """Numbers of pieces in the order in which they are first asked for; ``new`` has those not learned yet."""
+
+    def __init__(self):
+        self.new: list[bytes] = []
+
+    def __missing__(self, x: bytes) -> int:
+        self[x] = k = len(self)
+        self.new.append(x)
+        return k
+
+
+def alphabet() -> dict[int, int]:
+    """Bytes as byte-level tokenizers write them: printable ones as they are, the others from U+0100 on."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    return {b: b for b in printable} | {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in printable)}
+
+
+ALPHABET = alphabet()
 
 
 def mode_of(tokenizer) -> str:
@@ -46,19 +68,20 @@ def mode_of(tokenizer) -> str:
 class Encoder:
     """``encode(texts)`` gives all ids in a row and the number of ids of each text."""
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 300_000, most_parts: int = 1_200_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.mode, self.most = mode_of(self.tokenizer), most
+        self.mode, self.most, self.most_parts = mode_of(self.tokenizer), most, most_parts
+        self.parts: dict[bytes, bytes] = {}  # pre-tokens, with their ids as unsigned 32 bits (or 16, where they fit)
+        self.kind = "H" if self.tokenizer.get_vocab_size() <= 1 << 16 else "I"
         self.clear()
 
     def clear(self) -> None:
-        self.known: dict[bytes, int] = {}
-        self.parts: dict[bytes, list[int]] = {}
-        self.begin, self.length, self.pool = array("q"), array("q"), array("I")
+        self.known = Pieces()  # pieces between white space, by place in begin and length
+        self.begin, self.length, self.pool = array("q"), array("q"), array(self.kind)
 
     def cut(self, text: bytes) -> list[bytes]:
         if self.mode == "words":
@@ -74,48 +97,73 @@ class Encoder:
             return cut[:1] + [b" " + x for x in cut[1:]]
         return [text]
 
-    def learn(self, new: Sequence[bytes]) -> None:
-        plans, asked = [], {}
-        for x in new:
-            m = PARTED.fullmatch(x)
-            if m and m[2].decode().isalpha():
-                # A space belongs to what follows it.
-                plan = [m[1], m[2], m[3]] if m[1].strip(b" ") else [m[1] + m[2], m[3]]
-            else:
-                plan = [x]
-            plan = [p for p in plan if p]
-            plans.append(plan)
+    def ids_of(self, part: bytes) -> bytes | None:
+        """Ids of a pre-token by the model alone, if the steps before it only lower and map the part: letters
+        below U+0180 (already composed) after at most a space.  None: the library's whole way is needed."""
+        text = part.decode()
+        letters = text[1:] if text[:1] == " " else text
+        if not letters.isalpha() or max(letters) >= "\u0180" or "\u0130" in letters:
+            return None
+        plain = (text.lower().encode() if self.mode == "words" else part).decode("latin-1").translate(ALPHABET)
+        return array(self.kind, [t.id for t in self.tokenizer.model.tokenize(plain)]).tobytes()
+
+    def split(self, x: bytes) -> tuple[bytes, ...]:
+        """Punctuation, letters and punctuation of a piece, or the piece.  A space belongs to what follows it."""
+        space = self.mode == "spaces" and x[:1] == b" "
+        right = (x[1:] if space else x).lstrip(MARKS)
+        core = right.rstrip(MARKS)
+        if not core or len(core) == len(x) or not core.decode().isalpha():
+            return (x,)
+        lead, trail = x[: len(x) - len(right)], right[len(core) :]
+        if lead == b" ":
+            lead, core = b"", b" " + core
+        return tuple(p for p in (lead, core, trail) if p)
+
+    def learn(self) -> None:
+        """Take in the pieces in ``known.new``, in order."""
+        parts, hard, plans = self.parts, {}, []
+        for x in self.known.new:
+            plan = self.split(x) if self.mode else (x,)
             for p in plan:
-                if p not in self.parts:
-                    asked[p] = None
-        asked = list(asked)
+                if p not in parts and p not in hard:
+                    ids = self.ids_of(p) if self.mode else None
+                    if ids is None:
+                        hard[p] = None
+                    else:
+                        parts[p] = ids
+            plans.append(plan)
+        asked = list(hard)
         for k in range(0, len(asked), 20_000):
             some = asked[k : k + 20_000]
             for p, e in zip(some, self.tokenizer.encode_batch([p.decode() for p in some], add_special_tokens=False)):
-                self.parts[p] = e.ids
-        for x, plan in zip(new, plans):
-            self.known[x] = len(self.begin)
+                parts[p] = array(self.kind, e.ids).tobytes()
+        for plan in plans:
+            ids = b"".join([parts[p] for p in plan])
             self.begin.append(len(self.pool))
-            for p in plan:
-                self.pool.extend(self.parts[p])
+            self.pool.frombytes(ids)
             self.length.append(len(self.pool) - self.begin[-1])
+        self.known.new = []
 
     def encode(self, texts: Sequence[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
         """Of UTF-8 texts (None: empty): ids (uint32), and how many of them each text has."""
-        if len(self.known) > self.most or len(self.parts) > self.most:
+        if len(self.known) > self.most:
             self.clear()
-        cuts = [self.cut(x or b"") for x in texts]
-        new = {x for c in cuts for x in c if x not in self.known}
-        if new:
-            self.learn(sorted(new))
-        sizes = np.fromiter(map(len, cuts), np.int64, len(cuts))
-        get = self.known.__getitem__
-        at = np.fromiter((get(x) for c in cuts for x in c), np.int64, int(sizes.sum()))
+        if len(self.parts) > self.most_parts:
+            self.parts.clear()
+        gc.disable()  # many small objects, no cycles
+        get, found = self.known.__getitem__, []
+        for x in texts:
+            cut = self.cut(x or b"")
+            found.append(np.fromiter(map(get, cut), np.int64, len(cut)))
+        self.learn()
+        gc.enable()
+        sizes = np.array([len(x) for x in found], np.int64)
+        at = np.concatenate(found) if found else np.zeros(0, np.int64)
         if not len(at):
-            return np.zeros(0, np.uint32), np.zeros(len(cuts), np.int64)
-        begin, length, pool = np.array(self.begin)[at], np.array(self.length)[at], np.array(self.pool, dtype=np.uint32)
+            return np.zeros(0, np.uint32), np.zeros(len(found), np.int64)
+        begin, length, pool = np.frombuffer(self.begin, np.int64)[at], np.frombuffer(self.length, np.int64)[at], np.array(self.pool, np.uint32)
         ends = np.cumsum(length)
-        ids = pool[np.repeat(begin - (ends - length), length) + np.arange(ends[-1] if len(ends) else 0)]
+        ids = pool[np.repeat(begin - (ends - length), length) + np.arange(ends[-1])]
         bounds = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(sizes)])]
         return ids, np.diff(bounds)
 
