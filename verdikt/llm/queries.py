@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, html, packing, quality, token_store, toxicity
+from . import chat, decontaminate, html, ngram_join, packing, quality, token_store, toxicity
 from .common import held_out, table, work_path
 
 
@@ -70,6 +70,10 @@ def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
 
 
+def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(table(spark, sf_dir, "documents"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"))
 
@@ -80,6 +84,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_toxicity": op2_toxicity,
         "op7_decontamination": op7_decontamination,
         "op9_html_extraction": op9_html_extraction,
+        "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
         "op4_token_store": op4_token_store,
         "op8_packing": op8_packing,
         "op6_quality_rules": op6_quality_rules,
