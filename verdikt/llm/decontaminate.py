@@ -205,3 +205,11 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, width: int = 10) -
     path = work_path(spark, "postings")
     build_index(documents, path)
     return search(spark.read.schema(SEGMENT).parquet(path), benchmark, width)
+
+
+def keep_clean(documents: DataFrame, benchmark: DataFrame, width: int = 10) -> DataFrame:
+    """The documents without a window of the benchmark, with all their columns.  A doc_id with a hit goes with all its
+    rows; rows with a null doc_id are judged by their text's hash."""
+    named = documents.withColumn("_key", F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")))
+    hit = decontaminate(named.select(F.col("_key").alias("doc_id"), "text"), benchmark, width).where("n_hit > 0").select(F.col("doc_id").alias("_key")).distinct()
+    return named.join(hit, "_key", "left_anti").select(documents.columns)

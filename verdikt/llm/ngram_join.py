@@ -25,6 +25,7 @@ join; a null doc_id stays null.  Other columns are ignored.
 
 from __future__ import annotations
 
+import functools
 import math
 
 import numpy as np
@@ -234,9 +235,8 @@ def contested(members_of: DataFrame, roots: DataFrame, classes: DataFrame, perce
     return dealt.repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j").mapInArrow(rows_of, "a bigint, b bigint").distinct()
 
 
-def verified(pairs: DataFrame, classes: DataFrame, documents: DataFrame, width: int, percent: int, salts: int = 16) -> DataFrame:
-    """The pairs (a, b) of classes whose sets are similar, by their texts.  b's texts come to a's, which
-    is sent to each of ``salts`` parts of its pairs that has one."""
+def texts_of(pairs: DataFrame, classes: DataFrame, documents: DataFrame, width: int) -> DataFrame:
+    """``key, text`` of the classes in pairs."""
     wanted = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
     ids = wanted.join(classes.select("key", "doc_id"), "key")
 
@@ -248,7 +248,12 @@ def verified(pairs: DataFrame, classes: DataFrame, documents: DataFrame, width:
             same = [class_key(s) == k for s, k in zip(shingle_sets(texts, width), batch.column(0).to_pylist())]
             yield batch.filter(pa.array(same, pa.bool_()))
 
-    texts = documents.join(ids, "doc_id").select("key", "text").mapInArrow(right, "key bigint, text binary").dropDuplicates(["key"])
+    return documents.join(ids, "doc_id").select("key", "text").mapInArrow(right, "key bigint, text binary").dropDuplicates(["key"])
+
+
+def verified(pairs: DataFrame, texts: DataFrame, sets, percent: int, salts: int = 16) -> DataFrame:
+    """The pairs (a, b) of classes whose sets are similar; sets(texts) gives sorted distinct elements.
+    b's texts come to a's, which is sent to each of ``salts`` parts of its pairs that has one."""
     texts = written(texts, "texts")
     dealt = pairs.withColumn("part", F.pmod(F.xxhash64("b"), F.lit(salts)).cast("int"))
     others = dealt.join(texts.withColumnRenamed("key", "b"), "b").select("a", "part", F.lit(1).alias("side"), "b", "text")
@@ -261,7 +266,7 @@ def verified(pairs: DataFrame, classes: DataFrame, documents: DataFrame, width:
         for batch in batches:
             a, side, b = (batch.column(k).to_pylist() for k in (0, 2, 3))
             out = []
-            for x, s, y, elements in zip(a, side, b, shingle_sets(batch.column(4).to_pylist(), width)):
+            for x, s, y, elements in zip(a, side, b, sets(batch.column(4).to_pylist())):
                 if s == 0:
                     pivot = elements
                 elif similar(pivot, elements, percent):
@@ -294,13 +299,20 @@ def join(documents: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
     classes = written(classes, "classes")
     buckets = written(members(base.where("key is not null").select(F.explode("sigs").alias("sig"), "key")), "buckets")
     pairs = buckets.where("key != pivot").select(F.col("pivot").alias("a"), F.col("key").alias("b")).distinct()
-    links = verified(pairs, classes, rows, width, percent)
+    sets = functools.partial(shingle_sets, width=width)
+    links = verified(pairs, texts_of(pairs, classes, rows, width), sets, percent)
     roots = components(links)
     rest = written(contested(buckets, roots, classes, percent), "rest")
     rest = rest.join(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-    roots = components(links.union(verified(rest, classes, rows, width, percent)))
+    roots = components(links.union(verified(rest, texts_of(rest, classes, rows, width), sets, percent)))
     named = classes.select("key", "doc_id").join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     smallest = named.groupBy("root").agg(F.min(F.when(F.col("doc_id") != NO_ID, F.col("doc_id"))).alias("component_id"))
     by_key = named.join(smallest, "root").select("key", "component_id")
     real = F.when(F.col("doc_id") != NO_ID, F.col("doc_id"))
     return base.select("doc_id", "size", "key").join(by_key, "key", "left").select(real.alias("doc_id"), F.col("size").alias("n_shingles"), F.when(F.col("key").isNull(), real).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def keep_one(documents: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """The documents, of each component only the one with the smallest doc_id (all its rows)."""
+    ids = join(documents.select("doc_id", "text"), width, percent).where("doc_id is not null and component_id < doc_id").select("doc_id").distinct()
+    return documents.join(ids, "doc_id", "left_anti").select(documents.columns)

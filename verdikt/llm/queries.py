@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, html, ngram_join, packing, quality, token_store, toxicity
+from . import chat, decontaminate, html, line_dedup, ngram_join, packing, quality, token_store, toxicity
 from .common import held_out, table, work_path
 
 
@@ -74,6 +74,19 @@ def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(table(spark, sf_dir, "documents"))
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document; removed: places of removed lines, kept_in: the documents that keep such a line."""
+    out = line_dedup.dedup(table(spark, sf_dir, "documents"))
+    none = F.array()
+    return out.select("doc_id", F.col("_n_lines").alias("n_lines"), F.when(F.col("_removed").isNull(), 0).otherwise(F.size("_removed")).cast("long").alias("n_removed"), F.coalesce("_removed", none.cast("array<int>")).alias("removed"), F.coalesce("_kept_in", none.cast("array<bigint>")).alias("kept_in"), "text")
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"))
 
@@ -85,6 +98,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_decontamination": op7_decontamination,
         "op9_html_extraction": op9_html_extraction,
         "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
+        "op10_line_dedup": op10_line_dedup,
+        "pipeline": pipeline,
         "op4_token_store": op4_token_store,
         "op8_packing": op8_packing,
         "op6_quality_rules": op6_quality_rules,
