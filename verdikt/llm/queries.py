@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, html, line_dedup, ngram_join, packing, quality, token_store, toxicity
+from . import chat, decontaminate, html, line_dedup, ngram_join, packing, quality, suffix_tree, token_store, toxicity
 from .common import held_out, table, work_path
 
 
@@ -87,6 +87,11 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_tree.score(table(spark, sf_dir, "documents"), ~held_out(F.col("doc_id"), 7))
+    return out.select("doc_id", (~F.col("training")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"))
 
@@ -100,6 +105,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
         "op10_line_dedup": op10_line_dedup,
         "pipeline": pipeline,
+        "op5_lm_scoring": op5_lm_scoring,
         "op4_token_store": op4_token_store,
         "op8_packing": op8_packing,
         "op6_quality_rules": op6_quality_rules,
