@@ -1,0 +1 @@
+"""Checks of AI responses as column expressions over DataFrames."""
