@@ -4,7 +4,7 @@ Lines are compared without case and outer or doubled white space.  A line's set:
 characters (each folded to a byte; shorter lines: the line).  MinHash: for each of ``bands * rows`` points of the hash
 range the next hash of the line, round the range, so bands of ``rows`` values agree with a probability
 of about the Jaccard coefficient to the power ``rows``.  Lines that share a band are candidates: all of a bucket are verified
-exactly (Jaccard of the sets, 80 % or more) against its smallest; those that stay in different components
+exactly (Jaccard of the sets, 80 % or more) against its smallest, then two others; those that stay in different components
 are verified against each other.  Distributed union-find then gives components, of which the first line
 (by doc_id, then place) stays and all others are removed.
 
@@ -25,8 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import mix, signed, written
-from .graph import components
-from .ngram_join import BINS, NO_ID, contested, members, verified
+from .ngram_join import BINS, NO_ID, members, resolve
 
 SHINGLE = 8
 FILTER_BITS = 24
@@ -125,14 +124,10 @@ def duplicates(documents: DataFrame, bands: int, rows: int, percent: int, least_
             yield pa.RecordBatch.from_arrays([sigs, pa.array(np.repeat(keys, bands))], ["sig", "key"])
 
     buckets = written(members(base.select("new", "sigs").mapInArrow(signatures, "sig bigint, key bigint")), "buckets")
-    pairs = buckets.where("key != pivot").select(F.col("pivot").alias("a"), F.col("key").alias("b")).distinct()
-    links = verified(pairs, texts_of(pairs, base_rows, least_words), line_sets, percent)
-    roots = components(links)
+    wanted = buckets.select("key").distinct()
     wide = base.select(F.explode(F.arrays_zip("new", "sizes")).alias("x")).select(F.col("x.new").alias("key"), F.col("x.sizes").cast("long").alias("size"))
-    classes = wide.join(buckets.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"]).withColumn("histogram", F.lit(bytes(4 * BINS)))
-    rest = written(contested(buckets, roots, classes, percent), "rest")
-    rest = rest.join(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-    roots = components(links.union(verified(rest, texts_of(rest, base_rows, least_words), line_sets, percent)))
+    classes = written(wide.join(wanted, "key", "left_semi").dropDuplicates(["key"]), "sizes").withColumn("histogram", F.lit(bytes(4 * BINS)))
+    roots = resolve(buckets, classes, written(texts_of(wanted, base_rows, least_words), "texts"), line_sets, percent)
     lines = base.select("doc_id", "uid", F.explode(F.arrays_zip("places", "keys")).alias("x")).select("doc_id", "uid", F.col("x.places").alias("place"), F.col("x.keys").alias("key"))
     lines = lines.join(roots.withColumnRenamed("node", "key"), "key", "left").select("doc_id", "uid", "place", F.coalesce("root", "key").alias("root"))
     first = lines.groupBy("root").agg(F.min(F.struct("doc_id", "uid", "place")).alias("first"), F.count("*").alias("n")).where("n > 1").select("root", "first")
@@ -141,9 +136,9 @@ def duplicates(documents: DataFrame, bands: int, rows: int, percent: int, least_
     return gone.groupBy("uid").agg(F.sort_array(F.collect_set("place")).alias("removed"), F.sort_array(F.collect_set(F.when(F.col("first.doc_id") != NO_ID, F.col("first.doc_id")))).alias("kept_in"))
 
 
-def texts_of(pairs: DataFrame, documents: DataFrame, least_words: int) -> DataFrame:
-    """``key, text`` (normal form) of the lines in pairs."""
-    wanted = written(pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct(), "wanted")
+def texts_of(wanted: DataFrame, documents: DataFrame, least_words: int) -> DataFrame:
+    """``key, text`` (normal form) of the wanted lines (``key``)."""
+    wanted = written(wanted, "wanted")
     bit = F.pmod(F.col("key"), F.lit(1 << FILTER_BITS))
     words = wanted.groupBy(F.shiftright(bit, 6).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(key, {1 << FILTER_BITS}) & 63 as int))")).alias("bits"))
     table = np.zeros(1 << (FILTER_BITS - 6), np.int64)
@@ -169,15 +164,15 @@ def texts_of(pairs: DataFrame, documents: DataFrame, least_words: int) -> DataFr
 
 def dedup(documents: DataFrame, bands: int = 8, rows: int = 5, percent: int = 80, least_words: int = 5) -> DataFrame:
     """The documents with duplicate lines removed from ``text``, and columns ``_n_lines, _removed, _kept_in``."""
-    named = documents.withColumn("uid", F.xxhash64("doc_id", "text"))
-    gone = duplicates(named, bands, rows, percent, least_words)
+    named = documents.withColumn("_uid", F.xxhash64("doc_id", "text"))
+    gone = duplicates(named.select("doc_id", F.col("_uid").alias("uid"), "text"), bands, rows, percent, least_words).withColumnRenamed("uid", "_uid")
     lines = F.split("text", "\n")
     left = F.array_join(F.filter(F.transform(lines, lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda s: ~F.array_contains("_removed", s["i"]))["x"], "\n")
     return (
-        named.join(gone.withColumnRenamed("removed", "_removed").withColumnRenamed("kept_in", "_kept_in"), "uid", "left")
+        named.join(gone.withColumnRenamed("removed", "_removed").withColumnRenamed("kept_in", "_kept_in"), "_uid", "left")
         .withColumn("_n_lines", F.size(lines).cast("long"))
         .withColumn("text", F.when(F.col("_removed").isNull(), F.col("text")).otherwise(left))
-        .drop("uid")
+        .drop("_uid")
     )
 
 

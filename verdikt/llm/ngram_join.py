@@ -12,7 +12,7 @@ not signatures: ``slack`` more segments make up for those that two sets can shar
 them than that does keep them.
 
 Copies (equal sets) are one class from the start.  In each bucket of a signature all classes are verified
-against its smallest one; classes of a bucket that are then in different components are verified against
+against its smallest one, then those in other components against two drawn ones; classes of a bucket that are then in different components are verified against
 each other, in blocks, unless sizes or histograms of their elements (64 bins, whose differences bound the sets')
 rule a link out.  So every pair that shares a signature is verified, or linked by verified pairs, or ruled out.
 
@@ -235,9 +235,8 @@ def contested(members_of: DataFrame, roots: DataFrame, classes: DataFrame, perce
     return dealt.repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j").mapInArrow(rows_of, "a bigint, b bigint").distinct()
 
 
-def texts_of(pairs: DataFrame, classes: DataFrame, documents: DataFrame, width: int) -> DataFrame:
-    """``key, text`` of the classes in pairs."""
-    wanted = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
+def texts_of(wanted: DataFrame, classes: DataFrame, documents: DataFrame, width: int) -> DataFrame:
+    """``key, text`` of the wanted classes (``key``)."""
     ids = wanted.join(classes.select("key", "doc_id"), "key")
 
     def right(batches):
@@ -254,7 +253,6 @@ def texts_of(pairs: DataFrame, classes: DataFrame, documents: DataFrame, width:
 def verified(pairs: DataFrame, texts: DataFrame, sets, percent: int, salts: int = 16) -> DataFrame:
     """The pairs (a, b) of classes whose sets are similar; sets(texts) gives sorted distinct elements.
     b's texts come to a's, which is sent to each of ``salts`` parts of its pairs that has one."""
-    texts = written(texts, "texts")
     dealt = pairs.withColumn("part", F.pmod(F.xxhash64("b"), F.lit(salts)).cast("int"))
     others = dealt.join(texts.withColumnRenamed("key", "b"), "b").select("a", "part", F.lit(1).alias("side"), "b", "text")
     pivots = dealt.select("a", "part").distinct().join(texts.withColumnRenamed("key", "a"), "a").select("a", "part", F.lit(0).alias("side"), F.col("a").alias("b"), "text")
@@ -276,6 +274,29 @@ def verified(pairs: DataFrame, texts: DataFrame, sets, percent: int, salts: int
     return written(others.union(pivots).repartition("a", "part").sortWithinPartitions("a", "part", "side").mapInArrow(linked, "a bigint, b bigint"), "links")
 
 
+def restarted(buckets: DataFrame, roots: DataFrame, turn: int) -> DataFrame:
+    """Pairs (a, b) of each bucket's pivot, another one each turn, with its members in other components."""
+    known = buckets.select("sig", "key").join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+    drawn = F.min(F.struct(F.xxhash64("key", F.lit(turn)).alias("h"), F.col("key").alias("pivot"), F.col("root").alias("pivot_root")))
+    open_ = known.groupBy("sig").agg(F.min("root").alias("x"), F.max("root").alias("y"), drawn.alias("drawn")).where("x != y").select("sig", "drawn.pivot", "drawn.pivot_root")
+    pairs = known.join(open_, "sig").where("root != pivot_root")
+    return pairs.select(F.least("key", "pivot").alias("a"), F.greatest("key", "pivot").alias("b")).distinct()
+
+
+def resolve(buckets: DataFrame, classes: DataFrame, texts: DataFrame, sets, percent: int, turns: int = 2) -> DataFrame:
+    """``node, root`` of the classes linked to others.  First all of a bucket are verified against its pivot;
+    in later turns against other pivots, if still in different components; at last all that still are, pair by pair."""
+    done = written(buckets.where("key != pivot").select(F.least("key", "pivot").alias("a"), F.greatest("key", "pivot").alias("b")).distinct(), "pairs")
+    roots = components(verified(done, texts, sets, percent))
+    for turn in range(1, turns + 2):
+        more = restarted(buckets, roots, turn) if turn <= turns else contested(buckets, roots, classes, percent)
+        more = written(more.join(done, ["a", "b"], "left_anti"), "pairs")
+        links = verified(more, texts, sets, percent)
+        roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(links))
+        done = done.union(more)
+    return roots
+
+
 def join(documents: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
     """``doc_id, n_shingles, component_id`` of each row of ``doc_id, text``."""
     rows = documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col("text").cast("binary").alias("text"))
@@ -295,18 +316,13 @@ def join(documents: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, t) for x, (_, t) in zip(out, kinds)], [n for n, _ in kinds])
 
     base = written(rows.mapInArrow(signed_rows, "doc_id bigint, size bigint, key bigint, histogram binary, sigs array<bigint>"), "sets")
-    classes = base.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("size").alias("size"), F.first("histogram").alias("histogram"))
+    classes = base.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.min(F.when(F.col("doc_id") != NO_ID, F.col("doc_id"))).alias("smallest"), F.first("size").alias("size"), F.first("histogram").alias("histogram"))
     classes = written(classes, "classes")
     buckets = written(members(base.where("key is not null").select(F.explode("sigs").alias("sig"), "key")), "buckets")
-    pairs = buckets.where("key != pivot").select(F.col("pivot").alias("a"), F.col("key").alias("b")).distinct()
-    sets = functools.partial(shingle_sets, width=width)
-    links = verified(pairs, texts_of(pairs, classes, rows, width), sets, percent)
-    roots = components(links)
-    rest = written(contested(buckets, roots, classes, percent), "rest")
-    rest = rest.join(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-    roots = components(links.union(verified(rest, texts_of(rest, classes, rows, width), sets, percent)))
-    named = classes.select("key", "doc_id").join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
-    smallest = named.groupBy("root").agg(F.min(F.when(F.col("doc_id") != NO_ID, F.col("doc_id"))).alias("component_id"))
+    texts = written(texts_of(buckets.select("key").distinct(), classes, rows, width), "texts")
+    roots = resolve(buckets, classes, texts, functools.partial(shingle_sets, width=width), percent)
+    named = classes.select("key", "smallest").join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+    smallest = named.groupBy("root").agg(F.min("smallest").alias("component_id"))
     by_key = named.join(smallest, "root").select("key", "component_id")
     real = F.when(F.col("doc_id") != NO_ID, F.col("doc_id"))
     return base.select("doc_id", "size", "key").join(by_key, "key", "left").select(real.alias("doc_id"), F.col("size").alias("n_shingles"), F.when(F.col("key").isNull(), real).otherwise(F.col("component_id")).alias("component_id"))

@@ -171,7 +171,8 @@ class Tree:
     def scores(self, h: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of each token: base and score without the part of words outside the dictionary, and whether it is known."""
         at = numbers(h, self.words)
-        base = np.where(at >= 0, self.root[np.maximum(at, 0)], 0.0) - self.log_z
+        root = np.append(self.root, 0.0)  # the last one is for words that are not there
+        base = root[at] - self.log_z
         score = base.copy()
         place = np.arange(len(h)) - np.repeat(begins[:-1], np.diff(begins))
         before = at.copy()
@@ -190,7 +191,7 @@ class Tree:
             where, context, state = where[state >= 0], context[state >= 0], state[state >= 0]
             stored = np.where(at[where] >= 0, numbers((context << 20) | np.maximum(at[where], 0), codes), -1)
             score[where] = np.where(stored >= 0, logs[np.maximum(stored, 0)], rest[state] + score[where])
-        return base, score, (at >= 0) & (self.root[np.maximum(at, 0)] > 0)
+        return base, score, root[at] > 0
 
 
 def grow(words: np.ndarray, counts: np.ndarray, total: int, distinct: int, stored: tuple) -> Tree:
