@@ -16,10 +16,13 @@ SEVERITIES = ("error", "warning", "info")
 def parsed(responses: DataFrame, raw: str = "raw", context: str | None = None) -> DataFrame:
     """Adds ``_raw, _value, _context``.  Text that is not JSON (or NaN, or repeats a key) is a response of type text."""
     as_text = F.to_json(F.struct(F.lit("text").alias("type"), F.col(raw).alias("content")))
-    json_text = F.when(F.try_parse_json(F.col(raw)).isNull() & F.col(raw).isNotNull(), as_text).otherwise(F.col(raw))
-    out = responses.withColumn("_raw", json_text)
+    # Inside brackets, so that what stands behind a first value is not overlooked.
+    out = responses.withColumn("_list", F.try_parse_json(F.concat(F.lit("["), F.col(raw), F.lit("]"))))
+    single = F.coalesce(F.size(F.try_variant_get("_list", "$", "array<variant>")) == 1, F.lit(False)) | F.col(raw).isNull()
+    out = out.withColumn("_single", single).withColumn("_raw", F.when(F.col("_single"), F.col(raw)).otherwise(as_text))
     given = F.lit(None).cast("string") if context is None else F.col(context)
-    return out.withColumns({"_value": F.try_parse_json("_raw"), "_context": F.try_parse_json(given)})
+    value = F.when(F.col("_single"), F.try_variant_get("_list", "$[0]", "variant")).otherwise(F.try_parse_json("_raw"))
+    return out.withColumns({"_value": value, "_context": F.try_parse_json(given)}).drop("_list", "_single")
 
 
 class ResponseVerifier:
