@@ -26,8 +26,11 @@ from collections.abc import Sequence
 
 import numpy as np
 
+#: Marks a text's first piece; no byte of UTF-8.
+FIRST = b"\xff"
 BORDER = re.compile(r"(?<=\S) (?=\S)")
-ODD_SPACE = re.compile(r"[^\S \n]|\s | \s")
+# White space in UTF-8 other than spaces and line ends.
+ODD_BYTES = re.compile(rb"[\x09\x0b-\x0d\x1c-\x1f]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
 #: ASCII punctuation but the apostrophe, which begins contractions.
 MARKS = bytes(c for c in range(33, 127) if not chr(c).isalnum() and c != 39)
 
@@ -89,12 +92,12 @@ class Encoder:
         if not text:
             return []
         if self.mode == "spaces":
-            if b"  " in text or b" \n" in text or b"\n " in text or not text.isascii() or b"\t" in text or b"\r" in text or b"\x0b" in text or b"\x0c" in text or ODD_SPACE.search(text.decode("latin-1")):
-                whole = text.decode()
-                cut = [x.encode() for x in (BORDER.split(whole) if ODD_SPACE.search(whole) else whole.split(" "))]
+            if b"  " in text or b" \n" in text or b"\n " in text or ODD_BYTES.search(text):
+                cut = [x.encode() for x in BORDER.split(text.decode())]
             else:
                 cut = text.split(b" ")
-            return cut[:1] + [b" " + x for x in cut[1:]]
+            cut[0] = FIRST + cut[0]  # all others stand for themselves after a space
+            return cut
         return [text]
 
     def ids_of(self, part: bytes) -> bytes | None:
@@ -123,6 +126,8 @@ class Encoder:
         """Take in the pieces in ``known.new``, in order."""
         parts, hard, plans = self.parts, {}, []
         for x in self.known.new:
+            if self.mode == "spaces":
+                x = x[1:] if x[:1] == FIRST else b" " + x
             plan = self.split(x) if self.mode else (x,)
             for p in plan:
                 if p not in parts and p not in hard:
