@@ -4,8 +4,8 @@ Lines are compared without case and outer or doubled white space.  A line's set:
 characters (each folded to a byte; shorter lines: the line).  MinHash: for each of ``bands * rows`` points of the hash
 range the next hash of the line, round the range, so bands of ``rows`` values agree with a probability
 of about the Jaccard coefficient to the power ``rows``.  Lines that share a band are candidates: all of a bucket are verified
-exactly (Jaccard of the sets, 80 % or more) against its smallest, then two others; those that stay in different components
-are verified against each other.  Distributed union-find then gives components, of which the first line
+exactly (Jaccard of the sets, 80 % or more) against its smallest, then its hubs; those that stay in different components
+are verified against each other in blocks, by exact counts over an inverted list.  Distributed union-find then gives components, of which the first line
 (by doc_id, then place) stays and all others are removed.
 
 Line texts are fetched for candidates only, by a second scan of the documents with a filter of fixed
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import mix, signed, written
-from .ngram_join import BINS, NO_ID, members, resolve
+from .ngram_join import NO_ID, members, resolve
 
 SHINGLE = 8
 FILTER_BITS = 24
@@ -91,7 +91,7 @@ def duplicates(documents: DataFrame, bands: int, rows: int, percent: int, least_
     def signed_rows(batches):
         import pyarrow as pa
 
-        kinds = [("doc_id", pa.int64()), ("uid", pa.int64()), ("places", pa.list_(pa.int32())), ("keys", pa.list_(pa.int64())), ("new", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32())), ("sigs", pa.list_(pa.int64()))]
+        kinds = [("doc_id", pa.int64()), ("uid", pa.int64()), ("places", pa.list_(pa.int32())), ("keys", pa.list_(pa.int64())), ("new", pa.list_(pa.int64())), ("sigs", pa.list_(pa.int64()))]
         seen: set[int] = set()
         for batch in batches:
             for k in range(0, batch.num_rows, 500):
@@ -108,12 +108,12 @@ def duplicates(documents: DataFrame, bands: int, rows: int, percent: int, least_
                             owner.append(d)
                 sigs = signed(band_hashes([x[1] for x in fresh], bands, rows)) if fresh else np.zeros((0, bands), np.int64)
                 cut = np.searchsorted(np.array(owner), np.arange(len(docs) + 1)) if fresh else np.zeros(len(docs) + 1, np.int64)
-                keys, sizes = [x[2] for x in fresh], [max(1, len(x[1].decode()) - SHINGLE + 1) for x in fresh]
+                keys = [x[2] for x in fresh]
                 of = list(zip(cut[:-1].tolist(), cut[1:].tolist()))
-                out = [part.column(0), part.column(1), [[x[0] for x in d] for d in docs], [[x[2] for x in d] for d in docs], [keys[a:b] for a, b in of], [sizes[a:b] for a, b in of], [sigs[a:b].ravel() for a, b in of]]
+                out = [part.column(0), part.column(1), [[x[0] for x in d] for d in docs], [[x[2] for x in d] for d in docs], [keys[a:b] for a, b in of], [sigs[a:b].ravel() for a, b in of]]
                 yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, t) for x, (_, t) in zip(out, kinds)], [n for n, _ in kinds])
 
-    base = written(base_rows.mapInArrow(signed_rows, "doc_id bigint, uid bigint, places array<int>, keys array<bigint>, new array<bigint>, sizes array<int>, sigs array<bigint>"), "lines")
+    base = written(base_rows.mapInArrow(signed_rows, "doc_id bigint, uid bigint, places array<int>, keys array<bigint>, new array<bigint>, sigs array<bigint>"), "lines")
 
     def signatures(batches):
         import pyarrow as pa
@@ -125,9 +125,7 @@ def duplicates(documents: DataFrame, bands: int, rows: int, percent: int, least_
 
     buckets = written(members(base.select("new", "sigs").mapInArrow(signatures, "sig bigint, key bigint")), "buckets")
     wanted = buckets.select("key").distinct()
-    wide = base.select(F.explode(F.arrays_zip("new", "sizes")).alias("x")).select(F.col("x.new").alias("key"), F.col("x.sizes").cast("long").alias("size"))
-    classes = written(wide.join(wanted, "key", "left_semi").dropDuplicates(["key"]), "sizes").withColumn("histogram", F.lit(bytes(4 * BINS)))
-    roots = resolve(buckets, classes, written(texts_of(wanted, base_rows, least_words), "texts"), line_sets, percent)
+    roots = resolve(buckets, None, written(texts_of(wanted, base_rows, least_words), "texts"), line_sets, percent)
     lines = base.select("doc_id", "uid", F.explode(F.arrays_zip("places", "keys")).alias("x")).select("doc_id", "uid", F.col("x.places").alias("place"), F.col("x.keys").alias("key"))
     lines = lines.join(roots.withColumnRenamed("node", "key"), "key", "left").select("doc_id", "uid", "place", F.coalesce("root", "key").alias("root"))
     first = lines.groupBy("root").agg(F.min(F.struct("doc_id", "uid", "place")).alias("first"), F.count("*").alias("n")).where("n > 1").select("root", "first")

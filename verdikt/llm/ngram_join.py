@@ -12,8 +12,8 @@ not signatures: ``slack`` more segments make up for those that two sets can shar
 them than that does keep them.
 
 Copies (equal sets) are one class from the start.  In each bucket of a signature all classes are verified
-against its smallest one, then those in other components against two drawn ones; classes of a bucket that are then in different components are verified against
-each other, in blocks, unless sizes or histograms of their elements (64 bins, whose differences bound the sets')
+against its smallest one, then twice those in other components against its hub (the one with the most links so far); classes of a bucket
+that are then in different components are verified against each other, in blocks, unless sizes or histograms of their elements (64 bins, whose differences bound the sets')
 rule a link out.  So every pair that shares a signature is verified, or linked by verified pairs, or ruled out.
 
 Elements are 64-bit hashes of shingles; classes 64-bit sums of mixed elements.
@@ -190,49 +190,92 @@ def members(signatures: DataFrame) -> DataFrame:
     return signatures.repartition("sig").sortWithinPartitions("sig", "key").mapInArrow(rows, "sig bigint, key bigint, pivot bigint")
 
 
-def contested(members_of: DataFrame, roots: DataFrame, classes: DataFrame, percent: int, block: int = 2048) -> DataFrame:
-    """Pairs (a, b) of classes that share a bucket, are in different components, and pass the bounds."""
+def dealt(members_of: DataFrame, roots: DataFrame, facts: DataFrame, block: int) -> DataFrame:
+    """``sig, i, j, own, key, root`` and the facts of classes (by ``key``) of buckets with several components.
+    Block i meets block j >= i; each row goes to all pairs of blocks that have its own."""
     known = members_of.select("sig", "key").join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     open_ = known.groupBy("sig").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("n")).where("x != y")
-    rows = known.join(open_.select("sig", "n"), "sig").join(classes.select("key", "size", "histogram"), "key")
     blocks = F.ceil(F.col("n") / block).cast("int")
-    mine = rows.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
-    # Block i meets block j >= i; each row goes to all pairs of blocks that have its own.
-    dealt = mine.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("sig", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "key", "root", "size", "histogram")
+    mine = known.join(open_.select("sig", blocks.alias("blocks")), "sig").join(facts, "key").withColumn("own", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
+    others = mine.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return others.select("sig", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "key", "root", *[c for c in facts.columns if c != "key"])
+
+
+def by_block(rows: DataFrame, pairs) -> DataFrame:
+    """Distinct (a, b) that pairs(i, j, rows of own, key, root and facts) gives for each pair of blocks."""
 
     def rows_of(batches):
         import pyarrow as pa
 
-        held, current = [], None
-
-        def pairs():
-            own = np.array([r[0] for r in held])
-            key, root, size = (np.array([r[k] for r in held], np.int64) for k in (1, 2, 3))
-            bins = np.stack([np.frombuffer(r[4], np.uint32) for r in held]).astype(np.int64)
-            left = np.flatnonzero(own == current[1]) if current[1] != current[2] else np.arange(len(held))
-            right = np.flatnonzero(own == current[2])
-            out = []
-            for x in left.tolist():
-                y = right[(root[right] != root[x]) & ((key[right] > key[x]) | (current[1] != current[2]))]
-                y = y[100 * np.minimum(size[y], size[x]) >= percent * np.maximum(size[y], size[x])]
-                apart = np.abs(bins[y] - bins[x]).sum(axis=1)
-                y = y[apart * (100 + percent) <= (100 - percent) * (size[y] + size[x])]
-                out += [(min(key[x], k), max(key[x], k)) for k in key[y].tolist()]
-            return out
+        def told(found):
+            return pa.RecordBatch.from_arrays([pa.array([int(p[k]) for p in found], pa.int64()) for k in (0, 1)], ["a", "b"])
 
+        held, current = [], None
         for batch in batches:
             found = []
             for r in zip(*(batch.column(k).to_pylist() for k in range(batch.num_columns))):
                 if r[:3] != current:
                     if len(held) > 1:
-                        found += pairs()
+                        found += pairs(current[1], current[2], held)
                     held, current = [], r[:3]
                 held.append(r[3:])
-            yield pa.RecordBatch.from_arrays([pa.array([int(p[k]) for p in found], pa.int64()) for k in (0, 1)], ["a", "b"])
-        found = pairs() if len(held) > 1 else []
-        yield pa.RecordBatch.from_arrays([pa.array([int(p[k]) for p in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+            yield told(found)
+        yield told(pairs(current[1], current[2], held) if len(held) > 1 else [])
+
+    return rows.repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j").mapInArrow(rows_of, "a bigint, b bigint").distinct()
+
+
+def contested(members_of: DataFrame, roots: DataFrame, classes: DataFrame, percent: int, block: int = 2048) -> DataFrame:
+    """Pairs (a, b) of classes that share a bucket, are in different components, and pass the bounds."""
 
-    return dealt.repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j").mapInArrow(rows_of, "a bigint, b bigint").distinct()
+    def pairs(i, j, held):
+        own = np.array([r[0] for r in held])
+        key, root, size = (np.array([r[k] for r in held], np.int64) for k in (1, 2, 3))
+        bins = np.stack([np.frombuffer(r[4], np.uint32) for r in held]).astype(np.int64)
+        left = np.flatnonzero(own == i) if i != j else np.arange(len(held))
+        right = np.flatnonzero(own == j)
+        out = []
+        for x in left.tolist():
+            y = right[(root[right] != root[x]) & ((key[right] > key[x]) | (i != j))]
+            y = y[100 * np.minimum(size[y], size[x]) >= percent * np.maximum(size[y], size[x])]
+            apart = np.abs(bins[y] - bins[x]).sum(axis=1)
+            y = y[apart * (100 + percent) <= (100 - percent) * (size[y] + size[x])]
+            out += [(min(key[x], k), max(key[x], k)) for k in key[y].tolist()]
+        return out
+
+    return by_block(dealt(members_of, roots, classes.select("key", "size", "histogram"), block), pairs)
+
+
+def linked_in_blocks(members_of: DataFrame, roots: DataFrame, texts: DataFrame, sets, percent: int, block: int = 1024) -> DataFrame:
+    """Links (a, b) that join the different components of each bucket.  For short texts, which come to the blocks themselves:
+    intersections of all of a block are counted exactly by way of an inverted list of its elements, and of the similar
+    pairs a spanning forest is given, fewer than the rows that came."""
+
+    def pairs(i, j, held):
+        own = np.array([r[0] for r in held])
+        found = sets([r[3] for r in held])
+        size = np.array([len(x) for x in found], np.int64)
+        flat = np.concatenate(found)
+        _, local = np.unique(flat, return_inverse=True)
+        owner = np.repeat(np.arange(len(held)), size)
+        mine = np.flatnonzero(own[owner] == j)
+        mine = mine[np.argsort(local[mine], kind="stable")]
+        ends = np.cumsum(np.bincount(local[mine], minlength=int(local.max()) + 1 if len(local) else 1))
+        begins, posted, at = np.concatenate([[0], ends[:-1]]), owner[mine], np.concatenate([[0], np.cumsum(size)])
+        _, part = np.unique(np.array([r[2] for r in held], np.int64), return_inverse=True)
+        out = []
+        for x in np.flatnonzero(own == i).tolist():
+            terms = local[at[x] : at[x + 1]]
+            lists = [posted[a:b] for a, b in zip(begins[terms].tolist(), ends[terms].tolist())]
+            both = np.bincount(np.concatenate(lists) if lists else np.zeros(0, np.int64), minlength=len(held))
+            near = np.flatnonzero((both > 0) & (part != part[x]) & (100 * both >= percent * (size + size[x] - both)))
+            for y in near.tolist():
+                if part[y] != part[x]:
+                    part[part == part[y]] = part[x]
+                    out.append((held[x][1], held[y][1]))
+        return out
+
+    return by_block(dealt(members_of, roots, texts.select("key", "text"), block), pairs)
 
 
 def texts_of(wanted: DataFrame, classes: DataFrame, documents: DataFrame, width: int) -> DataFrame:
@@ -274,27 +317,34 @@ def verified(pairs: DataFrame, texts: DataFrame, sets, percent: int, salts: int
     return written(others.union(pivots).repartition("a", "part").sortWithinPartitions("a", "part", "side").mapInArrow(linked, "a bigint, b bigint"), "links")
 
 
-def restarted(buckets: DataFrame, roots: DataFrame, turn: int) -> DataFrame:
-    """Pairs (a, b) of each bucket's pivot, another one each turn, with its members in other components."""
-    known = buckets.select("sig", "key").join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
-    drawn = F.min(F.struct(F.xxhash64("key", F.lit(turn)).alias("h"), F.col("key").alias("pivot"), F.col("root").alias("pivot_root")))
-    open_ = known.groupBy("sig").agg(F.min("root").alias("x"), F.max("root").alias("y"), drawn.alias("drawn")).where("x != y").select("sig", "drawn.pivot", "drawn.pivot_root")
+def restarted(buckets: DataFrame, roots: DataFrame, links: DataFrame) -> DataFrame:
+    """Pairs (a, b) of each bucket's hub, the member with the most links so far, with its members in other components.
+    (Near copies of one original are often similar to it only, so it gathers links from many buckets' pivots.)"""
+    degrees = links.select(F.explode(F.array("a", "b")).alias("key")).groupBy("key").agg(F.count("*").alias("degree"))
+    known = buckets.select("sig", "key").join(roots.withColumnRenamed("node", "key"), "key", "left").join(degrees, "key", "left").withColumn("root", F.coalesce("root", "key"))
+    hub = F.max(F.struct(F.coalesce("degree", F.lit(0)).alias("degree"), F.xxhash64("key").alias("h"), F.col("key").alias("pivot"), F.col("root").alias("pivot_root")))
+    open_ = known.groupBy("sig").agg(F.min("root").alias("x"), F.max("root").alias("y"), hub.alias("hub")).where("x != y").select("sig", "hub.pivot", "hub.pivot_root")
     pairs = known.join(open_, "sig").where("root != pivot_root")
     return pairs.select(F.least("key", "pivot").alias("a"), F.greatest("key", "pivot").alias("b")).distinct()
 
 
-def resolve(buckets: DataFrame, classes: DataFrame, texts: DataFrame, sets, percent: int, turns: int = 2) -> DataFrame:
+def resolve(buckets: DataFrame, classes: DataFrame | None, texts: DataFrame, sets, percent: int, turns: int = 2) -> DataFrame:
     """``node, root`` of the classes linked to others.  First all of a bucket are verified against its pivot;
-    in later turns against other pivots, if still in different components; at last all that still are, pair by pair."""
+    in later turns against its hub, if still in different components; at last all that still are, pair by pair
+    (within the blocks, if there are no classes with bounds)."""
     done = written(buckets.where("key != pivot").select(F.least("key", "pivot").alias("a"), F.greatest("key", "pivot").alias("b")).distinct(), "pairs")
-    roots = components(verified(done, texts, sets, percent))
-    for turn in range(1, turns + 2):
-        more = restarted(buckets, roots, turn) if turn <= turns else contested(buckets, roots, classes, percent)
-        more = written(more.join(done, ["a", "b"], "left_anti"), "pairs")
-        links = verified(more, texts, sets, percent)
-        roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(links))
+    links = verified(done, texts, sets, percent)
+    roots = components(links)
+    for _ in range(turns):
+        more = written(restarted(buckets, roots, links).join(done, ["a", "b"], "left_anti"), "pairs")
+        links = links.union(verified(more, texts, sets, percent))
+        roots = components(links)
         done = done.union(more)
-    return roots
+    if classes is None:
+        last = linked_in_blocks(buckets, roots, texts, sets, percent)
+    else:
+        last = verified(written(contested(buckets, roots, classes, percent).join(done, ["a", "b"], "left_anti"), "pairs"), texts, sets, percent)
+    return components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(last))
 
 
 def join(documents: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
