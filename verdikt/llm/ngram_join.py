@@ -32,7 +32,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, signed, written
+from .common import mix, parts, signed, written
 from .graph import components
 
 NO_ID = -(1 << 63)
@@ -285,10 +285,9 @@ def texts_of(wanted: DataFrame, classes: DataFrame, documents: DataFrame, width:
     def right(batches):
         import pyarrow as pa
 
-        for batch in batches:
-            texts = batch.column(1).to_pylist()
-            same = [class_key(s) == k for s, k in zip(shingle_sets(texts, width), batch.column(0).to_pylist())]
-            yield batch.filter(pa.array(same, pa.bool_()))
+        for part in (p for batch in batches for p in parts(batch, 1)):
+            same = [class_key(s) == k for s, k in zip(shingle_sets(part.column(1).to_pylist(), width), part.column(0).to_pylist())]
+            yield part.filter(pa.array(same, pa.bool_()))
 
     return documents.join(ids, "doc_id").select("key", "text").mapInArrow(right, "key bigint, text binary").dropDuplicates(["key"])
 
@@ -304,10 +303,10 @@ def verified(pairs: DataFrame, texts: DataFrame, sets, percent: int, salts: int
         import pyarrow as pa
 
         pivot = None
-        for batch in batches:
-            a, side, b = (batch.column(k).to_pylist() for k in (0, 2, 3))
+        for part in (p for batch in batches for p in parts(batch, 4)):
+            a, side, b = (part.column(k).to_pylist() for k in (0, 2, 3))
             out = []
-            for x, s, y, elements in zip(a, side, b, sets(batch.column(4).to_pylist())):
+            for x, s, y, elements in zip(a, side, b, sets(part.column(4).to_pylist())):
                 if s == 0:
                     pivot = elements
                 elif similar(pivot, elements, percent):
@@ -359,8 +358,7 @@ def join(documents: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
 
         kinds = [("doc_id", pa.int64()), ("size", pa.int64()), ("key", pa.int64()), ("histogram", pa.binary()), ("sigs", pa.list_(pa.int64()))]
         for batch in batches:
-            for k in range(0, batch.num_rows, 1000):
-                part = batch.slice(k, 1000)
+            for part in parts(batch, 1):
                 sets = shingle_sets(part.column(1).to_pylist(), width)
                 out = [part.column(0), [len(s) for s in sets], [class_key(s) if len(s) else None for s in sets], [histogram(s) for s in sets], [signed(bands.signatures(s)) for s in sets]]
                 yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, t) for x, (_, t) in zip(out, kinds)], [n for n, _ in kinds])
