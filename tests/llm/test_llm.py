@@ -233,3 +233,33 @@ def test_pipeline_keeps_columns(spark):
         out = stage(spark, frame, d)
         assert out.columns == frame.columns, name
     assert hashlib and corpus_pipeline.ORACLE_SQL is None
+
+
+@pytest.mark.parametrize("most_rows", [3, 1024])
+def test_links_in_blocks(spark, most_rows):
+    """One bucket of sets of which none is linked yet, in one block and in many, with and without bounds."""
+    r = np.random.default_rng(8)
+    centre = r.integers(0, 10_000, 60)
+    sets = {}
+    for k in range(40):
+        x = centre.copy()
+        x[r.choice(60, int(r.integers(2, 14)), replace=False)] = r.integers(20_000, 30_000)
+        sets[k] = np.unique(x).astype("<u8")
+    rows = [(1, k, len(x), ngram_join.histogram(x), x.tobytes()) for k, x in sets.items()]
+    frame = spark.createDataFrame(rows, "sig long, key long, size long, histogram binary, text binary")
+    roots = spark.createDataFrame([], "node long, root long")
+    read = lambda blobs: [np.frombuffer(b, np.uint64) for b in blobs]
+    whole = ngram_join.dealt(frame, roots, frame.select("key", "size", "text"), most_rows).drop("size")
+    bounded = ngram_join.contested(ngram_join.dealt(frame, roots, frame.select("key", "size", "histogram"), most_rows), 80).join(frame.select("key", "text"), "key").select(whole.columns)
+    want = {(a, b) for a in sets for b in sets if a < b and ngram_join.similar(sets[a], sets[b], 80)}
+
+    def parts(links):
+        of = {k: k for k in sets}
+        for a, b in links:
+            x, y = of[a], of[b]
+            of = {k: min(x, y) if v in (x, y) else v for k, v in of.items()}
+        return of
+
+    for given in (whole, bounded):
+        got = {(min(x), max(x)) for x in ngram_join.linked_in_blocks(given, read, 80).collect()}
+        assert want and got <= want and parts(got) == parts(want)

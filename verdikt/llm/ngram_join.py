@@ -13,7 +13,7 @@ them than that does keep them.
 
 Copies (equal sets) are one class from the start.  In each bucket of a signature all classes are verified
 against its smallest one, then twice those in other components against its hub (the one with the most links so far); classes of a bucket
-that are then in different components are verified against each other, in blocks, unless sizes or histograms of their elements (64 bins, whose differences bound the sets')
+that are then in different components are verified against each other, in blocks, by exact counts over an inverted list, unless sizes or histograms of their elements (64 bins, whose differences bound the sets')
 rule a link out.  So every pair that shares a signature is verified, or linked by verified pairs, or ruled out.
 
 Elements are 64-bit hashes of shingles; classes 64-bit sums of mixed elements.
@@ -190,25 +190,28 @@ def members(signatures: DataFrame) -> DataFrame:
     return signatures.repartition("sig").sortWithinPartitions("sig", "key").mapInArrow(rows, "sig bigint, key bigint, pivot bigint")
 
 
-def dealt(members_of: DataFrame, roots: DataFrame, facts: DataFrame, block: int) -> DataFrame:
-    """``sig, i, j, own, key, root`` and the facts of classes (by ``key``) of buckets with several components.
+def dealt(members_of: DataFrame, roots: DataFrame, facts: DataFrame, most_rows: int = 1024, most_elements: int = 250_000) -> DataFrame:
+    """``sig, i, j, own, key, root`` and the facts of classes (``key, size, ...``) of buckets with several components.
     Block i meets block j >= i; each row goes to all pairs of blocks that have its own."""
     known = members_of.select("sig", "key").join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
-    open_ = known.groupBy("sig").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("n")).where("x != y")
-    blocks = F.ceil(F.col("n") / block).cast("int")
-    mine = known.join(open_.select("sig", blocks.alias("blocks")), "sig").join(facts, "key").withColumn("own", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
+    sized = known.join(facts.select("key", "size"), "key")
+    blocks = F.ceil(F.greatest(F.count("*") / most_rows, F.sum("size") / most_elements, F.lit(1))).cast("int")
+    open_ = sized.groupBy("sig").agg(F.min("root").alias("x"), F.max("root").alias("y"), blocks.alias("blocks")).where("x != y").select("sig", "blocks")
+    mine = known.join(open_, "sig").join(facts, "key").withColumn("own", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
     others = mine.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     return others.select("sig", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "key", "root", *[c for c in facts.columns if c != "key"])
 
 
-def by_block(rows: DataFrame, pairs) -> DataFrame:
-    """Distinct (a, b) that pairs(i, j, rows of own, key, root and facts) gives for each pair of blocks."""
+def by_block(rows: DataFrame, result, schema: str) -> DataFrame:
+    """Rows that result((sig, i, j), rows of own, key, root and facts) gives for each pair of blocks."""
 
     def rows_of(batches):
         import pyarrow as pa
 
+        names = [c.split()[0] for c in schema.split(", ")]
+
         def told(found):
-            return pa.RecordBatch.from_arrays([pa.array([int(p[k]) for p in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+            return pa.RecordBatch.from_arrays([pa.array([int(r[k]) for r in found], pa.int64()) for k in range(len(names))], names)
 
         held, current = [], None
         for batch in batches:
@@ -216,66 +219,63 @@ def by_block(rows: DataFrame, pairs) -> DataFrame:
             for r in zip(*(batch.column(k).to_pylist() for k in range(batch.num_columns))):
                 if r[:3] != current:
                     if len(held) > 1:
-                        found += pairs(current[1], current[2], held)
+                        found += result(current, held)
                     held, current = [], r[:3]
                 held.append(r[3:])
             yield told(found)
-        yield told(pairs(current[1], current[2], held) if len(held) > 1 else [])
+        yield told(result(current, held) if len(held) > 1 else [])
 
-    return rows.repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j").mapInArrow(rows_of, "a bigint, b bigint").distinct()
+    return rows.repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j").mapInArrow(rows_of, schema)
 
 
-def contested(members_of: DataFrame, roots: DataFrame, classes: DataFrame, percent: int, block: int = 2048) -> DataFrame:
-    """Pairs (a, b) of classes that share a bucket, are in different components, and pass the bounds."""
+def contested(rows: DataFrame, percent: int) -> DataFrame:
+    """Of ``dealt`` rows with size and histogram, those that the bounds leave a partner in their pair of blocks."""
 
-    def pairs(i, j, held):
+    def near(current, held):
         own = np.array([r[0] for r in held])
         key, root, size = (np.array([r[k] for r in held], np.int64) for k in (1, 2, 3))
         bins = np.stack([np.frombuffer(r[4], np.uint32) for r in held]).astype(np.int64)
-        left = np.flatnonzero(own == i) if i != j else np.arange(len(held))
-        right = np.flatnonzero(own == j)
-        out = []
-        for x in left.tolist():
-            y = right[(root[right] != root[x]) & ((key[right] > key[x]) | (i != j))]
+        right, open_ = np.flatnonzero(own == current[2]), np.zeros(len(held), bool)
+        for x in np.flatnonzero(own == current[1]).tolist():
+            y = right[root[right] != root[x]]
             y = y[100 * np.minimum(size[y], size[x]) >= percent * np.maximum(size[y], size[x])]
-            apart = np.abs(bins[y] - bins[x]).sum(axis=1)
-            y = y[apart * (100 + percent) <= (100 - percent) * (size[y] + size[x])]
-            out += [(min(key[x], k), max(key[x], k)) for k in key[y].tolist()]
-        return out
+            y = y[np.abs(bins[y] - bins[x]).sum(axis=1) * (100 + percent) <= (100 - percent) * (size[y] + size[x])]
+            if len(y):
+                open_[x] = open_[y] = True
+        return [(*current, *held[x][:3]) for x in np.flatnonzero(open_).tolist()]
 
-    return by_block(dealt(members_of, roots, classes.select("key", "size", "histogram"), block), pairs)
+    return by_block(rows, near, "sig bigint, i bigint, j bigint, own bigint, key bigint, root bigint")
 
 
-def linked_in_blocks(members_of: DataFrame, roots: DataFrame, texts: DataFrame, sets, percent: int, block: int = 1024) -> DataFrame:
-    """Links (a, b) that join the different components of each bucket.  For short texts, which come to the blocks themselves:
-    intersections of all of a block are counted exactly by way of an inverted list of its elements, and of the similar
+def linked_in_blocks(rows: DataFrame, sets, percent: int) -> DataFrame:
+    """Links (a, b) between the components in each pair of blocks; rows: ``sig, i, j, own, key, root, text``.
+    Intersections are counted exactly by way of an inverted list of the elements of block j, and of the similar
     pairs a spanning forest is given, fewer than the rows that came."""
 
-    def pairs(i, j, held):
+    def links(current, held):
         own = np.array([r[0] for r in held])
         found = sets([r[3] for r in held])
         size = np.array([len(x) for x in found], np.int64)
-        flat = np.concatenate(found)
-        _, local = np.unique(flat, return_inverse=True)
-        owner = np.repeat(np.arange(len(held)), size)
-        mine = np.flatnonzero(own[owner] == j)
+        _, local = np.unique(np.concatenate(found), return_inverse=True)
+        owner, at = np.repeat(np.arange(len(held)), size), np.concatenate([[0], np.cumsum(size)])
+        mine = np.flatnonzero(own[owner] == current[2])
         mine = mine[np.argsort(local[mine], kind="stable")]
-        ends = np.cumsum(np.bincount(local[mine], minlength=int(local.max()) + 1 if len(local) else 1))
-        begins, posted, at = np.concatenate([[0], ends[:-1]]), owner[mine], np.concatenate([[0], np.cumsum(size)])
+        posted, ends = owner[mine], np.cumsum(np.bincount(local[mine], minlength=int(local.max(initial=0)) + 1))
+        begins = np.concatenate([[0], ends[:-1]])
         _, part = np.unique(np.array([r[2] for r in held], np.int64), return_inverse=True)
         out = []
-        for x in np.flatnonzero(own == i).tolist():
+        for x in np.flatnonzero(own == current[1]).tolist():
             terms = local[at[x] : at[x + 1]]
             lists = [posted[a:b] for a, b in zip(begins[terms].tolist(), ends[terms].tolist())]
             both = np.bincount(np.concatenate(lists) if lists else np.zeros(0, np.int64), minlength=len(held))
-            near = np.flatnonzero((both > 0) & (part != part[x]) & (100 * both >= percent * (size + size[x] - both)))
-            for y in near.tolist():
+            similar_to = np.flatnonzero((both > 0) & (part != part[x]) & (100 * both >= percent * (size + size[x] - both)))
+            for y in similar_to.tolist():
                 if part[y] != part[x]:
                     part[part == part[y]] = part[x]
                     out.append((held[x][1], held[y][1]))
         return out
 
-    return by_block(dealt(members_of, roots, texts.select("key", "text"), block), pairs)
+    return by_block(rows, links, "a bigint, b bigint").distinct()
 
 
 def texts_of(wanted: DataFrame, classes: DataFrame, documents: DataFrame, width: int) -> DataFrame:
@@ -329,8 +329,8 @@ def restarted(buckets: DataFrame, roots: DataFrame, links: DataFrame) -> DataFra
 
 def resolve(buckets: DataFrame, classes: DataFrame | None, texts: DataFrame, sets, percent: int, turns: int = 2) -> DataFrame:
     """``node, root`` of the classes linked to others.  First all of a bucket are verified against its pivot;
-    in later turns against its hub, if still in different components; at last all that still are, pair by pair
-    (within the blocks, if there are no classes with bounds)."""
+    in later turns against its hub, if still in different components; at last all of a bucket that still are, block by block
+    (classes, if given, have the histograms that spare the texts without a partner this)."""
     done = written(buckets.where("key != pivot").select(F.least("key", "pivot").alias("a"), F.greatest("key", "pivot").alias("b")).distinct(), "pairs")
     links = verified(done, texts, sets, percent)
     roots = components(links)
@@ -340,9 +340,10 @@ def resolve(buckets: DataFrame, classes: DataFrame | None, texts: DataFrame, set
         roots = components(links)
         done = done.union(more)
     if classes is None:
-        last = linked_in_blocks(buckets, roots, texts, sets, percent)
+        rows = dealt(buckets, roots, texts.select("key", F.octet_length("text").alias("size"), "text")).drop("size")
     else:
-        last = verified(written(contested(buckets, roots, classes, percent).join(done, ["a", "b"], "left_anti"), "pairs"), texts, sets, percent)
+        rows = written(contested(dealt(buckets, roots, classes.select("key", "size", "histogram")), percent), "open").join(texts, "key").select("sig", "i", "j", "own", "key", "root", "text")
+    last = linked_in_blocks(rows, sets, percent)
     return components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(last))
 
 
