@@ -13,7 +13,7 @@ them than that does keep them.
 
 Copies (equal sets) are one class from the start.  In each bucket of a signature all classes are verified
 against its smallest one, then twice those in other components against its hub (the one with the most links so far); classes of a bucket
-that are then in different components are verified against each other, in blocks, by exact counts over an inverted list, unless sizes or histograms of their elements (64 bins, whose differences bound the sets')
+that are then in different components are verified against each other, in blocks, by exact counts over an inverted list, unless sizes or histograms of their elements (bins for half of them or more, whose differences bound the sets')
 rule a link out.  So every pair that shares a signature is verified, or linked by verified pairs, or ruled out.
 
 Elements are 64-bit hashes of shingles; classes 64-bit sums of mixed elements.
@@ -72,7 +72,15 @@ def class_key(elements: np.ndarray) -> int:
 
 
 def histogram(elements: np.ndarray) -> bytes:
-    return np.bincount((elements & np.uint64(BINS - 1)).astype(np.int64), minlength=BINS).astype(np.uint32).tobytes()
+    """Counts (255 at most, which keeps the bound) of the elements' low bits, with half a bin or more for each element."""
+    bins = max(BINS, 1 << (len(elements) // 2).bit_length())
+    return np.minimum(np.bincount((elements & np.uint64(bins - 1)).astype(np.int64), minlength=bins), 255).astype(np.uint8).tobytes()
+
+
+def histograms(stored: list[bytes]) -> np.ndarray:
+    """One row each, with as many bins as the smallest has."""
+    bins = min(map(len, stored))
+    return np.stack([np.frombuffer(h, np.uint8).reshape(-1, bins).sum(axis=0, dtype=np.int32) for h in stored])
 
 
 class Bands:
@@ -234,7 +242,7 @@ def contested(rows: DataFrame, percent: int) -> DataFrame:
     def near(current, held):
         own = np.array([r[0] for r in held])
         key, root, size = (np.array([r[k] for r in held], np.int64) for k in (1, 2, 3))
-        bins = np.stack([np.frombuffer(r[4], np.uint32) for r in held]).astype(np.int64)
+        bins = histograms([r[4] for r in held])
         right, open_ = np.flatnonzero(own == current[2]), np.zeros(len(held), bool)
         for x in np.flatnonzero(own == current[1]).tolist():
             y = right[root[right] != root[x]]
