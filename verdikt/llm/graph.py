@@ -35,3 +35,17 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             break
         before = after
     return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
+
+
+def merged(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """``roots`` (of ``components``) after more links (``a, b``).  Only the roots that the links join are
+    gone through again; all other nodes are renamed by one join."""
+    ends = roots.select(F.col("node").alias("end"), F.col("root").alias("top"))
+    for x in ("a", "b"):
+        links = links.join(ends.withColumnRenamed("end", x), x, "left").withColumn(x, F.coalesce("top", x)).drop("top")
+    tops = components(links)
+    if tops.isEmpty():
+        return roots
+    above = tops.select(F.col("node").alias("root"), F.col("root").alias("top"))
+    moved = roots.join(above, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+    return written(moved.union(tops), "roots")

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import mix, parts, signed, written
-from .graph import components
+from .graph import components, merged
 
 NO_ID = -(1 << 63)
 BINS = 64
@@ -344,15 +344,15 @@ def resolve(buckets: DataFrame, classes: DataFrame | None, texts: DataFrame, set
     roots = components(links)
     for _ in range(turns):
         more = written(restarted(buckets, roots, links).join(done, ["a", "b"], "left_anti"), "pairs")
-        links = links.union(verified(more, texts, sets, percent))
-        roots = components(links)
-        done = done.union(more)
+        if more.isEmpty():
+            break
+        new = verified(more, texts, sets, percent)
+        links, done, roots = links.union(new), done.union(more), merged(roots, new)
     if classes is None:
         rows = dealt(buckets, roots, texts.select("key", F.octet_length("text").alias("size"), "text")).drop("size")
     else:
         rows = written(contested(dealt(buckets, roots, classes.select("key", "size", "histogram")), percent), "open").join(texts, "key").select("sig", "i", "j", "own", "key", "root", "text")
-    last = linked_in_blocks(rows, sets, percent)
-    return components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(last))
+    return merged(roots, linked_in_blocks(rows, sets, percent))
 
 
 def join(documents: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
