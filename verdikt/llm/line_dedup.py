@@ -140,8 +140,8 @@ def texts_of(wanted: DataFrame, documents: DataFrame, least_words: int) -> DataF
     bit = F.pmod(F.col("key"), F.lit(1 << FILTER_BITS))
     words = wanted.groupBy(F.shiftright(bit, 6).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(key, {1 << FILTER_BITS}) & 63 as int))")).alias("bits"))
     table = np.zeros(1 << (FILTER_BITS - 6), np.int64)
-    for r in words.toLocalIterator():  # of a fixed size, whatever the number of lines
-        table[r.word] = r.bits
+    told = words.toArrow()  # of a fixed size, whatever the number of lines
+    table[told["word"].to_numpy()] = told["bits"].to_numpy()
     shared = documents.sparkSession.sparkContext.broadcast(table)
 
     def rows(batches):
