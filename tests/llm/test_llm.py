@@ -263,3 +263,26 @@ def test_links_in_blocks(spark, most_rows):
     for given in (whole, bounded):
         got = {(min(x), max(x)) for x in ngram_join.linked_in_blocks(given, read, 80).collect()}
         assert want and got <= want and parts(got) == parts(want)
+
+
+def test_components_and_merged(spark):
+    """Random edges, a chain and a hub in two lots: the same roots as by union-find, and none without edges."""
+    from verdikt.llm.graph import components, merged
+
+    rng = np.random.default_rng(5)
+    edges = [(int(a), int(b)) for a, b in rng.integers(0, 400, (180, 2))] + [(k, k + 1) for k in range(1000, 1040)] + [(2000, k) for k in range(1990, 2060)]
+    root = {x: x for e in edges for x in e}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        low, high = sorted((find(a), find(b)))
+        root[high] = low
+    expected = {x: find(x) for x in root if find(x) != x}
+    frame = lambda rows: spark.createDataFrame(rows, "a bigint, b bigint")
+    for cut in (0, 1, 150, len(edges)):
+        got = merged(components(frame(edges[:cut])), frame(edges[cut:])).collect()
+        assert len(got) == len(expected) and {r.node: r.root for r in got} == expected

@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, signed, written
+from .common import mix, parts, signed, written
 from .ngram_join import NO_ID, members, resolve
 
 SHINGLE = 8
@@ -94,8 +94,7 @@ def duplicates(documents: DataFrame, bands: int, rows: int, percent: int, least_
         kinds = [("doc_id", pa.int64()), ("uid", pa.int64()), ("places", pa.list_(pa.int32())), ("keys", pa.list_(pa.int64())), ("new", pa.list_(pa.int64())), ("sigs", pa.list_(pa.int64()))]
         seen: set[int] = set()
         for batch in batches:
-            for k in range(0, batch.num_rows, 500):
-                part = batch.slice(k, 500)
+            for part in parts(batch, 2, 1 << 20):
                 docs = [keyed_lines(t, least_words) for t in part.column(2).to_pylist()]
                 if len(seen) > 500_000:
                     seen.clear()

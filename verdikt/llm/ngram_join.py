@@ -211,7 +211,7 @@ def dealt(members_of: DataFrame, roots: DataFrame, facts: DataFrame, most_rows:
 
 
 def by_block(rows: DataFrame, result, schema: str) -> DataFrame:
-    """Rows that result((sig, i, j), rows of own, key, root and facts) gives for each pair of blocks."""
+    """Rows that result((sig, i, j), rows of own, key, root and facts, the last a text or binary) gives for each pair of blocks."""
 
     def rows_of(batches):
         import pyarrow as pa
@@ -222,7 +222,7 @@ def by_block(rows: DataFrame, result, schema: str) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array([int(r[k]) for r in found], pa.int64()) for k in range(len(names))], names)
 
         held, current = [], None
-        for batch in batches:
+        for batch in (p for whole in batches for p in parts(whole, whole.num_columns - 1)):
             found = []
             for r in zip(*(batch.column(k).to_pylist() for k in range(batch.num_columns))):
                 if r[:3] != current:
