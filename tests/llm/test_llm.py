@@ -143,6 +143,49 @@ def test_suffix_tree(docs):
     assert suffix_tree.score(docs, F.lit(False)).where("n_known > 0").count() == 0
 
 
+def test_suffix_tree_grows_with_the_input(spark):
+    """A context that occurs four times in 120,000 tokens is retained; equal documents have equal scores."""
+    filler = " ".join(f"f{k % 60_000}" for k in range(120_000))
+    rows = [(0, filler), *((k, "alpha beta gamma delta") for k in range(1, 5)), (7, "alpha beta gamma delta"), (8, "delta gamma beta alpha")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in suffix_tree.score(frame, F.col("doc_id") < 5).collect()}
+    assert got[7].score > got[7].base_score + 8 and got[7].score == got[1].score and got[8].score < got[8].base_score
+
+
+def test_suffix_tree_against_memory(spark, monkeypatch):
+    """Distributed counts, contexts and scores in many blocks: as of ``grow`` over exact counts of all pairs and triples that occur twice."""
+    import xxhash
+
+    r = np.random.default_rng(11)
+    follow = r.integers(0, 60, (60, 3))
+    rows = []
+    for d in range(150):
+        words = [int(r.integers(0, 60)), int(r.integers(0, 60))]
+        for _ in range(int(r.integers(0, 120))):
+            a, b, kind = words[-2] % 60, words[-1] % 60, r.random()
+            words.append(int(follow[b, 0] if kind < 0.5 else follow[(b + 7 * a) % 60, 1] if kind < 0.9 else r.integers(0, 9000)))
+        rows.append((d, " ".join(f"w{w}" for w in words)))
+    training = [d % 7 != 2 for d, _ in rows]
+    hashes = [np.append(np.array([xxhash.xxh3_64_intdigest(w) for w in t.encode().split()], np.uint64), suffix_tree.END) for _, t in rows]
+    known, counts = np.unique(np.concatenate([h for h, y in zip(hashes, training) if y]), return_counts=True)
+    grams = {2: {}, 3: {}}
+    for h, y in zip(hashes, training):
+        at = suffix_tree.numbers(h, known).tolist() if y else []
+        for k in grams:
+            for i in range(len(at) - k + 1):
+                code = sum(w << (20 * (k - 1 - j)) for j, w in enumerate(at[i : i + k]))
+                grams[k][code] = grams[k].get(code, 0) + 1
+    full = {k: sorted((c, n) for c, n in g.items() if n >= 2) for k, g in grams.items()}
+    arrays = [np.array(x, np.int64) for k in (2, 3) for x in zip(*full[k])]
+    tree = suffix_tree.grow(known, counts, int(counts.sum()), len(known), tuple(arrays))
+    assert len(tree.states[0]) > 5 and len(tree.states[1]) > 5
+    want = {d: float(tree.scores(h, np.array([0, len(h)]))[1].sum()) for (d, _), h in zip(rows, hashes)}
+    monkeypatch.setattr(suffix_tree, "BLOCK", 900)
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {x.doc_id: x.score for x in suffix_tree.score(frame, F.col("doc_id") % 7 != 2).collect()}
+    assert got.keys() == want.keys() and max(abs(got[d] - want[d]) for d in want) < 1e-8
+
+
 def test_tree_gives_probabilities():
     words = np.sort(np.array([3, 5, 9], np.uint64))
     counts = np.array([40, 40, 20])

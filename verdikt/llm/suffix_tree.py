@@ -6,18 +6,19 @@ of the number of tokens for each next word that it stores.  Next-word distributi
 discounted goes to the words not stored, in proportion to the suffix's distribution.  The root is
 (c + 1) / (N + V + 1).  A word is scored in the longest retained suffix of what stands before it.
 
-Counts are exact and cover every training token.  Words are 64-bit hashes.  Sizes are bounded by shares of N:
+Counts are exact and cover every training token.  Words are 64-bit hashes, and so are pairs and triples.  What is stored does not depend on shares of N:
+a pair or triple that occurs ``LEAST`` times is stored, and the divergence test alone decides which contexts are retained.
 
-* dictionary: words with a share of ``1 / DICTIONARY`` or more (at most that many).  A task reports words with half that share of its own tokens, so
-  none of them is missed; they are then counted exactly.
-* contexts of one word: a share of ``1 / CONTEXTS``; their next words ``1 / NEXT``; contexts of two: ``1 / PAIRS`` for each word, next words ``1 / CONTEXTS``.
-* stored pairs and triples: a count of ``1 / STORED`` of N or more.
-
-So what is broadcast has fixed bounds.  All other words, of which there may be any number, are counted by a
-shuffle on the word, which also gives each document its sums; nothing of them is collected.
+Nothing is broadcast, and only N, V and a count of blocks come to the driver.  Documents are tokenised once, into blocks of some MB that are
+written to the shared folder.  A block asks for its distinct words, pairs and triples: their codes (hashes) are dealt to buckets by range, each with the block's
+count.  A bucket sums them and answers each block; one of the blocks that have a code is its owner.  Owners add each stored
+pair or triple to its context's sums, which are dealt to buckets by the context and answered with the verdict.  So the counts and the tree are
+distributed tables, and of a frequent code or context a bucket reads one entry from each block.  Triples are asked for only if both of their pairs
+are stored, which loses none.
 
 Defined cases: null or empty text: the end token alone.  A null doc_id is trained on.  Equal rows are documents
 of their own with equal scores.  No training rows: every count is 0, N and V too.  Other columns are ignored.
+``grow`` and ``Tree`` are the same tree in memory, for small tables of counts; tests hold the distributed one against it.
 """
 
 from __future__ import annotations
@@ -27,35 +28,155 @@ from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import mix, work_path
 
-DICTIONARY, CONTEXTS, NEXT, PAIRS, STORED = 1_000_000, 20_000, 100_000, 2_000, 1_000_000
+LEAST = 2
 END = np.uint64(0xE4D0_0000_0000_0001)
 DISCOUNT = 0.5
-BLOCK = 4_000_000
+BLOCK = 8_000_000
+#: Kinds of what blocks ask for: counts of words, pairs and triples; whether contexts of one and of two words are retained.
+WORDS, PAIRS, TRIPLES, ONE, TWO = 1, 2, 3, 4, 5
+ASKED = "kind tinyint, bucket int, block bigint, codes binary, a binary, b binary"
+TOLD = "kind tinyint, bucket int, block bigint, told binary, distinct bigint"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``written``, compressed more, and without the shuffle's files once it is there."""
+    path, conf, key = work_path(df.sparkSession, name), df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(key, None)
+    conf.set(key, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        conf.unset(key) if before is None else conf.set(key, before)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def packed(x: np.ndarray) -> bytes:
+    """An array's bytes by planes (all first bytes, all second ones and so on), compressed."""
+    import pyarrow as pa
 
+    planes = np.ascontiguousarray(np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.itemsize).T).tobytes()
+    return len(planes).to_bytes(8, "little") + pa.compress(planes, codec="zstd", asbytes=True) if planes else b""
 
-def blocks(batches):
-    """(uids, training flags, word hashes of all documents with their ends, begins) of some MB of text each."""
-    import xxhash
 
-    for batch in batches:
-        uids, training, texts, first = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False), batch.column(2), 0
-        while first < len(uids):
-            last, size, n, hashes = first, 0, [], []
-            while last < len(uids) and size < BLOCK:
-                text = texts[last].as_py() or b""
-                words = text.lower().split()
-                hashes.append(np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)))
-                hashes.append(np.array([END]))
-                n.append(len(words) + 1)
-                size += len(text) + 64
-                last += 1
-            yield uids[first:last], training[first:last].astype(bool), np.concatenate(hashes), np.concatenate([[0], np.cumsum(n)])
-            first = last
+def unpacked(x: bytes, kind) -> np.ndarray:
+    import pyarrow as pa
+
+    if not x:
+        return np.zeros(0, kind)
+    planes = pa.decompress(x[8:], decompressed_size=int.from_bytes(x[:8], "little"), codec="zstd", asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+
+
+def tokenised(rows: DataFrame) -> DataFrame:
+    """Blocks of the documents (``doc_id, training, text``): their ids, training flags, begins, the hashes of their words, most frequent first, and of each token the place there."""
+    ids = rows.schema["doc_id"].dataType.simpleString()
+
+    def blocks(batches):
+        import pyarrow as pa
+        import xxhash
+        from pyspark import TaskContext
+
+        block = TaskContext.get().partitionId() << 32
+        for batch in batches:
+            training, texts, first = batch.column(1).to_numpy(zero_copy_only=False).astype(bool), batch.column(2), 0
+            while first < batch.num_rows:
+                last, size, n, hashes = first, 0, [], []
+                while last < batch.num_rows and size < BLOCK:
+                    text = texts[last].as_py() or b""
+                    words = text.lower().split()
+                    hashes.append(np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)))
+                    hashes.append(np.array([END]))
+                    n.append(len(words) + 1)
+                    size += len(text) + 64
+                    last += 1
+                known, at, often = np.unique(np.concatenate(hashes), return_inverse=True, return_counts=True)
+                order = np.argsort(-often, kind="stable")
+                rank = np.zeros(len(order), np.uint32)
+                rank[order] = np.arange(len(order), dtype=np.uint32)
+                n = np.array(n, np.int64)
+                learned = int(n[training[first:last]].sum())
+                own = batch.column(0).slice(first, last - first)
+                listed = pa.ListArray.from_arrays(pa.array([0, len(own)], pa.int32()), own)
+                columns = [pa.array([packed(x)], pa.binary()) for x in (training[first:last], np.concatenate([[0], np.cumsum(n)]), known[order], rank[at])]
+                yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([int(n.sum())]), pa.array([learned]), listed, *columns], "block n learned ids training begins known at".split())
+                block += 1
+                first = last
+
+    return stored(rows.mapInArrow(blocks, f"block bigint, n bigint, learned bigint, ids array<{ids}>, training binary, begins binary, known binary, at binary"), "tokens")
+
+
+class Local:
+    """A block's tokens, its distinct words, pairs and triples, and what is told of them (by kind, in the order of the codes)."""
+
+    def __init__(self, row: dict, buckets: int, told: dict[int, np.ndarray]):
+        self.id, self.ids, self.buckets, self.told = row["block"], row["ids"], buckets, told
+        self.begins = unpacked(row["begins"], np.int64)
+        self.known, self.at = unpacked(row["known"], np.uint64), unpacked(row["at"], np.uint32).astype(np.int64)
+        n = np.diff(self.begins)
+        self.training = np.repeat(unpacked(row["training"], bool), n)
+        self.place = np.arange(len(self.at)) - np.repeat(self.begins[:-1], n)
+        self.second = np.flatnonzero(self.place >= 1)
+        keys, pair = np.unique(self.at[self.second - 1] * len(self.known) + self.at[self.second], return_inverse=True)
+        self.pair = np.zeros(len(self.at), np.int64)  # of each token but a document's first: its pair with the one before
+        self.pair[self.second] = pair
+        self.left, self.right = keys // max(1, len(self.known)), keys % max(1, len(self.known))
+        self.pairs = joined(self.known[self.left], self.known[self.right])
+
+    def answer(self, kind: int, codes: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(codes), self.told[kind].dtype)
+        out[np.argsort(codes)] = self.told[kind]
+        return out
+
+    def counts(self) -> None:
+        """Counts of words and pairs are told; the triples whose pairs are stored."""
+        self.n_word = np.abs(self.answer(WORDS, self.known))
+        n = self.answer(PAIRS, self.pairs)
+        self.n_pair, self.own_pair = np.abs(n), n < 0
+        third = np.flatnonzero(self.place >= 2)
+        third = third[self.n_pair[self.pair[third - 1]] >= LEAST]
+        self.asked_pairs = np.unique(self.pair[third - 1])  # contexts that may be retained
+        last = self.n_pair[self.pair[third]] >= LEAST
+        self.third, self.bare = third[last], third[~last]
+        keys, self.triple = np.unique(self.pair[self.third - 1] * max(1, len(self.pairs)) + self.pair[self.third], return_inverse=True)
+        self.context, self.suffix = keys // max(1, len(self.pairs)), keys % max(1, len(self.pairs))  # places of both pairs
+        self.triples = joined(self.pairs[self.context], self.known[self.right[self.suffix]])
+
+    def one(self) -> None:
+        """Contexts of one word are told: what each gives to words not stored (log10; nan: not retained)."""
+        self.rest_word = self.answer(ONE, self.known)
+        n = self.answer(TRIPLES, self.triples)
+        self.n_triple, self.own_triple = np.abs(n), n < 0
+
+    def ask(self, kind: int, codes: np.ndarray, n: np.ndarray):
+        """Messages (ASKED) with codes and counts."""
+        yield from self.dealt(kind, codes, lambda k: (n[k].astype(np.int64), np.zeros(0)))
+
+    def ask_context(self, kind: int, codes: np.ndarray, total: np.ndarray, context: np.ndarray, n: np.ndarray, given: np.ndarray):
+        """Messages with codes of contexts, and the sums of those that have stored words here: context (a place in codes), n and given of each."""
+        n = n.astype(float)
+        columns = [np.ones(len(n)), n, given, n * np.log(n - DISCOUNT), n * np.log(given)]
+        sums = np.stack([total.astype(float), *(np.bincount(context, x, len(codes)) for x in columns)], axis=1)
+
+        def entries(k):
+            there = np.flatnonzero(sums[k, 1])
+            return there.astype(np.int64), sums[k][there].T.ravel()
+
+        yield from self.dealt(kind, codes, entries)
+
+    def dealt(self, kind: int, codes: np.ndarray, entries):
+        order = np.argsort(codes)  # buckets are ranges of codes, so that sorted codes have small differences
+        some, begins = np.unique((codes[order] >> np.uint64(32)) * np.uint64(self.buckets) >> np.uint64(32), return_index=True)
+        rows = [(int(b), packed(np.diff(codes[k], prepend=np.uint64(0))), *map(packed, entries(k))) for b, k in zip(some, np.split(order, begins[1:]))] if len(some) else []
+        many = len(rows)
+        yield batch_of("kind bucket block codes a b", np.full(many, kind, np.int8), np.array([r[0] for r in rows], np.int32), np.full(many, self.id, np.int64), *([r[k] for r in rows] for k in (1, 2, 3))) if many else None
+
+
+def joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return mix(mix(a + np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0x9E3779B97F4A7C15) + b)
 
 
 def numbers(words: np.ndarray, table: np.ndarray) -> np.ndarray:
@@ -72,87 +193,79 @@ def batch_of(names: str, *columns):
     return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names.split())
 
 
-def frequent(rows: DataFrame) -> tuple[np.ndarray, int]:
-    """The dictionary's candidates, sorted."""
-
-    def words(batches):
-        found, counts, total = np.zeros(0, np.uint64), np.zeros(0, np.int64), 0
-        for _, training, h, begins in blocks(batches):
-            h = h[np.repeat(training, np.diff(begins))]
-            total += len(h)
-            some, n = np.unique(h, return_counts=True)
-            both = np.concatenate([found, some])
-            found, at = np.unique(both, return_inverse=True)
-            counts = np.bincount(at, np.concatenate([counts, n]), len(found)).astype(np.int64)
-            if len(found) > 1_500_000:  # a task of many words reports in parts
-                keep = counts * 2 * DICTIONARY >= total
-                yield batch_of("word n", found[keep].view(np.int64), counts[keep])
-                yield batch_of("word n", np.zeros(1, np.int64), np.array([total]))
-                found, counts, total = np.zeros(0, np.uint64), np.zeros(0, np.int64), 0
-        keep = counts * 2 * DICTIONARY >= total
-        yield batch_of("word n", found[keep].view(np.int64), counts[keep])
-        yield batch_of("word n", np.zeros(1, np.int64), np.array([total]))  # word 0 stands for all tokens
-
-    sums = written(rows.mapInArrow(words, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n")), "words")
-    total = (sums.where("word = 0").agg(F.sum("n")).first()[0]) or 0
-    some = sums.where((F.col("word") != 0) & (F.col("n") * 2 * DICTIONARY >= total)).select("word").toArrow()  # at most 2 * DICTIONARY
-    return np.sort(some.column(0).to_numpy().view(np.uint64)), int(total)
-
-
-def counted(rows: DataFrame, table: np.ndarray) -> DataFrame:
-    """Exact counts of the table's words (kind 1: word is the place), and the other words of each document (kind 0)."""
-    shared = rows.sparkSession.sparkContext.broadcast(table)
-
-    def words(batches):
-        known, sums = shared.value, np.zeros(len(shared.value) + 1, np.int64)
-        for uids, training, h, begins in blocks(batches):
-            at = numbers(h, known)
-            owner = np.repeat(np.arange(len(uids)), np.diff(begins))
-            sums += np.bincount(at[training[owner]] + 1, minlength=len(sums))
-            rare = at < 0
-            some, word = np.unique(h[rare], return_inverse=True)
-            pairs, n = np.unique(owner[rare] * max(1, len(some)) + word, return_counts=True)
-            doc = pairs // max(1, len(some))
-            yield batch_of("kind uid word n training", np.zeros(len(doc), np.int8), uids[doc], some[pairs % max(1, len(some))].view(np.int64), n, training[doc])
-        there = np.flatnonzero(sums[1:])
-        yield batch_of("kind uid word n training", np.ones(len(there), np.int8), np.zeros(len(there), np.int64), there, sums[1:][there], np.ones(len(there), bool))
-
-    return written(rows.mapInArrow(words, "kind tinyint, uid bigint, word bigint, n bigint, training boolean"), "tokens")
-
-
-def contexts(rows: DataFrame, table: np.ndarray, counts: np.ndarray, total: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Codes and counts of stored pairs and triples of dictionary words."""
-    share = lambda k: counts * k >= total
-    is_context, is_next, is_pair = share(CONTEXTS), share(NEXT), share(PAIRS)
-    end = numbers(np.array([END]), table)[0]
-    if end >= 0:
-        is_context[end] = is_pair[end] = False
-    shared = rows.sparkSession.sparkContext.broadcast((table, is_context, is_next, is_pair))
-
-    def words(batches):
-        known, context, following, pair = (np.append(x, np.zeros(1, x.dtype)) for x in shared.value)
-        for uids, training, h, begins in blocks(batches):
-            keep = np.repeat(training, np.diff(begins))
-            at = numbers(h, known[:-1])
-            ok = keep[1:].copy()
-            inner = begins[1:-1]
-            ok[inner - 1] = False  # no pair over the border of documents
-            a, b = at[:-1], at[1:]
-            two = ok & context[a] & following[b]
-            codes, n = np.unique((a[two] << 20) | b[two], return_counts=True)
-            yield batch_of("kind code n", np.full(len(codes), 2, np.int8), codes, n)
-            three = ok[:-1] & ok[1:] & pair[at[:-2]] & pair[at[1:-1]] & context[at[2:]] | ok[:-1] & ok[1:] & pair[at[:-2]] & pair[at[1:-1]] & (at[2:] == end)
-            codes, n = np.unique((at[:-2][three] << 40) | (at[1:-1][three] << 20) | at[2:][three], return_counts=True)
-            yield batch_of("kind code n", np.full(len(codes), 3, np.int8), codes, n)
-
-    sums = rows.mapInArrow(words, "kind tinyint, code bigint, n bigint").groupBy("kind", "code").agg(F.sum("n").alias("n")).where((F.col("n") * STORED >= total) & (F.col("n") >= 2))
-    got = sums.toArrow()  # at most STORED pairs and as many triples
-    kind, code, n = (got.column(k).to_numpy() for k in range(3))
-    out = []
-    for k in (2, 3):
-        order = np.argsort(code[kind == k])
-        out += [code[kind == k][order], n[kind == k][order]]
-    return tuple(out)
+def told(asked: DataFrame, price: float) -> DataFrame:
+    """Answers (TOLD) of the buckets to each block, in the order of its codes.  Counts: negative for the owner of what is stored; contexts: what is left for words not stored (log10), or nan.
+    ``distinct``: codes with a count, in the bucket's first row."""
+
+    def verdicts(kind: int, held: list):
+        codes = [np.cumsum(unpacked(r[3], np.uint64), dtype=np.uint64) for r in held]
+        at = np.cumsum([0, *map(len, codes)])
+        some, first, place = np.unique(np.concatenate(codes), return_index=True, return_inverse=True)
+        if kind <= TRIPLES:
+            n = np.bincount(place, np.concatenate([unpacked(r[4], np.int64) for r in held]), len(some)).astype(np.int64)
+            out, distinct = n[place], int((n > 0).sum())
+            out[first[n >= LEAST]] *= -1
+        else:
+            own = place[np.concatenate([unpacked(r[4], np.int64) + a for r, a in zip(held, at)])]
+            sums = np.concatenate([unpacked(r[5], float).reshape(6, -1).T for r in held])
+            c = np.ones(len(some))
+            c[own] = sums[:, 0]
+            k, n, given, n_log_n, n_log_given = (np.bincount(own, sums[:, j], len(some)) for j in range(1, 6))
+            left, left_given = 1 - (n - DISCOUNT * k) / c, 1 - given
+            fine = (k > 0) & (left > 0) & (left_given > 1e-9)
+            ratio = np.log(np.where(fine, left, 1) / np.where(fine, left_given, 1))
+            gain = n_log_n - n * np.log(c) - n_log_given + (c - n) * ratio
+            out, distinct = np.where(fine & (gain > price * k), ratio / math.log(10), np.nan)[place], 0
+        for j, r in enumerate(held):
+            yield (*r[:3], packed(out[at[j] : at[j + 1]]), 0 if j else distinct)
+
+    def rows_of(batches):
+        held, current = [], None
+
+        def told_of(found):
+            columns = list(zip(*found))
+            return batch_of("kind bucket block told distinct", *(np.array(x, t) for x, t in zip(columns[:3], (np.int8, np.int32, np.int64))), list(columns[3]), np.array(columns[4], np.int64))
+
+        for batch in batches:
+            for r in zip(*(batch.column(k).to_pylist() for k in range(6))):
+                if r[:2] != current:
+                    if held:
+                        yield told_of(list(verdicts(current[0], held)))
+                    held, current = [], r[:2]
+                held.append(r)
+        if held:
+            yield told_of(list(verdicts(current[0], held)))
+
+    return asked.repartition("kind", "bucket").sortWithinPartitions("kind", "bucket", "block").mapInArrow(rows_of, TOLD)
+
+
+def by_block(tokens: DataFrame, answers: list[DataFrame], buckets: int, result, schema: str) -> DataFrame:
+    """Arrow batches that result(block) gives for each block with all answers to it."""
+    names = ["ids", "training", "begins", "known", "at"]
+    rows = tokens.select("block", F.lit(0).cast("tinyint").alias("kind"), F.lit(0).alias("bucket"), F.lit(None).cast("binary").alias("told"), *names)
+    for x in answers:
+        rows = rows.union(x.select("block", "kind", "bucket", "told", *(F.lit(None).cast(tokens.schema[c].dataType).alias(c) for c in names)))
+
+    def rows_of(batches):
+        row, held, kinds = None, {}, {WORDS: np.int64, PAIRS: np.int64, TRIPLES: np.int64, ONE: np.float64, TWO: np.float64}
+
+        def whole():
+            block = Local(row, buckets, {k: np.concatenate([unpacked(x, t) for x in held[k]]) if k in held else np.zeros(0, t) for k, t in kinds.items()})
+            return [x for x in result(block) if x is not None]
+
+        for batch in batches:
+            for k in range(batch.num_rows):
+                kind = batch.column(1)[k].as_py()
+                if kind == 0:
+                    if row:
+                        yield from whole()
+                    row, held = {"block": batch.column(0)[k].as_py(), "ids": batch.column(4)[k].values} | {c: batch.column(j)[k].as_py() for j, c in enumerate(names[1:], start=5)}, {}
+                else:
+                    held.setdefault(kind, []).append(batch.column(3)[k].as_py())
+        if row:
+            yield from whole()
+
+    return rows.repartition("block").sortWithinPartitions("block", "kind", "bucket").mapInArrow(rows_of, schema)
 
 
 @dataclass
@@ -241,48 +354,70 @@ def grow(words: np.ndarray, counts: np.ndarray, total: int, distinct: int, store
 
 def score(documents: DataFrame, training) -> DataFrame:
     """doc_id, training, n_tokens, n_known, train_tokens, base_score, score; training: a Column, true for rows to learn from."""
-    rows = documents.select(F.xxhash64("doc_id", "text").alias("uid"), training.alias("training"), F.col("text").cast("binary").alias("text"), F.col("doc_id"))
-    plain = rows.select("uid", "training", "text")
-    table, total = frequent(plain)
-    tokens = counted(plain, table)
-    exact = tokens.where("kind = 1").groupBy("word").agg(F.sum("n").alias("n")).toArrow()
-    counts = np.zeros(len(table), np.int64)
-    counts[exact.column(0).to_numpy()] = exact.column(1).to_numpy()
-    keep = counts > 0
-    by_word = W.partitionBy("word")
-    rare = tokens.where("kind = 0").withColumn("c", F.sum(F.when(F.col("training"), F.col("n")).otherwise(0)).over(by_word)).withColumn("k", F.row_number().over(by_word.orderBy("uid")))
-    sums = rare.groupBy("uid").agg(
-        F.sum(F.col("n") * F.log10(F.col("c") + 1)).alias("rare_log"), F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("rare_known"), F.sum(F.when((F.col("k") == 1) & (F.col("c") > 0), 1).otherwise(0)).alias("first")
-    )
-    sums = written(sums, "rare")
-    distinct = int(keep.sum()) + int(sums.agg(F.sum("first")).first()[0] or 0)
-    near = counts * NEXT >= total  # what the tree may store
-    stored = contexts(plain, table[near], counts[near], total)
-    # Codes are places among the words that may be stored; the tree's table has these first places only.
-    tree = grow(table[near], counts[near], total, distinct, stored)
-    others = ~near & keep
-    shared = documents.sparkSession.sparkContext.broadcast((tree, table[others], np.log10(counts[others] + 1.0)))
-
-    def scored(batches):
-        model, more, logs = shared.value
-        for uids, _, h, begins in blocks(batches):
-            base, value, known = model.scores(h, begins)
-            at = numbers(h, more)
-            extra = np.where(at >= 0, logs[np.maximum(at, 0)] if len(logs) else 0.0, 0.0)
-            base, value, known = base + extra, value + extra, known | (at >= 0)
-            first = begins[:-1]
-            yield batch_of("uid n_tokens known base score", uids, np.diff(begins), np.add.reduceat(known.astype(np.int64), first), np.add.reduceat(base, first), np.add.reduceat(value, first))
-
-    once = plain.mapInArrow(scored, "uid bigint, n_tokens bigint, known bigint, base double, score double")
-    per_uid = once.groupBy("uid").agg(F.first("n_tokens").alias("n_tokens"), F.first("known").alias("known"), F.first("base").alias("base"), F.first("score").alias("score"), F.count("*").alias("copies"))
-    # Equal rows share a uid, and their rare words come once for each of them.
-    part = lambda c: F.coalesce(F.col(c) / F.col("copies"), F.lit(0))
-    return rows.select("uid", "doc_id", "training").join(per_uid, "uid").join(sums, "uid", "left").select(
-        "doc_id",
-        "training",
-        "n_tokens",
-        (F.col("known") + part("rare_known").cast("long")).alias("n_known"),
-        F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("base") + part("rare_log")).alias("base_score"),
-        (F.col("score") + part("rare_log")).alias("score"),
-    )
+    rows = documents.select("doc_id", training.alias("training"), F.col("text").cast("binary").alias("text"))
+    tokens = tokenised(rows)
+    every, total = (int(x or 0) for x in tokens.agg(F.sum("n"), F.sum("learned")).first())
+    buckets = max(int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")), every >> 20)
+    price = 0.5 * math.log(max(2, total))
+
+    def first(batches):
+        for batch in batches:
+            for k in range(batch.num_rows):
+                block = Local({c: batch.column(j)[k].values if c == "ids" else batch.column(j)[k].as_py() for j, c in enumerate(batch.schema.names)}, buckets, {})
+                learned = block.training.astype(float)
+                yield from filter(None, block.ask(WORDS, block.known, np.bincount(block.at, learned, len(block.known))))
+                yield from filter(None, block.ask(PAIRS, block.pairs, np.bincount(block.pair[block.second], learned[block.second], len(block.pairs))))
+
+    counted = stored(told(tokens.select("block", "ids", "training", "begins", "known", "at").mapInArrow(first, ASKED), price), "counts")
+    distinct = int(counted.where(F.col("kind") == WORDS).agg(F.sum("distinct")).first()[0] or 0)
+    z = total + distinct + 1
+
+    def second(block):
+        block.counts()
+        own = block.own_pair
+        yield from block.ask_context(ONE, block.known, block.n_word, block.left[own], block.n_pair[own], (block.n_word[block.right[own]] + 1) / z)
+        yield from block.ask(TRIPLES, block.triples, np.bincount(block.triple, block.training[block.third].astype(float), len(block.triples)))
+
+    states = stored(told(by_block(tokens, [counted], buckets, second, ASKED), price), "states")
+
+    def third(block):
+        block.counts()
+        block.one()
+        own = block.own_triple
+        context, suffix = block.context[own], block.suffix[own]
+        middle, last = block.left[suffix], block.right[suffix]
+        given = np.where(np.isnan(block.rest_word[middle]), (block.n_word[last] + 1) / z, (block.n_pair[suffix] - DISCOUNT) / np.maximum(1, block.n_word[middle]))
+        asked = block.asked_pairs
+        yield from block.ask_context(TWO, block.pairs[asked], block.n_pair[asked], np.searchsorted(asked, context), block.n_triple[own], given)
+
+    longer = stored(told(by_block(tokens, [counted, states], buckets, third, ASKED), price), "states")
+
+    def scored(block):
+        import pyarrow as pa
+
+        block.counts()
+        block.one()
+        rest_pair = np.full(len(block.pairs), np.nan)
+        rest_pair[block.asked_pairs] = block.answer(TWO, block.pairs[block.asked_pairs])
+        base = (np.log10(block.n_word + 1.0) - math.log10(z))[block.at]
+        value = base.copy()
+        rest, n = block.rest_word[block.left], block.n_pair
+        one = np.where(n >= LEAST, np.log10(np.maximum(n - DISCOUNT, DISCOUNT) / np.maximum(1, block.n_word[block.left])), rest + base_of(block, z))
+        one = np.where(np.isnan(rest), base_of(block, z), one)
+        value[block.second] = one[block.pair[block.second]]
+        rest, n = rest_pair[block.context], block.n_triple
+        two = np.where(n >= LEAST, np.log10(np.maximum(n - DISCOUNT, DISCOUNT) / np.maximum(1, block.n_pair[block.context])), rest + one[block.suffix])
+        two = np.where(np.isnan(rest), one[block.suffix], two)
+        value[block.third] = two[block.triple]
+        rest = rest_pair[block.pair[block.bare - 1]]
+        value[block.bare] += np.where(np.isnan(rest), 0, rest)
+        begin, sums = block.begins[:-1], [np.add.reduceat(x, block.begins[:-1]) for x in ((block.n_word[block.at] > 0).astype(np.int64), base, value)]
+        yield pa.RecordBatch.from_arrays([block.ids, pa.array(block.training[begin]), pa.array(np.diff(block.begins)), pa.array(sums[0]), pa.array(np.full(len(begin), total)), pa.array(sums[1]), pa.array(sums[2])], "doc_id training n_tokens n_known train_tokens base_score score".split())
+
+    ids = documents.schema["doc_id"].dataType.simpleString()
+    return by_block(tokens, [counted, states, longer], buckets, scored, f"doc_id {ids}, training boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
+
+
+def base_of(block: Local, z: int) -> np.ndarray:
+    """Of each pair: the root's log10 probability of its second word."""
+    return np.log10(block.n_word[block.right] + 1.0) - math.log10(z)
