@@ -266,6 +266,30 @@ def test_line_dedup(spark, docs):
     assert line_dedup.dedup_documents(empty(docs)).count() == 0 and line_dedup.dedup_documents(docs).count() == len(texts())
 
 
+@pytest.mark.parametrize("n", [10, 20, 30, 50])
+def test_line_bands_find_short_lines(n):
+    """Brute force over pairs of lines of n shingles at J from 0.80 to 0.85: nearly all share a band of the query's own banding."""
+    import inspect
+
+    parameters = inspect.signature(line_dedup.dedup).parameters
+    bands, rows = parameters["bands"].default, parameters["rows"].default
+    r = np.random.default_rng(n)
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyz"))
+    lines = []
+    for _ in range(1000):
+        x = "".join(r.choice(letters, n + 7))
+        for d in range(1, n):
+            y = x[d:] + "".join(r.choice(letters, int(r.integers(0, 2))))
+            a, b = line_dedup.line_sets([x.encode(), y.encode()])
+            both = len(np.intersect1d(a, b))
+            if 0.80 <= both / (len(a) + len(b) - both) <= 0.85:
+                lines += [x.encode(), y.encode()]
+                break
+    sigs = line_dedup.band_hashes(lines, bands, rows)
+    found = (sigs[::2] == sigs[1::2]).any(axis=1)
+    assert len(found) > 300 and found.mean() > 0.99
+
+
 def test_pipeline_keeps_columns(spark):
     pytest.importorskip("corpus_pipeline")
     import corpus_pipeline

@@ -1,9 +1,9 @@
 """Fuzzy line deduplication by MinHash.
 
 Lines are compared without case and outer or doubled white space.  A line's set: its shingles of eight
-characters (each folded to a byte; shorter lines: the line).  MinHash: for each of ``bands * rows`` points of the hash
-range the next hash of the line, round the range, so bands of ``rows`` values agree with a probability
-of about the Jaccard coefficient to the power ``rows``.  Lines that share a band are candidates: all of a bucket are verified
+characters (each folded to a byte; shorter lines: the line).  MinHash: ``bands * rows`` independent hashes, of each the least of
+the line's shingles, so bands of ``rows`` values agree with a probability
+of the Jaccard coefficient to the power ``rows``, whatever the number of shingles.  Lines that share a band are candidates: all of a bucket are verified
 exactly (Jaccard of the sets, 80 % or more) against its smallest, then its hubs; those that stay in different components
 are verified against each other in blocks, by exact counts over an inverted list.  Distributed union-find then gives components, of which the first line
 (by doc_id, then place) stays and all others are removed.
@@ -71,13 +71,12 @@ def line_sets(lines: list[bytes]) -> list[np.ndarray]:
 def band_hashes(lines: list[bytes], bands: int, rows: int) -> np.ndarray:
     """One row for each line, one column for each band."""
     h, counts = hashed(lines)
-    owner = np.repeat(np.arange(len(lines), dtype=np.uint64), counts)
-    ordered = np.sort((owner << np.uint64(44)) | (h >> np.uint64(20)))
-    ends = np.cumsum(counts)
-    points = (np.arange(bands * rows, dtype=np.uint64) * np.uint64((1 << 44) // (bands * rows)))[None, :] + (np.arange(len(lines), dtype=np.uint64) << np.uint64(44))[:, None]
-    at = np.searchsorted(ordered, points.ravel()).reshape(points.shape)
-    at = np.where(at >= ends[:, None], (ends - counts)[:, None], at)
-    values = ordered[at] & np.uint64((1 << 44) - 1)
+    begins = np.cumsum(counts) - counts
+    values = np.zeros((len(lines), bands * rows), np.uint64)
+    low, high = h & np.uint64(0xFFFFFFFF), h >> np.uint64(32)
+    for k, (x, y) in enumerate(mix(np.arange(1, 2 * bands * rows + 1, dtype=np.uint64)).reshape(-1, 2)):
+        # Multiply-add over both halves, of which the high bits are the hash.
+        values[:, k] = np.minimum.reduceat((low * (x | np.uint64(1)) + high * (y | np.uint64(1))) >> np.uint64(16), begins) if len(h) else 0
     out = np.zeros((len(lines), bands), np.uint64) + np.arange(1, bands + 1, dtype=np.uint64)
     for r in range(rows):
         out = mix(out * np.uint64(0x9E3779B97F4A7C15) + values[:, r * bands : (r + 1) * bands])
@@ -159,7 +158,7 @@ def texts_of(wanted: DataFrame, documents: DataFrame, least_words: int) -> DataF
     return near.join(wanted, "key", "left_semi").dropDuplicates(["key"])
 
 
-def dedup(documents: DataFrame, bands: int = 8, rows: int = 5, percent: int = 80, least_words: int = 5) -> DataFrame:
+def dedup(documents: DataFrame, bands: int = 20, rows: int = 4, percent: int = 80, least_words: int = 5) -> DataFrame:
     """The documents with duplicate lines removed from ``text``, and columns ``_n_lines, _removed, _kept_in``."""
     named = documents.withColumn("_uid", F.xxhash64("doc_id", "text"))
     gone = duplicates(named.select("doc_id", F.col("_uid").alias("uid"), "text"), bands, rows, percent, least_words).withColumnRenamed("uid", "_uid")
