@@ -290,6 +290,19 @@ def test_line_bands_find_short_lines(n):
     assert len(found) > 300 and found.mean() > 0.99
 
 
+def test_short_lines_take_part(spark, tmp_path):
+    """op10 and the pipeline's stage: of exact copies of short lines, and of lines in a script without spaces, one stays; blank lines stay."""
+    import corpus_pipeline
+    from verdikt.llm import queries
+
+    rows = [(1, "Read more\n\n日本語の長い行は空白なしで一つの語です"), (2, "read  more\nother\n\n"), (3, "日本語の長い行は空白なしで一つの語です\nRead more\nlast")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    frame.write.parquet(f"{tmp_path}/documents.parquet")
+    want = {1: rows[0][1], 2: "other\n\n", 3: "last"}
+    assert {r.doc_id: r.text for r in queries.op10_line_dedup(spark, str(tmp_path)).collect()} == want
+    assert {r.doc_id: r.text for r in corpus_pipeline.dedup_lines(spark, frame, "").collect()} == want
+
+
 def test_pipeline_keeps_columns(spark):
     pytest.importorskip("corpus_pipeline")
     import corpus_pipeline

@@ -11,7 +11,7 @@ are verified against each other in blocks, by exact counts over an inverted list
 Line texts are fetched for candidates only, by a second scan of the documents with a filter of fixed
 size (a bit vector of ``1 << 24`` bits: at most 2 MB), which lets some others through but loses none.
 
-Lines of fewer than ``least_words`` words are no passages and stay as they are.
+Lines of fewer than ``least_words`` words stay as they are; op10 and the pipeline pass 1, so that all lines but blank ones take part.
 
 Defined cases: null text: no lines, stays null.  A document may end up with an empty text; its row stays.
 Rows with equal doc_id and text are one document with that result in each row.  Null doc_ids come first in the
