@@ -6,8 +6,8 @@ at white space; ids of pieces seen before come from a cache, the others go throu
 batch.  Only borders that hold for the tokenizer's own pattern are used:
 
 ``words``: the tokenizer drops white space, so any ASCII white space is a border.
-``spaces``: a space between two characters that are not white space begins a piece.  A text where
-white space meets a space, or that has other white space than spaces and line ends, is cut by a
+``spaces``: a space between two characters that are not white space begins a piece, and so does what follows a line end.
+A text where white space meets a space, or that has other white space than spaces and line ends, is cut by a
 pattern that looks at both neighbours.
 
 A piece not seen before is cut once more into ASCII punctuation, letters, punctuation, where the letters
@@ -31,8 +31,11 @@ FIRST = b"\xff"
 BORDER = re.compile(r"(?<=\S) (?=\S)")
 # White space in UTF-8 other than spaces and line ends.
 ODD_BYTES = re.compile(rb"[\x09\x0b-\x0d\x1c-\x1f]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
+ODD_ASCII = re.compile(rb"[\x09\x0b-\x0d\x1c-\x1f]")
 #: ASCII punctuation but the apostrophe, which begins contractions.
 MARKS = bytes(c for c in range(33, 127) if not chr(c).isalnum() and c != 39)
+#: A piece and its end: perhaps the mark of a text's first piece, punctuation, ASCII letters, punctuation; or anything else.
+SHAPED = re.compile(rb"(?:(\xff?)([%b]*)([A-Za-z]+)([%b]*)|([^\xfe]*))\xfe" % ((re.escape(MARKS),) * 2))
 
 
 class Pieces(dict):
@@ -54,6 +57,7 @@ def alphabet() -> dict[int, int]:
 
 
 ALPHABET = alphabet()
+SPACE_LETTER = chr(ALPHABET[32])
 
 
 def mode_of(tokenizer) -> str:
@@ -85,6 +89,7 @@ class Encoder:
     def clear(self) -> None:
         self.known = Pieces()  # pieces between white space, by place in begin and length
         self.begin, self.length, self.pool = array("q"), array("q"), array(self.kind)
+        self.hits = np.zeros(0, np.int64)  # how often each piece was asked for
 
     def cut(self, text: bytes) -> list[bytes]:
         if self.mode == "words":
@@ -92,10 +97,12 @@ class Encoder:
         if not text:
             return []
         if self.mode == "spaces":
-            if b"  " in text or b" \n" in text or b"\n " in text or ODD_BYTES.search(text):
+            if b"  " in text or b" \n" in text or b"\n " in text or ODD_ASCII.search(text) or (not text.isascii() and ODD_BYTES.search(text)):
                 cut = [x.encode() for x in BORDER.split(text.decode())]
-            else:
+            elif b"\n\n\n" in text or text.endswith(b"\n\n"):
                 cut = text.split(b" ")
+            else:  # a line end with at most one more beside it is a pre-token, and what follows it begins without a space
+                cut = text.replace(b"\n", b" \xff\n \xff").split(b" ")
             cut[0] = FIRST + cut[0]  # all others stand for themselves after a space
             return cut
         return [text]
@@ -122,37 +129,69 @@ class Encoder:
             lead, core = b"", b" " + core
         return tuple(p for p in (lead, core, trail) if p)
 
+    def plans(self, new: list[bytes]):
+        """The pre-tokens of each piece.  Most pieces are ASCII letters between punctuation, which one search over all of them finds."""
+        if not self.mode:
+            yield from ((x,) for x in new)
+            return
+        spaces = self.mode == "spaces"
+        for first, lead, core, trail, other in SHAPED.findall(b"\xfe".join(new) + b"\xfe"):
+            if not core:
+                yield self.split(other if not spaces else other[1:] if other[:1] == FIRST else b" " + other)
+            elif not spaces or first:
+                yield tuple(p for p in (lead, core, trail) if p) if lead or trail else (core,)
+            elif lead:
+                yield (b" " + lead, core, trail) if trail else (b" " + lead, core)
+            else:
+                yield (b" " + core, trail) if trail else (b" " + core,)
+
     def learn(self) -> None:
         """Take in the pieces in ``known.new``, in order."""
-        parts, hard, plans = self.parts, {}, []
-        for x in self.known.new:
-            if self.mode == "spaces":
-                x = x[1:] if x[:1] == FIRST else b" " + x
-            plan = self.split(x) if self.mode else (x,)
+        parts, hard, tokenize = self.parts, {}, self.tokenizer.model.tokenize
+        plans = list(self.plans(self.known.new))
+        lower, kind = self.mode == "words", self.kind
+        for plan in plans:
             for p in plan:
                 if p not in parts and p not in hard:
-                    ids = self.ids_of(p) if self.mode else None
-                    if ids is None:
-                        hard[p] = None
-                    else:
+                    letters = p[1:] if p[:1] == b" " else p
+                    if self.mode and letters.isascii() and letters.isalpha():
+                        plain = p.lower().decode() if lower else p.decode().replace(" ", SPACE_LETTER)
+                        parts[p] = array(kind, [t.id for t in tokenize(plain)]).tobytes()
+                    elif self.mode and (ids := self.ids_of(p)) is not None:
                         parts[p] = ids
-            plans.append(plan)
+                    else:
+                        hard[p] = None
         asked = list(hard)
         for k in range(0, len(asked), 20_000):
             some = asked[k : k + 20_000]
             for p, e in zip(some, self.tokenizer.encode_batch([p.decode() for p in some], add_special_tokens=False)):
                 parts[p] = array(self.kind, e.ids).tobytes()
-        for plan in plans:
-            ids = b"".join([parts[p] for p in plan])
-            self.begin.append(len(self.pool))
-            self.pool.frombytes(ids)
-            self.length.append(len(self.pool) - self.begin[-1])
+        found = [parts[plan[0]] if len(plan) == 1 else b"".join([parts[p] for p in plan]) for plan in plans]
+        lengths = np.fromiter(map(len, found), np.int64, len(found)) // self.pool.itemsize
+        self.begin.frombytes((len(self.pool) + np.cumsum(lengths) - lengths).astype(np.int64).tobytes())
+        self.length.frombytes(lengths.tobytes())
+        self.pool.frombytes(b"".join(found))
         self.known.new = []
 
+    def forget(self) -> None:
+        """Of too many pieces, keep those asked for most often, half of ``most`` at most and twice at least each."""
+        least = max(2, int(np.partition(self.hits, -self.most // 2)[-self.most // 2]))
+        kept = np.flatnonzero(self.hits >= least)[: self.most // 2]
+        names, begin, length, pool = list(self.known), np.frombuffer(self.begin, np.int64)[kept], np.frombuffer(self.length, np.int64)[kept], np.frombuffer(self.pool, self.kind)
+        hits, ends = self.hits[kept] // 2, np.cumsum(length)
+        ids = pool[np.repeat(begin - (ends - length), length) + np.arange(ends[-1] if len(ends) else 0)]
+        del pool
+        self.clear()
+        self.known.update(zip([names[k] for k in kept.tolist()], range(len(kept))))
+        self.hits = hits
+        self.begin.frombytes((ends - length).tobytes())
+        self.length.frombytes(length.tobytes())
+        self.pool.frombytes(ids.tobytes())
+
     def encode(self, texts: Sequence[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
         """Of UTF-8 texts (None: empty): ids (uint32), and how many of them each text has."""
         if len(self.known) > self.most:
-            self.clear()
+            self.forget()
         if len(self.parts) > self.most_parts:
             self.parts.clear()
         gc.disable()  # many small objects, no cycles
@@ -166,6 +205,9 @@ class Encoder:
         at = np.concatenate(found) if found else np.zeros(0, np.int64)
         if not len(at):
             return np.zeros(0, np.uint32), np.zeros(len(found), np.int64)
+        hits = np.bincount(at, minlength=len(self.known))
+        hits[: len(self.hits)] += self.hits
+        self.hits = hits
         begin, length, pool = np.frombuffer(self.begin, np.int64)[at], np.frombuffer(self.length, np.int64)[at], np.array(self.pool, np.uint32)
         ends = np.cumsum(length)
         ids = pool[np.repeat(begin - (ends - length), length) + np.arange(ends[-1])]
