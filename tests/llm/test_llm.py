@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
-from verdikt.llm import bpe, chat, decontaminate, html, line_dedup, ngram_join, packing, quality, suffix_tree, token_store, toxicity  # noqa: E402
+from verdikt.llm import bpe, chat, decontaminate, exchange, html, line_dedup, ngram_join, packing, quality, suffix_tree, token_store, toxicity, words  # noqa: E402
+from verdikt.llm.common import mix  # noqa: E402
 
 LONG = " ".join(f"word{k % 977}x{k}" for k in range(30_000))
 BASE = [f"tok{k}" for k in range(60)]
@@ -92,18 +93,72 @@ def test_join_against_brute_force(spark):
     assert {r.doc_id: r.component_id for r in ngram_join.join(frame).collect()} == {k: find(k) for k in range(len(rows))}
 
 
-def test_deletion_neighbourhoods():
-    """Any two sets within the bound share a signature, with deletions in use too."""
+@pytest.mark.parametrize("percent", [85, 80])
+def test_signatures_of_similar_sets(percent):
+    """Any two sets within the bound share a signature, with deletions in use too, and copies that lack segments."""
     r = np.random.default_rng(3)
-    bands = ngram_join.Bands(85, {k: 10**13 for k in range(40)}, 3000)
-    assert any(d for _, d, _ in bands.plans)
-    for _ in range(300):
-        n = int(r.integers(8, 400))
-        x = np.unique(r.integers(0, 2**63, n).astype(np.uint64))
-        drop = int(r.integers(0, max(1, int(0.14 * n))))
+    bands = ngram_join.bands_for(percent)
+    assert (bands.plans[:40, 1] > 0).any()
+    pairs = []
+    for _ in range(1500):
+        n = int(r.integers(2, 40) if r.random() < 0.7 else r.integers(40, 900))
+        x = np.unique(r.integers(0, 2**63, n).astype(np.uint64) * np.uint64(2) + np.uint64(1))
+        drop = int(r.integers(0, max(2, int(0.22 * n))))
         y = np.unique(np.concatenate([x[drop // 2 :], r.integers(0, 2**63, drop - drop // 2).astype(np.uint64)]))
-        if ngram_join.similar(x, y, 85):
-            assert len(np.intersect1d(bands.signatures(x), bands.signatures(y)))
+        if r.random() < 0.1:  # all in one part of the universe: most segments are empty
+            x, y = x >> np.uint64(9), y >> np.uint64(9)
+        if len(x) and len(y) and ngram_join.similar(x, y, percent) and not np.array_equal(x, y):
+            pairs += [x, y]
+    assert len(pairs) > 500
+    sigs, owners = bands.signatures(np.concatenate(pairs), np.array([len(x) for x in pairs]))
+    of = [set(sigs[owners == k].tolist()) for k in range(len(pairs))]
+    assert all(a & b for a, b in zip(of[::2], of[1::2]))
+
+
+def test_words_and_shingles():
+    """Equal hashes for equal words or shingles and no others, wherever they stand."""
+    texts = [b"The cat", None, b"", b" the\tCAT sat\non the  mat the cat sat on the mat", b"\xc3\xa9t\xc3\xa9 the", b"x" * 3000 + b" the"]
+    split = [(t or b"").lower().split() for t in texts]
+    hashes, counts = words.plain()(texts)
+    assert counts.tolist() == [len(w) for w in split]
+    flat = [w for t in split for w in t]
+    assert len(set(zip(flat, hashes.tolist()))) == len(set(flat)) == len(set(hashes.tolist()))
+    for width in (1, 3, 4):
+        shingles = [[tuple(w[i : i + width]) for i in range(max(1, len(w) - width + 1))] if w else [] for w in split]
+        got, n = words.shingles(hashes, counts, width)
+        assert n.tolist() == [len(x) for x in shingles]
+        flat = [x for t in shingles for x in t]
+        assert len(set(zip(flat, got.tolist()))) == len(set(flat)) == len(set(got.tolist()))
+        found, sizes = words.distinct(got.copy(), n)
+        assert sizes.tolist() == [len(set(x)) for x in shingles] and len(found) == sum(sizes)
+
+
+def test_exchange(spark):
+    """Against brute force: the sets are those of all owners that share a signature, also of hot ones, whose owners come in part from blocks."""
+    r = np.random.default_rng(2)
+    sigs = [np.unique(np.where(r.random(40) < 0.3, r.integers(0, 60, 40), r.integers(0, 10**6, 40))).astype(np.uint64) for _ in range(400)]
+    sigs = [mix(x) for x in sigs]
+    told, messages, at, uid_of = [], [], 0, {}
+    for block in range(4):
+        outbox = exchange.Outbox(block, 5)
+        some = sigs[at : at + 100]
+        uids = outbox.add(np.concatenate(some), np.repeat(np.arange(100), [len(x) for x in some]), 100)
+        uid_of |= dict(zip(uids.tolist(), range(at, at + 100)))
+        rows, sets, owners = outbox.flush()
+        messages += rows
+        told += zip(sets.tolist(), owners.tolist())
+        at += 100
+    for b in range(5):
+        told += zip(*(x.tolist() for x in exchange.shared([m[1:] for m in messages if m[0] == b])))
+    got = {}
+    for s, u in told:
+        got.setdefault(s, set()).add(uid_of[u])
+    want = {}
+    for k, x in enumerate(sigs):
+        for s in x.tolist():
+            want.setdefault(s >> 16, set()).add(k)
+    assert max(map(len, want.values())) > 50
+    assert {frozenset(x) for x in got.values() if len(x) > 1} == {frozenset(x) for x in want.values() if len(x) > 1}
 
 
 @pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
@@ -262,7 +317,7 @@ def test_line_dedup(spark, docs):
     frame = spark.createDataFrame([(d, t, len(t or "")) for d, t in rows], "doc_id long, text string, n_chars int")
     got = {r.doc_id: r for r in line_dedup.dedup_documents(frame).collect()}
     assert got[1].text == "first unique line of five words" and got[2].text == "second unique line with other words" and got[None].text.endswith("!")
-    assert got[3].text == "short\nshort" and got[4].text is None and got[5].text == "" and got[1].n_chars == len(got[1].text)
+    assert got[3].text == "short" and got[4].text is None and got[5].text == "" and got[1].n_chars == len(got[1].text)
     assert line_dedup.dedup_documents(empty(docs)).count() == 0 and line_dedup.dedup_documents(docs).count() == len(texts())
 
 

@@ -19,21 +19,93 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def work_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder that the cluster names in ``spark.checkpoint.dir``.
 
-    Where that setting is missing (local tests) the context's checkpoint folder is used, or a folder
-    below the warehouse, which is shared as well.
+    Where that setting is missing the context's checkpoint folder is used.  A local master, which has one machine,
+    may do without both and gets a folder below the warehouse; elsewhere that is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
-        base = current.get() if current.isDefined() else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_work"
+        if current.isDefined():
+            base = current.get()
+        elif spark.sparkContext.master.split("[")[0] == "local":
+            base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_work"
+        else:
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     return f"{base.rstrip('/')}/verdikt/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write ``df`` as Parquet in the shared folder and read it back."""
-    path = work_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def written(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
+    """Cut the lineage: write ``df`` as Parquet in the shared folder and read it back.  Shuffle files of its making go as soon as it is there."""
+    spark, key = df.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    path, before = work_path(spark, name), spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        df.write.option("compression", compression).parquet(path)
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Delete tables of ``written`` that have had their last reader."""
+    for df in tables:
+        for file in df.inputFiles()[:1]:
+            jvm = df.sparkSession._jvm
+            path = jvm.org.apache.hadoop.fs.Path(file).getParent()
+            path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+#: Bits of the filter of ``split_near``.
+FILTER_BITS = 24
+
+
+def fresh(name: str, *tables: DataFrame) -> str:
+    """A column name that none of the tables has (names are the same without case)."""
+    taken = {c.lower() for df in tables for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def split_near(df: DataFrame, key: Column, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``df`` in two: rows whose ``key`` (bigint) is surely none of ``wanted`` (one bigint column), and all others.
+
+    The filter is a bit vector of ``1 << FILTER_BITS`` bits, dealt out as a table of at most ``1 << (FILTER_BITS - 6)`` rows (4 MB), so
+    it may be broadcast whatever ``wanted`` holds.  With very many wanted keys it lets more rows through, but loses none.
+    """
+    word, bits = fresh("near_word", df), fresh("near_bits", df)
+    place = lambda k: F.pmod(F.xxhash64(k), F.lit(1 << FILTER_BITS))
+    bit = lambda k: F.call_function("shiftleft", F.lit(1).cast("bigint"), place(k).bitwiseAND(F.lit(63)).cast("int"))
+    own = F.col(wanted.columns[0])
+    words = wanted.groupBy(F.shiftright(place(own), 6).alias(word)).agg(F.bit_or(bit(own)).alias(bits))
+    told = df.withColumn(word, F.shiftright(place(key), 6)).join(F.broadcast(words), word, "left")
+    near = F.coalesce(F.col(bits).bitwiseAND(bit(key)) != 0, F.lit(False)) & key.isNotNull()
+    return told.where(~near).select(df.columns), told.where(near).select(df.columns)
+
+
+def packed(x: np.ndarray) -> bytes:
+    """An array's bytes by planes (all first bytes, all second ones and so on) without the high planes of nothing but 0, compressed."""
+    import pyarrow as pa
+
+    if not len(x):
+        return b""
+    wide = x.itemsize if x.dtype.kind == "f" or x.dtype.kind == "i" and x.min() < 0 else max(1, (int(x.max()).bit_length() + 7) // 8)
+    planes = np.ascontiguousarray(np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.itemsize)[:, :wide].T).tobytes()
+    return wide.to_bytes(1, "little") + len(planes).to_bytes(8, "little") + pa.compress(planes, codec="zstd", asbytes=True)
+
+
+def unpacked(x: bytes, kind) -> np.ndarray:
+    import pyarrow as pa
+
+    kind = np.dtype(kind)
+    if not x:
+        return np.zeros(0, kind)
+    wide, size = x[0], int.from_bytes(x[1:9], "little")
+    planes = np.frombuffer(pa.decompress(x[9:], decompressed_size=size, codec="zstd", asbytes=True), np.uint8).reshape(wide, -1)
+    out = np.zeros((planes.shape[1], kind.itemsize), np.uint8)
+    out[:, :wide] = planes.T
+    return out.view(kind).ravel()
 
 
 def held_out(doc_id: Column, parts: int) -> Column:
@@ -41,15 +113,15 @@ def held_out(doc_id: Column, parts: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % parts == 2, F.lit(False))
 
 
-def parts(batch, column: int, most: int = 2 << 20):
-    """Slices of an Arrow batch with about ``most`` bytes in a text or binary column each (a longer text stands alone)."""
+def parts(batch, column: int, most: int = 2 << 20, rows: int = 1 << 14):
+    """Slices of an Arrow batch with about ``most`` bytes in a text or binary column each (a longer text stands alone), and no more than ``rows`` rows."""
     import pyarrow.compute as pc
 
     ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), np.int64) + 64)
     first = 0
     while first < batch.num_rows:
         before = ends[first - 1] if first else 0
-        last = max(first + 1, int(np.searchsorted(ends, before + most, side="right")))
+        last = min(first + rows, max(first + 1, int(np.searchsorted(ends, before + most, side="right"))))
         yield batch.slice(first, last - first)
         first = last
 

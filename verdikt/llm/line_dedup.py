@@ -1,135 +1,187 @@
 """Fuzzy line deduplication by MinHash.
 
 Lines are compared without case and outer or doubled white space.  A line's set: its shingles of eight
-characters (each folded to a byte; shorter lines: the line).  MinHash: ``bands * rows`` independent hashes, of each the least of
-the line's shingles, so bands of ``rows`` values agree with a probability
-of the Jaccard coefficient to the power ``rows``, whatever the number of shingles.  Lines that share a band are candidates: all of a bucket are verified
-exactly (Jaccard of the sets, 80 % or more) against its smallest, then its hubs; those that stay in different components
+characters (a shorter line: the line).  MinHash: the shingles are dealt to ``bands * rows`` bins by their hash, of each bin the least hash is
+its value, and an empty bin takes the value of the first bin with one in an order of its own (so that few shingles give values as
+independent as many do).  Bands of ``rows`` values agree with a probability of the Jaccard coefficient to the power ``rows``.  Lines that share a band are candidates: all of a bucket are verified
+exactly (Jaccard of the sets of code points, 80 % or more) against its smallest, then its hubs; those that stay in different components
 are verified against each other in blocks, by exact counts over an inverted list.  Distributed union-find then gives components, of which the first line
 (by doc_id, then place) stays and all others are removed.
 
-Line texts are fetched for candidates only, by a second scan of the documents with a filter of fixed
-size (a bit vector of ``1 << 24`` bits: at most 2 MB), which lets some others through but loses none.
+A task signs each line once; bands meet as in ``exchange``.  Line texts are fetched for candidates only, by a second scan of the documents with a filter of fixed
+size (a bit vector of ``1 << 24`` bits: at most 2 MB), which lets some others through but loses none.  Only documents that may lose a line
+are shuffled.
 
-Lines of fewer than ``least_words`` words stay as they are; op10 and the pipeline pass 1, so that all lines but blank ones take part.
+Lines of fewer than ``least_words`` words (default: none but blank ones) stay as they are.
 
 Defined cases: null text: no lines, stays null.  A document may end up with an empty text; its row stays.
 Rows with equal doc_id and text are one document with that result in each row.  Null doc_ids come first in the
-order.  No rows: no rows.  All columns are carried along; ``n_chars``, if there, is the new length.
+order.  doc_id is a number (or text of one).  No rows: no rows.  All columns are carried along, whatever their names; ``n_chars``, if there, is the new length.
 """
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, parts, signed, written
-from .ngram_join import NO_ID, members, resolve
+from .common import FILTER_BITS, fresh, mix, parts, signed, split_near, written
+from .exchange import Outbox, buckets_for, exchanged
+from .ngram_join import NO_ID, buckets_of, resolve
 
 SHINGLE = 8
-FILTER_BITS = 24
-
+EMPTY = np.uint32(0xFFFFFFFF)
+FACTS = "doc_id bigint, document bigint, places array<int>, keys array<bigint>, signed array<bigint>"
 
-def normal(line: bytes) -> bytes:
-    return b" ".join(line.lower().split())
 
-
-def keyed_lines(text: bytes | None, least_words: int) -> list[tuple[int, bytes, int]]:
-    """(place, normal form, key) of the lines that take part."""
+def keyed_lines(text: bytes | None, least_words: int) -> tuple[list[int], list[bytes], list[int]]:
+    """Places, normal forms and keys (unsigned) of the lines that take part."""
     import xxhash
 
-    out = []
-    for place, line in enumerate((text or b"").split(b"\n")):
-        words = line.lower().split()
-        if len(words) >= least_words:
-            form = b" ".join(words)
-            out.append((place, form, int(np.uint64(xxhash.xxh3_64_intdigest(form)).astype(np.int64))))
-    return out
-
-
-def hashed(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all lines' shingles in a row, and how many each line has."""
-    texts = [x.decode() for x in lines]
-    n = np.array([len(t) for t in texts], np.int64)
-    codes = np.frombuffer("".join(t + "\0" * SHINGLE for t in texts).encode("utf-32-le", "surrogatepass"), np.uint32)
-    folded = (codes ^ (codes >> 8) ^ (codes >> 16)).astype(np.uint8)
+    if not text:
+        return [], [], []
+    text = text.lower()
+    odd = b"  " in text or any(c in text for c in (b"\t", b"\r", b"\x0b", b"\x0c"))
+    forms = [b" ".join(x.split()) for x in text.split(b"\n")] if odd else [x.strip() for x in text.split(b"\n")]
+    if least_words > 1:
+        forms = [x if x.count(b" ") + 1 >= least_words else b"" for x in forms]
+    places = [k for k, x in enumerate(forms) if x]
+    forms = [x for x in forms if x]
+    return places, forms, list(map(xxhash.xxh3_64_intdigest, forms))
+
+
+def codes_of(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Code points of all lines with ``SHINGLE`` zeros after each, the shingles' begins there, and how many each line has."""
+    joined = (b"\0" * SHINGLE).join([*lines, b""])
+    if joined.isascii():
+        codes, n = np.frombuffer(joined, np.uint8), np.fromiter(map(len, lines), np.int64, len(lines))
+    else:
+        texts = [x.decode() for x in lines]
+        codes, n = np.frombuffer(joined.decode().encode("utf-32-le", "surrogatepass"), np.uint32), np.fromiter(map(len, texts), np.int64, len(texts))
     counts = np.maximum(1, n - SHINGLE + 1)
-    if not len(folded):
-        return np.zeros(0, np.uint64), counts
-    views = np.ndarray((len(folded) - SHINGLE + 1,), "<u8", folded.tobytes(), 0, (1,))
-    begins = np.concatenate([[0], np.cumsum(n + SHINGLE)[:-1]])
-    at = np.repeat(begins - (np.cumsum(counts) - counts), counts) + np.arange(int(counts.sum()))
-    return mix(views[at]), counts
+    begins = np.cumsum(n + SHINGLE) - n - SHINGLE
+    return codes, np.repeat(begins - (np.cumsum(counts) - counts), counts) + np.arange(int(counts.sum())), counts
 
 
 def line_sets(lines: list[bytes]) -> list[np.ndarray]:
-    h, counts = hashed(lines)
-    return [np.unique(x) for x in np.split(h, np.cumsum(counts)[:-1])] if lines else []
+    """Sorted distinct hashes of each line's shingles of code points."""
+    if not lines:
+        return []
+    codes, at, counts = codes_of(lines)
+    total = np.zeros(len(at), np.uint64)
+    for k, factor in enumerate(mix(np.arange(1, SHINGLE + 1, dtype=np.uint64))):
+        total += codes[at + k].astype(np.uint64) * factor
+    return [np.unique(x) for x in np.split(mix(total), np.cumsum(counts)[:-1])]
+
+
+@functools.cache
+def orders(bins: int) -> np.ndarray:
+    """For each bin, all bins in an order of its own."""
+    return np.argsort(mix(np.arange(1, bins * bins + 1, dtype=np.uint64)).reshape(bins, bins), axis=1)
+
+
+def minhashes(lines: list[bytes], bins: int) -> np.ndarray:
+    """One row of values for each line."""
+    codes, at, counts = codes_of(lines)
+    if codes.dtype != np.uint8:  # equal shingles stay equal
+        codes = (codes ^ (codes >> 8) ^ (codes >> 16)).astype(np.uint8)
+    h = np.ndarray((len(codes) - SHINGLE + 1,), "<u8", codes.tobytes(), 0, (1,))[at]
+    h = mix(h + np.uint64(0x9E3779B97F4A7C15))
+    place = np.repeat(np.arange(len(lines)) * bins, counts) + ((h >> np.uint64(32)) * np.uint64(bins) >> np.uint64(32)).astype(np.int64)
+    own = np.full(len(lines) * bins, EMPTY, np.uint32)
+    np.minimum.at(own, place, h.astype(np.uint32))
+    out, left = own.copy(), np.flatnonzero(own == EMPTY)
+    line, bin_, order = left // bins * bins, left % bins, orders(bins)
+    for k in range(bins):
+        value = own[line + order[bin_, k]]
+        found = value != EMPTY
+        out[left[found]] = value[found]
+        left, line, bin_ = left[~found], line[~found], bin_[~found]
+        if not len(left):
+            break
+    return out.reshape(len(lines), bins)
 
 
 def band_hashes(lines: list[bytes], bands: int, rows: int) -> np.ndarray:
     """One row for each line, one column for each band."""
-    h, counts = hashed(lines)
-    begins = np.cumsum(counts) - counts
-    values = np.zeros((len(lines), bands * rows), np.uint64)
-    low, high = h & np.uint64(0xFFFFFFFF), h >> np.uint64(32)
-    for k, (x, y) in enumerate(mix(np.arange(1, 2 * bands * rows + 1, dtype=np.uint64)).reshape(-1, 2)):
-        # Multiply-add over both halves, of which the high bits are the hash.
-        values[:, k] = np.minimum.reduceat((low * (x | np.uint64(1)) + high * (y | np.uint64(1))) >> np.uint64(16), begins) if len(h) else 0
     out = np.zeros((len(lines), bands), np.uint64) + np.arange(1, bands + 1, dtype=np.uint64)
+    if not len(lines):
+        return out
+    values = minhashes(lines, bands * rows)
     for r in range(rows):
         out = mix(out * np.uint64(0x9E3779B97F4A7C15) + values[:, r * bands : (r + 1) * bands])
     return out
 
 
 def duplicates(documents: DataFrame, bands: int, rows: int, percent: int, least_words: int) -> DataFrame:
-    """Lines to remove: ``uid, removed`` (places) and ``kept_in`` (doc_ids that keep a line of the same component)."""
-    base_rows = documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), "uid", F.col("text").cast("binary").alias("text"))
+    """Lines to remove: ``document, removed`` (places) and ``kept_in`` (doc_ids that keep a line of the same component); documents: ``doc_id, document, text``."""
+    base_rows = documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), "document", F.col("text").cast("binary").alias("text"))
+    # A line has some hundred bytes.
+    buckets = buckets_for(documents.sparkSession, int(base_rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) * bands // 100)
+    schema = f"bucket int, base bigint, sigs binary, owners binary, set bigint, uid bigint, {FACTS}"
 
     def signed_rows(batches):
         import pyarrow as pa
+        from pyspark import TaskContext
 
-        kinds = [("doc_id", pa.int64()), ("uid", pa.int64()), ("places", pa.list_(pa.int32())), ("keys", pa.list_(pa.int64())), ("new", pa.list_(pa.int64())), ("sigs", pa.list_(pa.int64()))]
-        seen: set[int] = set()
-        for batch in batches:
-            for part in parts(batch, 2, 1 << 20):
-                docs = [keyed_lines(t, least_words) for t in part.column(2).to_pylist()]
+        kinds = {"int": pa.int32(), "bigint": pa.int64(), "binary": pa.binary(), "array<int>": pa.list_(pa.int32()), "array<bigint>": pa.list_(pa.int64())}
+        kinds = {x.split()[0]: kinds[x.split()[1]] for x in schema.split(", ")}
+        outbox, seen = Outbox(TaskContext.get().partitionId(), buckets), set()
+
+        def batch(n: int, **columns):
+            columns["bucket"] = columns.get("bucket", np.arange(n, dtype=np.int32) % buckets)
+            return pa.RecordBatch.from_arrays([pa.array(columns[c], t) if c in columns else pa.nulls(n, t) for c, t in kinds.items()], list(kinds))
+
+        def flushed():
+            messages, sets, uids = outbox.flush()
+            if messages:
+                yield batch(len(messages), **{c: [m[k] for m in messages] for k, c in enumerate(("bucket", "base", "sigs", "owners"))})
+            if len(sets):
+                yield batch(len(sets), set=sets, uid=uids)
+
+        def listed(values: list, n: list[int], kind):
+            return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), pa.array(np.array(values, kind).view(kind.replace("u", ""))))
+
+        for given in batches:
+            for part in parts(given, 2, 1 << 20):
+                places, keys, counts, new, new_keys = [], [], [], [], []
                 if len(seen) > 500_000:
                     seen.clear()
-                fresh, owner = [], []
-                for d, lines in enumerate(docs):
-                    for line in lines:
-                        if line[2] not in seen:
-                            seen.add(line[2])
-                            fresh.append(line)
-                            owner.append(d)
-                sigs = signed(band_hashes([x[1] for x in fresh], bands, rows)) if fresh else np.zeros((0, bands), np.int64)
-                cut = np.searchsorted(np.array(owner), np.arange(len(docs) + 1)) if fresh else np.zeros(len(docs) + 1, np.int64)
-                keys = [x[2] for x in fresh]
-                of = list(zip(cut[:-1].tolist(), cut[1:].tolist()))
-                out = [part.column(0), part.column(1), [[x[0] for x in d] for d in docs], [[x[2] for x in d] for d in docs], [keys[a:b] for a, b in of], [sigs[a:b].ravel() for a, b in of]]
-                yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, t) for x, (_, t) in zip(out, kinds)], [n for n, _ in kinds])
-
-    base = written(base_rows.mapInArrow(signed_rows, "doc_id bigint, uid bigint, places array<int>, keys array<bigint>, new array<bigint>, sigs array<bigint>"), "lines")
-
-    def signatures(batches):
-        import pyarrow as pa
-
-        for batch in batches:
-            keys = batch.column(0).flatten().to_numpy(zero_copy_only=False)
-            sigs = batch.column(1).flatten()
-            yield pa.RecordBatch.from_arrays([sigs, pa.array(np.repeat(keys, bands))], ["sig", "key"])
-
-    buckets = written(members(base.select("new", "sigs").mapInArrow(signatures, "sig bigint, key bigint")), "buckets")
-    wanted = buckets.select("key").distinct()
-    roots = resolve(buckets, None, written(texts_of(wanted, base_rows, least_words), "texts"), line_sets, percent)
-    lines = base.select("doc_id", "uid", F.explode(F.arrays_zip("places", "keys")).alias("x")).select("doc_id", "uid", F.col("x.places").alias("place"), F.col("x.keys").alias("key"))
-    lines = lines.join(roots.withColumnRenamed("node", "key"), "key", "left").select("doc_id", "uid", "place", F.coalesce("root", "key").alias("root"))
-    first = lines.groupBy("root").agg(F.min(F.struct("doc_id", "uid", "place")).alias("first"), F.count("*").alias("n")).where("n > 1").select("root", "first")
-    gone = lines.join(first, "root").where(F.struct("doc_id", "uid", "place") != F.col("first"))
+                for text in part.column(2).to_pylist():
+                    at, forms, of = keyed_lines(text, least_words)
+                    places += at
+                    keys += of
+                    counts.append(len(at))
+                    for form, key in zip(forms, of):
+                        if key not in seen:
+                            seen.add(key)
+                            new.append(form)
+                            new_keys.append(key)
+                yield batch(len(counts), doc_id=part.column(0), document=part.column(1), places=listed(places, counts, "int32"), keys=listed(keys, counts, "uint64"))
+                for k in range(0, len(new), 1 << 14):
+                    some = new[k : k + (1 << 14)]
+                    if outbox.full(len(some)):
+                        yield from flushed()
+                    uids = outbox.add(band_hashes(some, bands, rows).ravel(), np.repeat(np.arange(len(some)), bands), len(some))
+                    yield batch(1, uid=uids[:1], signed=listed(new_keys[k : k + len(some)], [len(some)], "uint64"))
+        yield from flushed()
+
+    base = written(exchanged(base_rows.mapInArrow(signed_rows, schema), buckets, FACTS), "lines")
+    owners = base.where("signed is not null").select("uid", F.posexplode("signed").alias("k", "key")).select((F.col("uid") + F.col("k")).alias("uid"), "key")
+    sets = base.where("set is not null").select("set", "uid").distinct().join(owners, "uid").select("set", "key")
+    candidates = written(buckets_of(sets), "buckets")
+    texts = written(texts_of(candidates.select("key").distinct(), base_rows, least_words), "texts")
+    roots = resolve(candidates, None, lambda wanted: texts, line_sets, percent)
+    lines = base.where("places is not null").select("doc_id", "document", F.explode(F.arrays_zip("places", "keys")).alias("x")).select(F.col("x.keys").alias("key"), F.struct("doc_id", "document", F.col("x.places").alias("place")).alias("line"))
+    by_key = lines.groupBy("key").agg(F.min("line").alias("first"), F.count("*").alias("n"))
+    rooted = by_key.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+    first = rooted.groupBy("root").agg(F.min("first").alias("first"), F.sum("n").alias("n")).where("n > 1").select("root", "first")
+    known = written(rooted.select("key", "root").join(first, "root").select("key", "first"), "first")
+    gone = split_near(lines, F.col("key"), known.select("key"))[1].join(known, "key").where("line != first")
     # A document that comes in several equal rows has its lines several times, at the same places.
-    return gone.groupBy("uid").agg(F.sort_array(F.collect_set("place")).alias("removed"), F.sort_array(F.collect_set(F.when(F.col("first.doc_id") != NO_ID, F.col("first.doc_id")))).alias("kept_in"))
+    return gone.groupBy("line.document").agg(F.sort_array(F.collect_set("line.place")).alias("removed"), F.sort_array(F.collect_set(F.when(F.col("first.doc_id") != NO_ID, F.col("first.doc_id")))).alias("kept_in"))
 
 
 def texts_of(wanted: DataFrame, documents: DataFrame, least_words: int) -> DataFrame:
@@ -140,41 +192,55 @@ def texts_of(wanted: DataFrame, documents: DataFrame, least_words: int) -> DataF
     table = np.zeros(1 << (FILTER_BITS - 6), np.int64)
     told = words.toArrow()  # of a fixed size, whatever the number of lines
     table[told["word"].to_numpy()] = told["bits"].to_numpy()
-    shared = documents.sparkSession.sparkContext.broadcast(table)
+    shared = documents.sparkSession.sparkContext.broadcast(table.view(np.uint64))
 
     def rows(batches):
         import pyarrow as pa
 
-        bits, mask = shared.value, (1 << FILTER_BITS) - 1
+        bits, told = shared.value, set()
         for batch in batches:
-            found = {}
-            for text in batch.column(0).to_pylist():
-                for _, form, key in keyed_lines(text, least_words):
-                    if (int(bits[(key & mask) >> 6]) >> (key & 63)) & 1:
-                        found[key] = form
-            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.binary())], ["key", "text"])
+            for part in parts(batch, 0):
+                lines = [keyed_lines(text, least_words)[1:] for text in part.column(0).to_pylist()]
+                keys = np.array([k for _, some in lines for k in some], np.uint64)
+                at = keys & np.uint64((1 << FILTER_BITS) - 1)
+                near = np.flatnonzero(bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)).tolist()
+                if len(told) > 500_000:
+                    told.clear()
+                forms, found = [x for some, _ in lines for x in some], {}
+                for k in near:
+                    if (key := int(keys[k])) not in told:
+                        told.add(key)
+                        found[key] = forms[k]
+                yield pa.RecordBatch.from_arrays([pa.array(np.array(list(found), np.uint64).view(np.int64)), pa.array(list(found.values()), pa.binary())], ["key", "text"])
 
     near = documents.select("text").mapInArrow(rows, "key bigint, text binary")
     return near.join(wanted, "key", "left_semi").dropDuplicates(["key"])
 
 
-def dedup(documents: DataFrame, bands: int = 20, rows: int = 4, percent: int = 80, least_words: int = 5) -> DataFrame:
-    """The documents with duplicate lines removed from ``text``, and columns ``_n_lines, _removed, _kept_in``."""
-    named = documents.withColumn("_uid", F.xxhash64("doc_id", "text"))
-    gone = duplicates(named.select("doc_id", F.col("_uid").alias("uid"), "text"), bands, rows, percent, least_words).withColumnRenamed("uid", "_uid")
-    lines = F.split("text", "\n")
-    left = F.array_join(F.filter(F.transform(lines, lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda s: ~F.array_contains("_removed", s["i"]))["x"], "\n")
-    return (
-        named.join(gone.withColumnRenamed("removed", "_removed").withColumnRenamed("kept_in", "_kept_in"), "_uid", "left")
-        .withColumn("_n_lines", F.size(lines).cast("long"))
-        .withColumn("text", F.when(F.col("_removed").isNull(), F.col("text")).otherwise(left))
-        .drop("_uid")
-    )
+def cleaned(documents: DataFrame, bands: int, rows: int, percent: int, least_words: int) -> tuple[DataFrame, dict[str, str]]:
+    """The documents with duplicate lines removed from ``text``, and the names of further columns: n_lines, removed, kept_in."""
+    names = {c: fresh(c, documents) for c in ("n_lines", "removed", "kept_in", "document")}
+    named = documents.withColumn(names["document"], F.xxhash64("doc_id", "text"))
+    gone = duplicates(named.select("doc_id", F.col(names["document"]).alias("document"), "text"), bands, rows, percent, least_words)
+    gone = written(gone, "gone").toDF(names["document"], names["removed"], names["kept_in"])
+    stay, near = split_near(named, F.col(names["document"]), gone.select(names["document"]))
+    lines, removed = F.split("text", "\n"), F.col(names["removed"])
+    left = F.array_join(F.filter(F.transform(lines, lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda s: ~F.array_contains(removed, s["i"]))["x"], "\n")
+    near = near.join(gone, names["document"], "left").withColumn("text", F.when(removed.isNull(), F.col("text")).otherwise(left))
+    out = stay.withColumns({names["removed"]: F.lit(None).cast("array<int>"), names["kept_in"]: F.lit(None).cast("array<bigint>")}).unionByName(near)
+    return out, names
+
+
+def dedup(documents: DataFrame, bands: int = 20, rows: int = 4, percent: int = 80, least_words: int = 1) -> DataFrame:
+    """``doc_id, n_lines`` (before), ``removed`` (places of removed lines), ``kept_in`` (documents that keep such a line) and ``text`` of each row of ``doc_id, text``."""
+    n_lines = F.size(F.split("text", "\n")).cast("long").alias("n_lines")
+    out, names = cleaned(documents.select("doc_id", "text", n_lines), bands, rows, percent, least_words)
+    return out.select("doc_id", "n_lines", *[F.coalesce(F.col(names[c]), F.array().cast(t)).alias(c) for c, t in (("removed", "array<int>"), ("kept_in", "array<bigint>"))], "text")
 
 
-def dedup_documents(documents: DataFrame, **parameters) -> DataFrame:
-    """``dedup`` with the documents' own columns."""
-    out = dedup(documents, **parameters)
+def dedup_documents(documents: DataFrame, bands: int = 20, rows: int = 4, percent: int = 80, least_words: int = 1) -> DataFrame:
+    """The documents with duplicate lines removed from ``text``."""
+    out, _ = cleaned(documents, bands, rows, percent, least_words)
     if "n_chars" in documents.columns:
         out = out.withColumn("n_chars", F.length("text").cast(documents.schema["n_chars"].dataType))
     return out.select(documents.columns)

@@ -4,23 +4,25 @@ Sets of one size band [lo, hi] (hi < lo / 0.85 of the next) can only be similar
 a neighbour's.  For a band, the range of hashes is cut into m segments.  Two similar sets differ in at
 most H elements, so if m + d > H, d of the segments with a one-deletion neighbourhood (which catches one difference), the others as
 they are, then at least one segment agrees (pigeonhole).  A set's signatures are its segments' subsets, and
-for the d segments also those with one element left out.
+for the d segments also those with one element left out.  Bands where similar sets are equal (H = 0) need none.
 
-Allocation: m and d of a band minimise signatures for a set plus the agreements by accident that the band's
-number of documents makes likely (short segments agree by accident).  Empty segments of the first kind are
-not signatures: ``slack`` more segments make up for those that two sets can share, and a set that has more of
-them than that does keep them.
+Allocation: m and d of a band minimise its signatures, of which those of one element, which
+agree by accident most often, cost ``ACCIDENT`` times as much.  It depends on the sizes alone, so it is the same for any number of documents.
+Segments in which two sets agree because there is nothing in them are not signatures: ``slack`` more segments make up for those that two sets can share, and a set that has more of
+them than that (one in millions) does keep them.
 
-Copies (equal sets) are one class from the start.  In each bucket of a signature all classes are verified
+Copies (equal sets) are one class.  Signatures meet as in ``exchange``, which tells sets of owners; owners become classes, and
+sets of the same classes are one bucket.  In each bucket all classes are verified
 against its smallest one, then twice those in other components against its hub (the one with the most links so far); classes of a bucket
 that are then in different components are verified against each other, in blocks, by exact counts over an inverted list, unless sizes or histograms of their elements (bins for half of them or more, whose differences bound the sets')
-rule a link out.  So every pair that shares a signature is verified, or linked by verified pairs, or ruled out.
+rule a link out.  So every pair that shares a signature is verified, or linked by verified pairs, or ruled out.  Texts are
+fetched for pairs only that the bounds leave.
 
 Elements are 64-bit hashes of shingles; classes 64-bit sums of mixed elements.
 
 Defined cases: null or empty text, or no words: an empty set, linked with nothing.  Fewer words than a
 shingle: the whole sequence is the only element.  Rows with one doc_id are documents of their own for the
-join; a null doc_id stays null.  Other columns are ignored.
+join; a null doc_id stays null.  doc_id is a number (or text of one).  Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,49 +34,45 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, parts, signed, written
+from . import words
+from .common import dropped, mix, parts, signed, split_near, written
+from .exchange import OWNERS, Outbox, buckets_for, exchanged
 from .graph import components, merged
 
 NO_ID = -(1 << 63)
 BINS = 64
+#: What a signature of one element costs, against any other.
+ACCIDENT = 8.0
+#: Bands reach sets of this many elements.
+LARGEST = 1 << 31
 
 
 def shingle_sets(texts: list[bytes | None], width: int) -> list[np.ndarray]:
     """Sorted distinct 64-bit hashes of the word shingles of each text."""
-    import xxhash
-
-    words = [(t or b"").lower().split() for t in texts]
-    n = [len(w) for w in words]
-    flat = np.fromiter((h for w in words for h in map(xxhash.xxh3_64_intdigest, w)), np.uint64, sum(n))
-    many = len(flat) - width + 1
-    if many > 0:
-        h = np.zeros(many, np.uint64)
-        for k in range(width):
-            h = mix(h * np.uint64(0x9E3779B97F4A7C15) + flat[k : k + many])
-    out, at = [], 0
-    for w, k in zip(words, n):
-        if k >= width:
-            out.append(np.unique(h[at : at + k - width + 1]))
-        elif k:
-            x = np.zeros(1, np.uint64)
-            for j in range(at, at + k):
-                x = mix(x * np.uint64(0x9E3779B97F4A7C15) + flat[j : j + 1])
-            out.append(mix(x + np.uint64(k)))
-        else:
-            out.append(np.zeros(0, np.uint64))
-        at += k
-    return out
-
-
-def class_key(elements: np.ndarray) -> int:
-    """A set's class."""
-    return int(signed(mix(mix(elements).sum(dtype=np.uint64, keepdims=True) + np.uint64(len(elements))))[0])
+    flat, n = words.distinct(*words.shingles(*words.plain()(texts), width))
+    return np.split(flat, np.cumsum(n)[:-1]) if texts else []
+
+
+def class_keys(flat: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Classes of the sets in a row (int64), which have n elements each; 0 for empty ones."""
+    out = np.zeros(len(n), np.uint64)
+    full = n > 0
+    if len(flat):
+        out[full] = mix(np.add.reduceat(mix(flat), (np.cumsum(n) - n)[full]) + n[full].astype(np.uint64))
+    return signed(out)
+
+
+def histogram_rows(flat: np.ndarray, n: np.ndarray) -> list[bytes]:
+    """Of each set: counts (255 at most, which keeps the bound) of its elements' low bits, with half a bin or more for each element."""
+    bins = np.maximum(BINS, 1 << np.ceil(np.log2(n // 2 + 1)).astype(np.int64))
+    ends = np.cumsum(bins)
+    at = np.repeat(ends - bins, n) + (flat & np.repeat(bins - 1, n).astype(np.uint64)).astype(np.int64)
+    counts = np.minimum(np.bincount(at, minlength=int(bins.sum())), 255).astype(np.uint8).tobytes()
+    return [counts[a:b] for a, b in zip((ends - bins).tolist(), ends.tolist())]
 
 
 def histogram(elements: np.ndarray) -> bytes:
-    """Counts (255 at most, which keeps the bound) of the elements' low bits, with half a bin or more for each element."""
-    bins = max(BINS, 1 << (len(elements) // 2).bit_length())
-    return np.minimum(np.bincount((elements & np.uint64(bins - 1)).astype(np.int64), minlength=bins), 255).astype(np.uint8).tobytes()
+    return histogram_rows(elements, np.array([len(elements)]))[0]
 
 
 def histograms(stored: list[bytes]) -> np.ndarray:
@@ -83,69 +81,118 @@ def histograms(stored: list[bytes]) -> np.ndarray:
     return np.stack([np.frombuffer(h, np.uint8).reshape(-1, bins).sum(axis=0, dtype=np.int32) for h in stored])
 
 
+def rare_excess(mean: float, chance: float) -> int:
+    """The number that a Poisson variable exceeds with at most this chance."""
+    if mean > 50:
+        return math.ceil(mean + 6 * math.sqrt(mean))
+    term = left = math.exp(-mean)
+    k = 0
+    while 1 - left > chance and k < 200:
+        k += 1
+        term *= mean / k
+        left += term
+    return k
+
+
+@functools.cache
+def bands_for(percent: int) -> Bands:
+    return Bands(percent)
+
+
 class Bands:
-    """Size bands and their allocation for similarity of percent or more."""
+    """Size bands and their allocation for similarity of percent or more.  plans: segments, those with deletions, slack."""
 
-    def __init__(self, percent: int, documents: dict[int, int], largest: int):
-        """documents: an estimate of the number of sets for each power of two of their size."""
+    def __init__(self, percent: int, largest: int = LARGEST):
         self.percent = percent
         lows = [1]
         while lows[-1] <= largest:
             lows.append(100 * lows[-1] // percent + 1)
         lows.append(100 * lows[-1] // percent + 1)
         self.lows = np.array(lows, np.int64)
-        self.plans = [self.allocate(b, documents) for b in range(len(lows) - 1)]
+        self.plans = np.array([self.allocate(b) for b in range(len(lows) - 1)], np.int64)
 
     def differences(self, size_a, size_b):
         """Most elements in which two similar sets of these sizes (or their sum's bound) differ."""
         p = self.percent
         return (100 - p) * (size_a + size_b) // (100 + p)
 
-    def allocate(self, b: int, documents: dict[int, int]) -> tuple[int, int, int]:
+    def allocate(self, b: int) -> tuple[int, int, int]:
         """(segments, those with deletions, slack) of the least cost."""
         low, high = int(self.lows[b]), int(self.lows[b + 1]) - 1
-        next_high = (100 * (high + 1) // self.percent + 1) - 1 if b + 2 >= len(self.lows) else int(self.lows[b + 2]) - 1
-        need, there = self.differences(high, next_high) + 1, documents.get(high.bit_length(), 0)
-        best = (math.inf, need, 0, 0)
-        for d in sorted({0, *(round(need * k / 16) for k in range(1, 9))}):
-            slack, m = 0, max(1, need - d)
-            for _ in range(6):
-                empty = (m - d) * math.exp(-low / m) if m > d else 0
-                slack = math.ceil(empty + 3 * math.sqrt(empty)) if empty > 0.01 else 0
-                m = max(1, d, need - d + slack)
-            size = high / m
-            accidents = there * ((m - d) * size * math.exp(-size) + d * (1 + size) * math.exp(-size)) * 0.002
-            cost = m + d * size + accidents
-            if cost < best[0]:
-                best = (cost, m, d, slack)
-        return best[1:]
-
-    def signatures(self, elements: np.ndarray) -> np.ndarray:
-        """Signatures of a sorted set: of its own band, and of the one below."""
-        if not len(elements):
-            return np.zeros(0, np.uint64)
-        b = int(np.searchsorted(self.lows, len(elements), side="right")) - 1
-        mixed = mix(elements)
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed, dtype=np.uint64)])
-        out = [self.of_band(k, elements, mixed, sums) for k in ((b, b - 1) if b else (b,))]
-        return np.unique(np.concatenate(out))
-
-    def of_band(self, b: int, elements: np.ndarray, mixed: np.ndarray, sums: np.ndarray) -> np.ndarray:
-        m, d, slack = self.plans[b]
-        step = ((1 << 64) - 1) // m
-        edges = np.searchsorted(elements, np.arange(1, m, dtype=np.uint64) * np.uint64(step))
-        edges = np.concatenate([[0], edges, [len(elements)]])
-        salt = mix(np.arange(m, dtype=np.uint64) + np.uint64((b + 1) << 32))
-        size, total = np.diff(edges), sums[edges[1:]] - sums[edges[:-1]]
-        empty = size[d:] == 0
-        take = np.ones(m, bool)
-        if empty.sum() <= slack:
-            take[d:] = ~empty
-        whole = mix(total[take] + salt[take])
-        if not d:
-            return whole
-        segment = np.repeat(np.arange(d), size[:d])
-        return np.concatenate([whole, mix(total[segment] - mixed[: edges[d]] + salt[segment])])
+        next_high = 100 * (high + 1) // self.percent if b + 2 >= len(self.lows) else int(self.lows[b + 2]) - 1
+        need = self.differences(high, next_high) + 1
+        if need == 1:
+            return 0, 0, 0
+        # The smallest sets have too few elements for the rarest of chances.
+        for chance in (1e-7, 1e-5, 1e-4, 1e-3, 1e-2):
+            options = [self.option(low, high, need, share, chance) for share in (0, 1 / 16, 1 / 8, 1 / 4, 1 / 2, 3 / 4, 1)]  # of segments with deletions
+            if best := min((x for x in options if x), default=None):
+                return best[1:]
+        return need, 0, 0
+
+    @staticmethod
+    def option(low: int, high: int, need: int, share: float, chance: float) -> tuple[float, int, int, int] | None:
+        """(cost, segments, those with deletions, slack), so that a set has more of nothing than the slack with the given chance."""
+        m = math.ceil(need / (1 + share))
+        for _ in range(100):
+            d = math.ceil(share * m)
+            # What two sets may share of segments that have nothing, or of those with deletions one element at most (which count double).
+            none = (1 - 1 / m) ** low
+            thin = none + low / m * (1 - 1 / m) ** (low - 1)
+            slack = rare_excess((m - d) * none, chance) + 2 * rare_excess(d * thin, chance)
+            if m + d >= need + slack:
+                size = high / m
+                singles = (m - d) * size * math.exp(-size) + d * size * size * math.exp(-size)
+                return m + d * size + (ACCIDENT - 1) * singles, m, d, slack
+            m = max(m + 1, math.ceil((need + slack) / (1 + share)))
+        return None
+
+    def signatures(self, flat: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(signatures, places of their sets) of sorted sets in a row, of their own bands and of those below."""
+        if not len(flat):
+            return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        band = np.searchsorted(self.lows, n, side="right") - 1
+        mixed, out = mix(flat), []
+        for below in (0, 1):
+            plans = self.plans[np.maximum(band - below, 0)]
+            m = np.where((band >= below) & (n > 0), plans[:, 0], 0)
+            take = np.repeat(m > 0, n)
+            if take.any():
+                out.append(self.of_bands(flat[take], mixed[take], np.flatnonzero(m > 0), n[m > 0], m[m > 0], plans[m > 0, 1], plans[m > 0, 2], band[m > 0] - below))
+        if not out:
+            return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        return tuple(np.concatenate(x) for x in zip(*out))
+
+    def of_bands(self, flat, mixed, sets, n, m, d, slack, band) -> tuple[np.ndarray, np.ndarray]:
+        owner = np.repeat(np.arange(len(n)), n)
+        segment = ((flat >> np.uint64(32)) * m[owner].astype(np.uint64) >> np.uint64(32)).astype(np.int64)
+        new = np.ones(len(flat), bool)
+        new[1:] = (segment[1:] != segment[:-1]) | (owner[1:] != owner[:-1])
+        begins = np.flatnonzero(new)
+        size, of, seg = np.diff(np.append(begins, len(flat))), owner[begins], segment[begins]
+        total, salt = np.add.reduceat(mixed, begins), self.salt(band[of], seg)
+        sigs, owners = [mix(total + salt)], [of]
+        with_deletions = seg < d[of]
+        if with_deletions.any():
+            group = np.repeat(np.arange(len(begins)), size)
+            each = np.flatnonzero((with_deletions & (size > 1))[group])
+            sigs.append(mix(total[group[each]] - mixed[each] + salt[group[each]]))
+            owners.append(owner[each])
+        full = np.bincount(of[~with_deletions], minlength=len(n))
+        thick = np.bincount(of[with_deletions & (size > 1)], minlength=len(n))
+        for k in np.flatnonzero(m - d - full + 2 * (d - thick) > slack).tolist():  # keeps what has nothing
+            there = np.zeros(m[k], bool)
+            mine = of == k
+            there[seg[mine]] = True
+            single = seg[mine & (size == 1) & with_deletions]
+            lack = np.concatenate([np.flatnonzero(~there), single])
+            sigs.append(mix(self.salt(np.full(len(lack), band[k]), lack)))
+            owners.append(np.full(len(lack), k))
+        return np.concatenate(sigs), sets[np.concatenate(owners)]
+
+    @staticmethod
+    def salt(band: np.ndarray, segment: np.ndarray) -> np.ndarray:
+        return mix(segment.astype(np.uint64) + ((band + 1).astype(np.uint64) << np.uint64(32)))
 
 
 def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
@@ -153,60 +200,29 @@ def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(x) + len(y) - both)
 
 
-def members(signatures: DataFrame) -> DataFrame:
-    """(sig, key, pivot) of the buckets with two classes or more; rows are sorted by Spark and streamed."""
-
-    def rows(batches):
-        import pyarrow as pa
-
-        pivot_sig = pivot = previous = None
-        told = False
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            sig, key = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
-            keep = np.ones(len(sig), bool)
-            keep[1:] = (sig[1:] != sig[:-1]) | (key[1:] != key[:-1])
-            if previous == (sig[0], key[0]):
-                keep[0] = False
-            previous = (sig[-1], key[-1])
-            sig, key = sig[keep], key[keep]
-            if not len(sig):
-                continue
-            carried = pivot_sig is not None and sig[0] == pivot_sig
-            new = np.ones(len(sig), bool)
-            new[1:] = sig[1:] != sig[:-1]
-            new[0] = not carried
-            group = np.cumsum(new) - 1  # -1: the carried bucket
-            firsts = key[new]
-            pivots = np.where(group >= 0, firsts[np.maximum(group, 0)] if len(firsts) else 0, pivot if carried else 0)
-            counts = np.bincount(group + 1)
-            many = counts[group + 1] > 1
-            extra = None
-            if carried:
-                many |= group == -1
-                if not told:
-                    extra = (pivot_sig, pivot, pivot)
-            s, k, p = sig[many], key[many], pivots[many]
-            if extra:
-                s, k, p = (np.append(x, np.array([y], np.int64)) for x, y in zip((s, k, p), extra))
-            told = bool(counts[group[-1] + 1] > 1 or (carried and group[-1] == -1))
-            pivot_sig, pivot = sig[-1], pivots[-1]
-            if len(s):
-                yield pa.RecordBatch.from_arrays([pa.array(s), pa.array(k), pa.array(p)], ["sig", "key", "pivot"])
-
-    return signatures.repartition("sig").sortWithinPartitions("sig", "key").mapInArrow(rows, "sig bigint, key bigint, pivot bigint")
+def buckets_of(sets: DataFrame) -> DataFrame:
+    """(sig, key, pivot) of the sets (``set, key``) of two classes or more, one bucket for each group of classes."""
+    each = sets.distinct()
+    names = each.groupBy("set").agg(F.count("*").alias("n"), F.min("key").alias("pivot"), F.expr("sum(cast(xxhash64(key) as decimal(38, 0)))").alias("a"), F.bit_xor(F.xxhash64("key", F.lit(7))).alias("b"))
+    one = names.where("n > 1").groupBy("n", "pivot", "a", "b").agg(F.min("set").alias("set")).select("set", "pivot")
+    return each.join(one, "set").select(F.col("set").alias("sig"), "key", "pivot")
 
 
 def dealt(members_of: DataFrame, roots: DataFrame, facts: DataFrame, most_rows: int = 1024, most_elements: int = 250_000) -> DataFrame:
     """``sig, i, j, own, key, root`` and the facts of classes (``key, size, ...``) of buckets with several components.
-    Block i meets block j >= i; each row goes to all pairs of blocks that have its own."""
+    Block i meets block j >= i; each row goes to all pairs of blocks that have its own.  The rows of a bucket's largest
+    component have blocks of their own, which come last and do not meet each other."""
     known = members_of.select("sig", "key").join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     sized = known.join(facts.select("key", "size"), "key")
-    blocks = F.ceil(F.greatest(F.count("*") / most_rows, F.sum("size") / most_elements, F.lit(1))).cast("int")
-    open_ = sized.groupBy("sig").agg(F.min("root").alias("x"), F.max("root").alias("y"), blocks.alias("blocks")).where("x != y").select("sig", "blocks")
-    mine = known.join(open_, "sig").join(facts, "key").withColumn("own", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
-    others = mine.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    by_root = sized.groupBy("sig", "root").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
+    top = F.max(F.struct("n", "root", "size"))
+    sums = by_root.groupBy("sig").agg(F.count("*").alias("parts"), top.alias("top"), F.sum("n").alias("n"), F.sum("size").alias("size")).where("parts > 1")
+    blocks = lambda n, size: F.ceil(F.greatest(n / most_rows, size / most_elements, F.lit(1))).cast("int")
+    open_ = sums.select("sig", F.col("top.root").alias("top"), blocks(F.col("n") - F.col("top.n"), F.col("size") - F.col("top.size")).alias("few"), blocks(F.col("top.n"), F.col("top.size")).alias("many"))
+    mine = known.join(open_, "sig").join(facts, "key").withColumn("hash", F.xxhash64("key"))
+    is_top = F.col("root") == F.col("top")
+    mine = mine.withColumn("own", F.when(is_top, F.col("few") + F.pmod("hash", "many")).otherwise(F.pmod("hash", "few")).cast("int"))
+    others = mine.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(is_top, F.col("few") - 1).otherwise(F.col("few") + F.col("many") - 1))))
     return others.select("sig", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "key", "root", *[c for c in facts.columns if c != "key"])
 
 
@@ -286,18 +302,31 @@ def linked_in_blocks(rows: DataFrame, sets, percent: int) -> DataFrame:
     return by_block(rows, links, "a bigint, b bigint").distinct()
 
 
-def texts_of(wanted: DataFrame, classes: DataFrame, documents: DataFrame, width: int) -> DataFrame:
-    """``key, text`` of the wanted classes (``key``)."""
-    ids = wanted.join(classes.select("key", "doc_id"), "key")
+def texts_of(wanted: DataFrame, classes: DataFrame, documents: DataFrame) -> DataFrame:
+    """``key, text`` of the wanted classes (``key``); documents: ``hash, text``.  A class's text is found by its hash, so equal rows come once,
+    from each task once at most, and no id matters."""
+    hashes = wanted.distinct().join(classes.select("key", "hash"), "key")
+    near = split_near(documents, F.col("hash"), hashes.select("hash"))[1]
+    return near.groupBy("hash").agg(F.first("text").alias("text")).join(hashes, "hash").select("key", "text")
+
+
+def possible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that sizes and histograms of the classes leave."""
+    facts = classes.select("key", "size", "histogram")
+    sized = pairs
+    for x in ("a", "b"):
+        sized = sized.join(facts.select(F.col("key").alias(x), F.col("size").alias(f"size_{x}"), F.col("histogram").alias(f"bins_{x}")), x)
+    sized = sized.where(f"100 * least(size_a, size_b) >= {percent} * greatest(size_a, size_b)")
 
-    def right(batches):
+    def near(batches):
         import pyarrow as pa
 
-        for part in (p for batch in batches for p in parts(batch, 1)):
-            same = [class_key(s) == k for s, k in zip(shingle_sets(part.column(1).to_pylist(), width), part.column(0).to_pylist())]
-            yield part.filter(pa.array(same, pa.bool_()))
+        for batch in batches:
+            n, x, y = (batch.column(k).to_pylist() for k in (2, 3, 4))
+            keep = [int(np.abs(np.subtract(*histograms([p, q]))).sum()) * (100 + percent) <= (100 - percent) * m for m, p, q in zip(n, x, y)]
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return documents.join(ids, "doc_id").select("key", "text").mapInArrow(right, "key bigint, text binary").dropDuplicates(["key"])
+    return sized.select("a", "b", (F.col("size_a") + F.col("size_b")).alias("n"), "bins_a", "bins_b").mapInArrow(near, "a bigint, b bigint")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, sets, percent: int, salts: int = 16) -> DataFrame:
@@ -335,57 +364,109 @@ def restarted(buckets: DataFrame, roots: DataFrame, links: DataFrame) -> DataFra
     return pairs.select(F.least("key", "pivot").alias("a"), F.greatest("key", "pivot").alias("b")).distinct()
 
 
-def resolve(buckets: DataFrame, classes: DataFrame | None, texts: DataFrame, sets, percent: int, turns: int = 2) -> DataFrame:
+def resolve(buckets: DataFrame, classes: DataFrame | None, texts, sets, percent: int, turns: int = 2) -> DataFrame:
     """``node, root`` of the classes linked to others.  First all of a bucket are verified against its pivot;
-    in later turns against its hub, if still in different components; at last all of a bucket that still are, block by block
-    (classes, if given, have the histograms that spare the texts without a partner this)."""
+    in later turns against its hub, if still in different components; at last all of a bucket that still are, block by block.
+    texts(wanted) gives ``key, text`` of the wanted classes (``key``); classes, if given, have sizes and histograms, which spare the texts without a partner this."""
+
+    def held(pairs: DataFrame) -> DataFrame:
+        if classes is not None:
+            pairs = written(possible(pairs, classes, percent), "possible")
+        found = verified(pairs, texts(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()), sets, percent)
+        if classes is not None:
+            dropped(pairs)
+        return found
+
     done = written(buckets.where("key != pivot").select(F.least("key", "pivot").alias("a"), F.greatest("key", "pivot").alias("b")).distinct(), "pairs")
-    links = verified(done, texts, sets, percent)
+    links = held(done)
     roots = components(links)
     for _ in range(turns):
         more = written(restarted(buckets, roots, links).join(done, ["a", "b"], "left_anti"), "pairs")
         if more.isEmpty():
             break
-        new = verified(more, texts, sets, percent)
+        new = held(more)
         links, done, roots = links.union(new), done.union(more), merged(roots, new)
     if classes is None:
-        rows = dealt(buckets, roots, texts.select("key", F.octet_length("text").alias("size"), "text")).drop("size")
+        inside = texts(buckets.select("key").distinct())
+        rows = dealt(buckets, roots, inside.select("key", F.octet_length("text").alias("size"), "text")).drop("size")
     else:
-        rows = written(contested(dealt(buckets, roots, classes.select("key", "size", "histogram")), percent), "open").join(texts, "key").select("sig", "i", "j", "own", "key", "root", "text")
-    return merged(roots, linked_in_blocks(rows, sets, percent))
+        open_ = written(contested(dealt(buckets, roots, classes.select("key", "size", "histogram")), percent), "open")
+        rows = open_.join(texts(open_.select("key").distinct()), "key").select("sig", "i", "j", "own", "key", "root", "text")
+    return merged(roots, written(linked_in_blocks(rows, sets, percent), "links"))
+
+
+FACTS = "doc_id bigint, size bigint, key bigint, hash bigint, histogram binary"
 
 
 def join(documents: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
     """``doc_id, n_shingles, component_id`` of each row of ``doc_id, text``."""
-    rows = documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    chars = F.coalesce(F.length("text"), F.lit(0))
-    stats = {r[0]: (r[1], r[2]) for r in rows.groupBy(F.floor(F.log2(chars / 7 + 1)).cast("int") + 1).agg(F.count("*"), F.max(chars)).collect()}
-    bands = Bands(percent, {k: v[0] for k, v in stats.items()}, max([v[1] for v in stats.values()], default=0) // 2 + 2)
+    spark = documents.sparkSession
+    rows = documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.xxhash64("text").alias("hash"), F.col("text").cast("binary").alias("text"))
+    # A signature takes some 20 bytes of text.
+    buckets = buckets_for(spark, int(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // 20)
+    schema = f"bucket int, base bigint, sigs binary, owners binary, set bigint, uid bigint, {FACTS}"
 
     def signed_rows(batches):
         import pyarrow as pa
-
-        kinds = [("doc_id", pa.int64()), ("size", pa.int64()), ("key", pa.int64()), ("histogram", pa.binary()), ("sigs", pa.list_(pa.int64()))]
-        for batch in batches:
-            for part in parts(batch, 1):
-                sets = shingle_sets(part.column(1).to_pylist(), width)
-                out = [part.column(0), [len(s) for s in sets], [class_key(s) if len(s) else None for s in sets], [histogram(s) for s in sets], [signed(bands.signatures(s)) for s in sets]]
-                yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, t) for x, (_, t) in zip(out, kinds)], [n for n, _ in kinds])
-
-    base = written(rows.mapInArrow(signed_rows, "doc_id bigint, size bigint, key bigint, histogram binary, sigs array<bigint>"), "sets")
-    classes = base.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.min(F.when(F.col("doc_id") != NO_ID, F.col("doc_id"))).alias("smallest"), F.first("size").alias("size"), F.first("histogram").alias("histogram"))
+        from pyspark import TaskContext
+
+        kinds = {"int": pa.int32(), "bigint": pa.int64(), "binary": pa.binary()}
+        kinds = {x.split()[0]: kinds[x.split()[1]] for x in schema.split(", ")}
+        outbox, seen = Outbox(TaskContext.get().partitionId(), buckets), set()
+        bands = bands_for(percent)
+
+        def batch(n: int, **columns):
+            columns["bucket"] = columns.get("bucket", np.arange(n, dtype=np.int32) % buckets)
+            return pa.RecordBatch.from_arrays([pa.array(columns[c], t) if c in columns else pa.nulls(n, t) for c, t in kinds.items()], list(kinds))
+
+        def flushed():
+            messages, sets, uids = outbox.flush()
+            if messages:
+                yield batch(len(messages), **{c: [m[k] for m in messages] for k, c in enumerate(("bucket", "base", "sigs", "owners"))})
+            if len(sets):
+                yield batch(len(sets), set=sets, uid=uids)
+
+        for given in batches:
+            for part in parts(given, 2, 4 << 20):
+                flat, size = words.distinct(*words.shingles(*words.plain()(part.column(2).to_pylist()), width))
+                keys = class_keys(flat, size)
+                new = np.zeros(len(keys), bool)
+                if len(seen) > 500_000:
+                    seen.clear()
+                for k, (key, n) in enumerate(zip(keys.tolist(), size.tolist())):
+                    if n and key not in seen:
+                        seen.add(key)
+                        new[k] = True
+                some, n = flat[np.repeat(new, size)], size[new]
+                sigs, owners = bands.signatures(some, n)
+                if outbox.full(len(n)):
+                    yield from flushed()
+                uid, bins = np.full(len(keys), -1), [None] * len(keys)
+                uid[new] = outbox.add(sigs, owners, len(n))
+                for k, h in zip(np.flatnonzero(new).tolist(), histogram_rows(some, n)):
+                    bins[k] = h
+                yield batch(len(keys), uid=pa.array(uid, mask=~new), doc_id=part.column(0), size=size, key=pa.array(keys, mask=size == 0), hash=part.column(1), histogram=bins)
+        yield from flushed()
+
+    base = written(exchanged(rows.mapInArrow(signed_rows, schema), buckets, FACTS), "sets")
+    facts = base.where("set is null and key is not null")
+    classes = facts.groupBy("key").agg(F.min(F.when(F.col("doc_id") != NO_ID, F.col("doc_id"))).alias("smallest"), F.first("hash").alias("hash"), F.first("size").alias("size"), F.first("histogram", ignorenulls=True).alias("histogram"))
     classes = written(classes, "classes")
-    buckets = written(members(base.where("key is not null").select(F.explode("sigs").alias("sig"), "key")), "buckets")
-    texts = written(texts_of(buckets.select("key").distinct(), classes, rows, width), "texts")
-    roots = resolve(buckets, classes, texts, functools.partial(shingle_sets, width=width), percent)
+    sets = base.where("set is not null").select("set", "uid").distinct().join(facts.where("uid is not null").select("uid", "key"), "uid").select("set", "key")
+    buckets_ = written(buckets_of(sets), "buckets")
+    texts = lambda wanted: texts_of(wanted, classes, rows.where("text is not null").select("hash", "text"))
+    roots = resolve(buckets_, classes, texts, functools.partial(shingle_sets, width=width), percent)
     named = classes.select("key", "smallest").join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     smallest = named.groupBy("root").agg(F.min("smallest").alias("component_id"))
     by_key = named.join(smallest, "root").select("key", "component_id")
     real = F.when(F.col("doc_id") != NO_ID, F.col("doc_id"))
-    return base.select("doc_id", "size", "key").join(by_key, "key", "left").select(real.alias("doc_id"), F.col("size").alias("n_shingles"), F.when(F.col("key").isNull(), real).otherwise(F.col("component_id")).alias("component_id"))
+    told = base.where("set is null").select("doc_id", "size", "key").join(by_key, "key", "left")
+    return told.select(real.alias("doc_id"), F.col("size").alias("n_shingles"), F.when(F.col("key").isNull(), real).otherwise(F.col("component_id")).alias("component_id"))
 
 
 def keep_one(documents: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """The documents, of each component only the one with the smallest doc_id (all its rows)."""
-    ids = join(documents.select("doc_id", "text"), width, percent).where("doc_id is not null and component_id < doc_id").select("doc_id").distinct()
-    return documents.join(ids, "doc_id", "left_anti").select(documents.columns)
+    later = join(documents.select("doc_id", "text"), width, percent).where("doc_id is not null and component_id < doc_id").select(F.col("doc_id").alias("later")).distinct()
+    later = written(later, "later")
+    stay, near = split_near(documents, F.col("doc_id").cast("long"), later)
+    return stay.union(near.join(later, F.col("doc_id").cast("long") == F.col("later"), "left_anti").select(documents.columns))

@@ -76,9 +76,8 @@ def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per document; removed: places of removed lines, kept_in: the documents that keep such a line."""
-    out = line_dedup.dedup(table(spark, sf_dir, "documents"), least_words=1)
-    none = F.array()
-    return out.select("doc_id", F.col("_n_lines").alias("n_lines"), F.when(F.col("_removed").isNull(), 0).otherwise(F.size("_removed")).cast("long").alias("n_removed"), F.coalesce("_removed", none.cast("array<int>")).alias("removed"), F.coalesce("_kept_in", none.cast("array<bigint>")).alias("kept_in"), "text")
+    out = line_dedup.dedup(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", F.size("removed").cast("long").alias("n_removed"), "removed", "kept_in", "text")
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -30,7 +30,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, work_path
+from .common import mix, packed, unpacked, written
 
 LEAST = 2
 END = np.uint64(0xE4D0_0000_0000_0001)
@@ -42,35 +42,6 @@ ASKED = "kind tinyint, bucket int, block bigint, codes binary, a binary, b binar
 TOLD = "kind tinyint, bucket int, block bigint, told binary, distinct bigint"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """``written``, compressed more, and without the shuffle's files once it is there."""
-    path, conf, key = work_path(df.sparkSession, name), df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = conf.get(key, None)
-    conf.set(key, "true")
-    try:
-        df.write.option("compression", "zstd").parquet(path)
-    finally:
-        conf.unset(key) if before is None else conf.set(key, before)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def packed(x: np.ndarray) -> bytes:
-    """An array's bytes by planes (all first bytes, all second ones and so on), compressed."""
-    import pyarrow as pa
-
-    planes = np.ascontiguousarray(np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.itemsize).T).tobytes()
-    return len(planes).to_bytes(8, "little") + pa.compress(planes, codec="zstd", asbytes=True) if planes else b""
-
-
-def unpacked(x: bytes, kind) -> np.ndarray:
-    import pyarrow as pa
-
-    if not x:
-        return np.zeros(0, kind)
-    planes = pa.decompress(x[8:], decompressed_size=int.from_bytes(x[:8], "little"), codec="zstd", asbytes=True)
-    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
-
-
 def tokenised(rows: DataFrame) -> DataFrame:
     """Blocks of the documents (``doc_id, training, text``): their ids, training flags, begins, the hashes of their words, most frequent first, and of each token the place there."""
     ids = rows.schema["doc_id"].dataType.simpleString()
@@ -106,7 +77,7 @@ def tokenised(rows: DataFrame) -> DataFrame:
                 block += 1
                 first = last
 
-    return stored(rows.mapInArrow(blocks, f"block bigint, n bigint, learned bigint, ids array<{ids}>, training binary, begins binary, known binary, at binary"), "tokens")
+    return written(rows.mapInArrow(blocks, f"block bigint, n bigint, learned bigint, ids array<{ids}>, training binary, begins binary, known binary, at binary"), "tokens", "zstd")
 
 
 class Local:
@@ -368,7 +339,7 @@ def score(documents: DataFrame, training) -> DataFrame:
                 yield from filter(None, block.ask(WORDS, block.known, np.bincount(block.at, learned, len(block.known))))
                 yield from filter(None, block.ask(PAIRS, block.pairs, np.bincount(block.pair[block.second], learned[block.second], len(block.pairs))))
 
-    counted = stored(told(tokens.select("block", "ids", "training", "begins", "known", "at").mapInArrow(first, ASKED), price), "counts")
+    counted = written(told(tokens.select("block", "ids", "training", "begins", "known", "at").mapInArrow(first, ASKED), price), "counts", "zstd")
     distinct = int(counted.where(F.col("kind") == WORDS).agg(F.sum("distinct")).first()[0] or 0)
     z = total + distinct + 1
 
@@ -378,7 +349,7 @@ def score(documents: DataFrame, training) -> DataFrame:
         yield from block.ask_context(ONE, block.known, block.n_word, block.left[own], block.n_pair[own], (block.n_word[block.right[own]] + 1) / z)
         yield from block.ask(TRIPLES, block.triples, np.bincount(block.triple, block.training[block.third].astype(float), len(block.triples)))
 
-    states = stored(told(by_block(tokens, [counted], buckets, second, ASKED), price), "states")
+    states = written(told(by_block(tokens, [counted], buckets, second, ASKED), price), "states", "zstd")
 
     def third(block):
         block.counts()
@@ -390,7 +361,7 @@ def score(documents: DataFrame, training) -> DataFrame:
         asked = block.asked_pairs
         yield from block.ask_context(TWO, block.pairs[asked], block.n_pair[asked], np.searchsorted(asked, context), block.n_triple[own], given)
 
-    longer = stored(told(by_block(tokens, [counted, states], buckets, third, ASKED), price), "states")
+    longer = written(told(by_block(tokens, [counted, states], buckets, third, ASKED), price), "states", "zstd")
 
     def scored(block):
         import pyarrow as pa
