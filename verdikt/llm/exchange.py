@@ -21,7 +21,7 @@ BITS = 48
 HOT = 16
 #: A block's most owners: places have 15 bits, beside one that marks a signature told at once.
 OWNERS = 1 << 15
-ENTRIES = 1 << 20
+ENTRIES = 1 << 19
 
 
 def buckets_for(spark, entries: int) -> int:
