@@ -6,8 +6,8 @@ of the number of tokens for each next word that it stores.  Next-word distributi
 discounted goes to the words not stored, in proportion to the suffix's distribution.  The root is
 (c + 1) / (N + V + 1).  A word is scored in the longest retained suffix of what stands before it.
 
-Counts are exact and cover every training token.  Words are 64-bit hashes, and so are pairs and triples.  What is stored does not depend on shares of N:
-a pair or triple that occurs ``LEAST`` times is stored, and the divergence test alone decides which contexts are retained.
+Counts are exact and cover every training token.  Words are 64-bit hashes; codes of pairs and triples have 20 bits more than N needs.  What is stored does not depend on shares of N:
+a pair or triple that occurs ``LEAST`` times is stored if its own part of the gain pays that price, and the divergence test alone decides which contexts are retained.
 
 Nothing is broadcast, and only N, V and a count of blocks come to the driver.  Documents are tokenised once, into blocks of some MB that are
 written to the shared folder.  A block asks for its distinct words, pairs and triples: their codes (hashes) are dealt to buckets by range, each with the block's
@@ -30,7 +30,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, packed, unpacked, written
+from . import words
+from .common import mix, packed, parts, unpacked, written
 
 LEAST = 2
 END = np.uint64(0xE4D0_0000_0000_0001)
@@ -48,79 +49,92 @@ def tokenised(rows: DataFrame) -> DataFrame:
 
     def blocks(batches):
         import pyarrow as pa
-        import xxhash
         from pyspark import TaskContext
 
         block = TaskContext.get().partitionId() << 32
         for batch in batches:
-            training, texts, first = batch.column(1).to_numpy(zero_copy_only=False).astype(bool), batch.column(2), 0
-            while first < batch.num_rows:
-                last, size, n, hashes = first, 0, [], []
-                while last < batch.num_rows and size < BLOCK:
-                    text = texts[last].as_py() or b""
-                    words = text.lower().split()
-                    hashes.append(np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)))
-                    hashes.append(np.array([END]))
-                    n.append(len(words) + 1)
-                    size += len(text) + 64
-                    last += 1
+            for part in parts(batch, 2, BLOCK):
+                training = part.column(1).to_numpy(zero_copy_only=False).astype(bool)
+                hashes, n = [], []
+                for some in parts(part, 2, 1 << 20):
+                    h, counts = words.plain()(some.column(2).to_pylist())
+                    hashes.append(np.insert(h, np.cumsum(counts), END))
+                    n.append(counts + 1)
+                n = np.concatenate(n)
                 known, at, often = np.unique(np.concatenate(hashes), return_inverse=True, return_counts=True)
                 order = np.argsort(-often, kind="stable")
                 rank = np.zeros(len(order), np.uint32)
                 rank[order] = np.arange(len(order), dtype=np.uint32)
-                n = np.array(n, np.int64)
-                learned = int(n[training[first:last]].sum())
-                own = batch.column(0).slice(first, last - first)
-                listed = pa.ListArray.from_arrays(pa.array([0, len(own)], pa.int32()), own)
-                columns = [pa.array([packed(x)], pa.binary()) for x in (training[first:last], np.concatenate([[0], np.cumsum(n)]), known[order], rank[at])]
-                yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([int(n.sum())]), pa.array([learned]), listed, *columns], "block n learned ids training begins known at".split())
+                listed = pa.ListArray.from_arrays(pa.array([0, part.num_rows], pa.int32()), part.column(0))
+                columns = [pa.array([packed(x)], pa.binary()) for x in (training.view(np.uint8), np.concatenate([[0], np.cumsum(n)]), known[order], rank[at])]
+                yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([int(n.sum())]), pa.array([int(n[training].sum())]), listed, *columns], "block n learned ids training begins known at".split())
                 block += 1
-                first = last
 
     return written(rows.mapInArrow(blocks, f"block bigint, n bigint, learned bigint, ids array<{ids}>, training binary, begins binary, known binary, at binary"), "tokens", "zstd")
 
 
 class Local:
-    """A block's tokens, its distinct words, pairs and triples, and what is told of them (by kind, in the order of the codes)."""
+    """A block's tokens, its distinct words, pairs and triples, and what is told of them (by kind, in the order of the codes).
+    bits: of the codes of pairs and triples; z: the root's denominator; price: of a stored word."""
 
-    def __init__(self, row: dict, buckets: int, told: dict[int, np.ndarray]):
-        self.id, self.ids, self.buckets, self.told = row["block"], row["ids"], buckets, told
+    def __init__(self, row: dict, buckets: int, told: dict[int, np.ndarray], bits: int, z: int = 0, price: float = 0.0):
+        self.id, self.ids, self.buckets, self.told, self.bits, self.z, self.price = row["block"], row["ids"], buckets, told, bits, z, price
         self.begins = unpacked(row["begins"], np.int64)
         self.known, self.at = unpacked(row["known"], np.uint64), unpacked(row["at"], np.uint32).astype(np.int64)
         n = np.diff(self.begins)
-        self.training = np.repeat(unpacked(row["training"], bool), n)
+        self.training = np.repeat(unpacked(row["training"], np.uint8).view(bool), n)
         self.place = np.arange(len(self.at)) - np.repeat(self.begins[:-1], n)
         self.second = np.flatnonzero(self.place >= 1)
         keys, pair = np.unique(self.at[self.second - 1] * len(self.known) + self.at[self.second], return_inverse=True)
         self.pair = np.zeros(len(self.at), np.int64)  # of each token but a document's first: its pair with the one before
         self.pair[self.second] = pair
         self.left, self.right = keys // max(1, len(self.known)), keys % max(1, len(self.known))
-        self.pairs = joined(self.known[self.left], self.known[self.right])
+        self.pairs = self.code(self.known[self.left], self.known[self.right])
+        self.orders: dict[int, np.ndarray] = {}
+
+    def code(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return joined(a, b) >> np.uint64(64 - self.bits)
+
+    def order(self, kind: int, codes: np.ndarray) -> np.ndarray:
+        if kind not in self.orders:
+            self.orders[kind] = np.argsort(codes)
+        return self.orders[kind]
 
     def answer(self, kind: int, codes: np.ndarray) -> np.ndarray:
         out = np.zeros(len(codes), self.told[kind].dtype)
-        out[np.argsort(codes)] = self.told[kind]
+        out[self.order(kind, codes)] = self.told[kind]
         return out
 
+    def pays(self, n: np.ndarray, total: np.ndarray, given: np.ndarray) -> np.ndarray:
+        """Which next words are stored: n times in a context of total, with a probability of given in its suffix."""
+        often = n >= LEAST
+        return often & (n * np.log(np.maximum(n - DISCOUNT, DISCOUNT) / np.maximum(1, total) / given) > self.price)
+
     def counts(self) -> None:
         """Counts of words and pairs are told; the triples whose pairs are stored."""
         self.n_word = np.abs(self.answer(WORDS, self.known))
         n = self.answer(PAIRS, self.pairs)
-        self.n_pair, self.own_pair = np.abs(n), n < 0
+        self.n_pair = np.abs(n)
+        self.stored_pair = self.pays(self.n_pair, self.n_word[self.left], (self.n_word[self.right] + 1) / self.z)
+        self.own_pair = (n < 0) & self.stored_pair
         third = np.flatnonzero(self.place >= 2)
-        third = third[self.n_pair[self.pair[third - 1]] >= LEAST]
+        third = third[self.stored_pair[self.pair[third - 1]]]
         self.asked_pairs = np.unique(self.pair[third - 1])  # contexts that may be retained
-        last = self.n_pair[self.pair[third]] >= LEAST
+        last = self.stored_pair[self.pair[third]]
         self.third, self.bare = third[last], third[~last]
         keys, self.triple = np.unique(self.pair[self.third - 1] * max(1, len(self.pairs)) + self.pair[self.third], return_inverse=True)
         self.context, self.suffix = keys // max(1, len(self.pairs)), keys % max(1, len(self.pairs))  # places of both pairs
-        self.triples = joined(self.pairs[self.context], self.known[self.right[self.suffix]])
+        self.triples = self.code(self.pairs[self.context], self.known[self.right[self.suffix]])
 
     def one(self) -> None:
         """Contexts of one word are told: what each gives to words not stored (log10; nan: not retained)."""
         self.rest_word = self.answer(ONE, self.known)
         n = self.answer(TRIPLES, self.triples)
-        self.n_triple, self.own_triple = np.abs(n), n < 0
+        self.n_triple = np.abs(n)
+        middle, last = self.left[self.suffix], self.right[self.suffix]
+        self.given = np.where(np.isnan(self.rest_word[middle]), (self.n_word[last] + 1) / self.z, (self.n_pair[self.suffix] - DISCOUNT) / np.maximum(1, self.n_word[middle]))
+        self.stored_triple = self.pays(self.n_triple, self.n_pair[self.context], self.given)
+        self.own_triple = (n < 0) & self.stored_triple
 
     def ask(self, kind: int, codes: np.ndarray, n: np.ndarray):
         """Messages (ASKED) with codes and counts."""
@@ -139,8 +153,9 @@ class Local:
         yield from self.dealt(kind, codes, entries)
 
     def dealt(self, kind: int, codes: np.ndarray, entries):
-        order = np.argsort(codes)  # buckets are ranges of codes, so that sorted codes have small differences
-        some, begins = np.unique((codes[order] >> np.uint64(32)) * np.uint64(self.buckets) >> np.uint64(32), return_index=True)
+        order = self.order(kind, codes)  # buckets are ranges of codes, so that sorted codes have small differences
+        bits = 64 if kind in (WORDS, ONE) else self.bits
+        some, begins = np.unique((codes[order] >> np.uint64(bits - 32)) * np.uint64(self.buckets) >> np.uint64(32), return_index=True)
         rows = [(int(b), packed(np.diff(codes[k], prepend=np.uint64(0))), *map(packed, entries(k))) for b, k in zip(some, np.split(order, begins[1:]))] if len(some) else []
         many = len(rows)
         yield batch_of("kind bucket block codes a b", np.full(many, kind, np.int8), np.array([r[0] for r in rows], np.int32), np.full(many, self.id, np.int64), *([r[k] for r in rows] for k in (1, 2, 3))) if many else None
@@ -174,7 +189,8 @@ def told(asked: DataFrame, price: float) -> DataFrame:
         some, first, place = np.unique(np.concatenate(codes), return_index=True, return_inverse=True)
         if kind <= TRIPLES:
             n = np.bincount(place, np.concatenate([unpacked(r[4], np.int64) for r in held]), len(some)).astype(np.int64)
-            out, distinct = n[place], int((n > 0).sum())
+            distinct = int((n > 0).sum())
+            out = (n if kind == WORDS else np.where(n >= LEAST, n, 0))[place]
             out[first[n >= LEAST]] *= -1
         else:
             own = place[np.concatenate([unpacked(r[4], np.int64) + a for r, a in zip(held, at)])]
@@ -210,8 +226,8 @@ def told(asked: DataFrame, price: float) -> DataFrame:
     return asked.repartition("kind", "bucket").sortWithinPartitions("kind", "bucket", "block").mapInArrow(rows_of, TOLD)
 
 
-def by_block(tokens: DataFrame, answers: list[DataFrame], buckets: int, result, schema: str) -> DataFrame:
-    """Arrow batches that result(block) gives for each block with all answers to it."""
+def by_block(tokens: DataFrame, answers: list[DataFrame], made: tuple, result, schema: str) -> DataFrame:
+    """Arrow batches that result(block) gives for each block with all answers to it.  made: buckets, bits, z, price."""
     names = ["ids", "training", "begins", "known", "at"]
     rows = tokens.select("block", F.lit(0).cast("tinyint").alias("kind"), F.lit(0).alias("bucket"), F.lit(None).cast("binary").alias("told"), *names)
     for x in answers:
@@ -221,7 +237,8 @@ def by_block(tokens: DataFrame, answers: list[DataFrame], buckets: int, result,
         row, held, kinds = None, {}, {WORDS: np.int64, PAIRS: np.int64, TRIPLES: np.int64, ONE: np.float64, TWO: np.float64}
 
         def whole():
-            block = Local(row, buckets, {k: np.concatenate([unpacked(x, t) for x in held[k]]) if k in held else np.zeros(0, t) for k, t in kinds.items()})
+            buckets, *more = made
+            block = Local(row, buckets, {k: np.concatenate([unpacked(x, t) for x in held[k]]) if k in held else np.zeros(0, t) for k, t in kinds.items()}, *more)
             return [x for x in result(block) if x is not None]
 
         for batch in batches:
@@ -296,8 +313,16 @@ def grow(words: np.ndarray, counts: np.ndarray, total: int, distinct: int, store
             p = np.where(at >= 0, 10 ** tree.logs[0][np.maximum(at, 0)] if len(tree.logs[0]) else p, p)
         return p
 
+    pairs = np.zeros(0, np.int64)  # that are stored
     for order in (1, 2):
         codes, n = stored[2 * order - 2], stored[2 * order - 1]
+        if order == 2:
+            both = (numbers(codes >> 20, pairs) >= 0) & (numbers(codes & ((1 << 40) - 1), pairs) >= 0)
+            codes, n = codes[both], n[both]
+        total = counts[codes >> 20] if order == 1 else np.array([pair_totals[c] for c in (codes >> 20).tolist()])
+        pays = n * np.log((n - DISCOUNT) / total / parent(codes, order)) > price if len(codes) else np.zeros(0, bool)
+        codes, n = codes[pays], n[pays]
+        pairs = codes if order == 1 else pairs
         states, begin = np.unique(codes >> 20, return_index=True)
         ends = np.append(begin[1:], len(codes))
         total_of = counts[states] if order == 1 else np.array([pair_totals.get(s, 0) for s in states.tolist()])
@@ -329,12 +354,12 @@ def score(documents: DataFrame, training) -> DataFrame:
     tokens = tokenised(rows)
     every, total = (int(x or 0) for x in tokens.agg(F.sum("n"), F.sum("learned")).first())
     buckets = max(int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")), every >> 20)
-    price = 0.5 * math.log(max(2, total))
+    price, bits = 0.5 * math.log(max(2, total)), min(64, 20 + max(20, every.bit_length()))
 
     def first(batches):
         for batch in batches:
             for k in range(batch.num_rows):
-                block = Local({c: batch.column(j)[k].values if c == "ids" else batch.column(j)[k].as_py() for j, c in enumerate(batch.schema.names)}, buckets, {})
+                block = Local({c: batch.column(j)[k].values if c == "ids" else batch.column(j)[k].as_py() for j, c in enumerate(batch.schema.names)}, buckets, {}, bits)
                 learned = block.training.astype(float)
                 yield from filter(None, block.ask(WORDS, block.known, np.bincount(block.at, learned, len(block.known))))
                 yield from filter(None, block.ask(PAIRS, block.pairs, np.bincount(block.pair[block.second], learned[block.second], len(block.pairs))))
@@ -342,6 +367,7 @@ def score(documents: DataFrame, training) -> DataFrame:
     counted = written(told(tokens.select("block", "ids", "training", "begins", "known", "at").mapInArrow(first, ASKED), price), "counts", "zstd")
     distinct = int(counted.where(F.col("kind") == WORDS).agg(F.sum("distinct")).first()[0] or 0)
     z = total + distinct + 1
+    made = (buckets, bits, z, price)
 
     def second(block):
         block.counts()
@@ -349,19 +375,17 @@ def score(documents: DataFrame, training) -> DataFrame:
         yield from block.ask_context(ONE, block.known, block.n_word, block.left[own], block.n_pair[own], (block.n_word[block.right[own]] + 1) / z)
         yield from block.ask(TRIPLES, block.triples, np.bincount(block.triple, block.training[block.third].astype(float), len(block.triples)))
 
-    states = written(told(by_block(tokens, [counted], buckets, second, ASKED), price), "states", "zstd")
+    states = written(told(by_block(tokens, [counted], made, second, ASKED), price), "states", "zstd")
 
     def third(block):
         block.counts()
         block.one()
         own = block.own_triple
-        context, suffix = block.context[own], block.suffix[own]
-        middle, last = block.left[suffix], block.right[suffix]
-        given = np.where(np.isnan(block.rest_word[middle]), (block.n_word[last] + 1) / z, (block.n_pair[suffix] - DISCOUNT) / np.maximum(1, block.n_word[middle]))
+        context, given = block.context[own], block.given[own]
         asked = block.asked_pairs
         yield from block.ask_context(TWO, block.pairs[asked], block.n_pair[asked], np.searchsorted(asked, context), block.n_triple[own], given)
 
-    longer = written(told(by_block(tokens, [counted, states], buckets, third, ASKED), price), "states", "zstd")
+    longer = written(told(by_block(tokens, [counted, states], made, third, ASKED), price), "states", "zstd")
 
     def scored(block):
         import pyarrow as pa
@@ -373,11 +397,11 @@ def score(documents: DataFrame, training) -> DataFrame:
         base = (np.log10(block.n_word + 1.0) - math.log10(z))[block.at]
         value = base.copy()
         rest, n = block.rest_word[block.left], block.n_pair
-        one = np.where(n >= LEAST, np.log10(np.maximum(n - DISCOUNT, DISCOUNT) / np.maximum(1, block.n_word[block.left])), rest + base_of(block, z))
+        one = np.where(block.stored_pair, np.log10(np.maximum(n - DISCOUNT, DISCOUNT) / np.maximum(1, block.n_word[block.left])), rest + base_of(block, z))
         one = np.where(np.isnan(rest), base_of(block, z), one)
         value[block.second] = one[block.pair[block.second]]
         rest, n = rest_pair[block.context], block.n_triple
-        two = np.where(n >= LEAST, np.log10(np.maximum(n - DISCOUNT, DISCOUNT) / np.maximum(1, block.n_pair[block.context])), rest + one[block.suffix])
+        two = np.where(block.stored_triple, np.log10(np.maximum(n - DISCOUNT, DISCOUNT) / np.maximum(1, block.n_pair[block.context])), rest + one[block.suffix])
         two = np.where(np.isnan(rest), one[block.suffix], two)
         value[block.third] = two[block.triple]
         rest = rest_pair[block.pair[block.bare - 1]]
@@ -386,7 +410,7 @@ def score(documents: DataFrame, training) -> DataFrame:
         yield pa.RecordBatch.from_arrays([block.ids, pa.array(block.training[begin]), pa.array(np.diff(block.begins)), pa.array(sums[0]), pa.array(np.full(len(begin), total)), pa.array(sums[1]), pa.array(sums[2])], "doc_id training n_tokens n_known train_tokens base_score score".split())
 
     ids = documents.schema["doc_id"].dataType.simpleString()
-    return by_block(tokens, [counted, states, longer], buckets, scored, f"doc_id {ids}, training boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
+    return by_block(tokens, [counted, states, longer], made, scored, f"doc_id {ids}, training boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
 
 
 def base_of(block: Local, z: int) -> np.ndarray:
