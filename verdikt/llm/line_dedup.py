@@ -52,14 +52,18 @@ def keyed_lines(text: bytes | None, least_words: int) -> tuple[list[int], list[b
     return places, forms, list(map(xxhash.xxh3_64_intdigest, forms))
 
 
-def codes_of(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Code points of all lines with ``SHINGLE`` zeros after each, the shingles' begins there, and how many each line has."""
+def padded(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of all lines with ``SHINGLE`` zeros after each, and how many each line has."""
     joined = (b"\0" * SHINGLE).join([*lines, b""])
     if joined.isascii():
-        codes, n = np.frombuffer(joined, np.uint8), np.fromiter(map(len, lines), np.int64, len(lines))
-    else:
-        texts = [x.decode() for x in lines]
-        codes, n = np.frombuffer(joined.decode().encode("utf-32-le", "surrogatepass"), np.uint32), np.fromiter(map(len, texts), np.int64, len(texts))
+        return np.frombuffer(joined, np.uint8), np.fromiter(map(len, lines), np.int64, len(lines))
+    texts = [x.decode() for x in lines]
+    return np.frombuffer(joined.decode().encode("utf-32-le", "surrogatepass"), np.uint32), np.fromiter(map(len, texts), np.int64, len(texts))
+
+
+def codes_of(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``padded`` code points, the shingles' begins there, and how many shingles each line has."""
+    codes, n = padded(lines)
     counts = np.maximum(1, n - SHINGLE + 1)
     begins = np.cumsum(n + SHINGLE) - n - SHINGLE
     return codes, np.repeat(begins - (np.cumsum(counts) - counts), counts) + np.arange(int(counts.sum())), counts
@@ -84,14 +88,26 @@ def orders(bins: int) -> np.ndarray:
 
 def minhashes(lines: list[bytes], bins: int) -> np.ndarray:
     """One row of values for each line."""
-    codes, at, counts = codes_of(lines)
+    codes, n = padded(lines)
     if codes.dtype != np.uint8:  # equal shingles stay equal
         codes = (codes ^ (codes >> 8) ^ (codes >> 16)).astype(np.uint8)
-    h = np.ndarray((len(codes) - SHINGLE + 1,), "<u8", codes.tobytes(), 0, (1,))[at]
-    h = mix(h + np.uint64(0x9E3779B97F4A7C15))
-    place = np.repeat(np.arange(len(lines)) * bins, counts) + ((h >> np.uint64(32)) * np.uint64(bins) >> np.uint64(32)).astype(np.int64)
+    # Of each place a hash, also of those after a line's last shingle, which then count as empty.
+    h = np.ndarray((len(codes) - SHINGLE + 1,), "<u8", codes.tobytes(), 0, (1,)) * np.uint64(0x9E3779B97F4A7C15)
+    h ^= h >> np.uint64(32)
+    h *= np.uint64(0xD6E8FEB86659FD93)
+    value = h.astype(np.uint32)
+    ends = np.cumsum(n + SHINGLE)
+    for k in range(1, 2 * SHINGLE):
+        last = ends - k
+        after = last > ends - n - SHINGLE + np.maximum(n - SHINGLE, 0)
+        value[last[after & (last < len(value))]] = EMPTY
+    h >>= np.uint64(32)
+    h *= np.uint64(bins)
+    h >>= np.uint64(32)
+    place = h.view(np.int64)
+    place += np.repeat(np.arange(len(lines)) * bins, n + SHINGLE)[: len(h)]
     own = np.full(len(lines) * bins, EMPTY, np.uint32)
-    np.minimum.at(own, place, h.astype(np.uint32))
+    np.minimum.at(own, place, value)
     out, left = own.copy(), np.flatnonzero(own == EMPTY)
     line, bin_, order = left // bins * bins, left % bins, orders(bins)
     for k in range(bins):

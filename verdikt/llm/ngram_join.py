@@ -380,6 +380,8 @@ def resolve(buckets: DataFrame, classes: DataFrame | None, texts, sets, percent:
     done = written(buckets.where("key != pivot").select(F.least("key", "pivot").alias("a"), F.greatest("key", "pivot").alias("b")).distinct(), "pairs")
     links = held(done)
     roots = components(links)
+    # The pivots have been held against all of their buckets; what is left matters if it is two classes or more.
+    buckets = buckets.where("key != pivot").select("sig", "key")
     for _ in range(turns):
         more = written(restarted(buckets, roots, links).join(done, ["a", "b"], "left_anti"), "pairs")
         if more.isEmpty():
