@@ -162,3 +162,62 @@ def test_stream_is_batch(spark, tmp_path):
 def test_regexes():
     assert translated(r"(?i)a\Z") == r"(?Udi)a\z"
     assert translated(r"(?P<x_y>a)(?P=x_y)[[a]").endswith(r"(?<xy>a)\k<xy>[\[a]")
+
+
+def test_odd_json_hides_nothing(spark):
+    """NaN and repeated keys are read; a string that holds such a word stays as it is; column names clash with nothing."""
+    rows = [
+        (1, '{"type":"tool_call","tool_name":"bash","arguments":{"x":NaN}}'),
+        (2, '{"type":"tool_call","type":"tool_call","tool_name":"bash"}'),
+        (3, '{"type":"tool_call","tool_name":"ok","tool_name":"bash","arguments":{"x":[-Infinity, "a \\"NaN"]}}'),
+        (4, '{"type":"tool_call","tool_name":"ok","arguments":{"x":"NaN, DROP  TABLE"}}'),
+        (5, '{"content":"system: x","content":"fine"}'),
+        (6, '{NaN'),
+        (7, '{"type":"tool_call","tool_name":"bash","tool_name":"ok"}'),
+    ]
+    frame = spark.createDataFrame([(k, x, 9, 9, 9) for k, x in rows], "id int, raw string, _value int, _raw int, _results int")
+    out = ResponseVerifier([ToolGuard(), SafetyGuard()]).verify(frame)
+    got = {r.id: (r.verified, r.blocked, r._value + r._raw + r._results) for r in out.collect()}
+    assert got == {1: (False, True, 27), 2: (False, True, 27), 3: (False, True, 27), 4: (False, True, 27), 5: (True, False, 27), 6: (True, False, 27), 7: (True, False, 27)}
+
+
+def test_python_validators(spark):
+    """A validator's exception blocks, and breaks nothing else."""
+    from verdikt.operators.tool import PythonValidator
+
+    def positive(arguments):
+        return int(arguments["x"]) > 0, "x must be positive"
+
+    calls = [(1, "pay", '{"x":1}'), (2, "pay", '{"x":"abc"}'), (3, "pay", '{"x":-1}'), (4, "other", "{}")]
+    frame = spark.createDataFrame(calls, "id int, tool string, arguments string")
+    out = ResponseVerifier([ToolGuard(custom_validators={"pay": PythonValidator(positive)})]).verify_tool_call(frame, "tool", "arguments")
+    got = {r.id: (r.verified, r.blocked, r.block_reason) for r in out.collect()}
+    assert got[1] == got[4] == (True, False, None) and got[3] == (False, True, "Tool 'pay' validation failed: x must be positive")
+    assert got[2][:2] == (False, True) and got[2][2].startswith("Tool validator error: ")
+
+
+def test_adapters_stop_what_is_not_verified(spark):
+    import json
+
+    from verdikt.sources import adapters
+
+    bodies = spark.createDataFrame([("/a", '{"content": "a@b.com"}'), ("/a", '{"content": "x"}'), ("/a", "[1]"), (None, '{"content": "a@b.com"}')], "path string, body string")
+    for block in (True, False):
+        out = adapters.guard_bodies(bodies, ResponseVerifier([SafetyGuard()]), skip=["/health"], block_on_failure=block).collect()
+        stopped = [r.out_body != r.body for r in out]
+        assert stopped == ([True, False, True, True] if block else [False] * 4)
+    warned = json.loads(adapters.guard_bodies(bodies, ResponseVerifier([SafetyGuard()])).first().out_body)
+    assert warned["code"] == "VERIFICATION_FAILED" and warned["guards"] == [{"guard": "SafetyGuard", "message": "Safety warnings: 1 warning(s)"}]
+    released, refused = adapters.enforced(bodies.select(F.col("body").alias("raw")), ResponseVerifier([SafetyGuard()]))
+    assert released.count() == 1 and refused.count() == 3 and not json.loads(refused.first().result)["verified"]
+    starts = adapters.from_tool_starts(spark.createDataFrame([("bash", "ls")], "name string, input string"))
+    finishes = adapters.from_agent_finishes(spark.createDataFrame([('{"output":"a@b.com"}',)], "return_values string"))
+    assert not ResponseVerifier([ToolGuard()]).verify(starts).first().verified and not ResponseVerifier([SafetyGuard()]).verify(finishes).first().verified
+
+
+def test_plans_compute_once(spark):
+    """Each pattern and each field once in the optimised plan."""
+    frame = spark.createDataFrame([('{"output":{"total":1}}',)], "raw string")
+    plan = lambda g: ResponseVerifier([g]).verify(frame)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan(SafetyGuard()).count("RLIKE") <= 26
+    assert plan(MathGuard()).count("variant_get") <= 60

@@ -6,6 +6,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def bound(value: Column, make) -> Column:
+    """make(value), where the value is computed once however often ``make`` uses it (as a lambda's variable, which no projection copies)."""
+    return F.get(F.transform(F.array(value), make), F.lit(0))
+
+
 def path(*keys: str) -> str:
     return "$" + "".join('["' + k.replace('"', '\\"') + '"]' for k in keys)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.values import get, has, is_number, is_object, is_string, number, shown, shown_number, text
+from ..functions.values import bound, get, has, is_number, is_object, is_string, number, shown, shown_number, text
 from .base import Guard, Response
 
 # Fixed values: (total, parts), a part with a minus sign is subtracted.
@@ -35,35 +35,43 @@ class MathGuard(Guard):
         distance = F.abs(a - b)
         return (distance > self.tolerance) & ~F.isnan(distance)
 
-    def total_errors(self, d: Column) -> tuple[list[Column], Column]:
-        errors, bad = [], F.lit(False)
+    def fields(self) -> list[str]:
+        """The fields that the rules for totals read."""
+        if not self.totals:
+            return []
+        return ["total", "subtotal", "tax", "shipping", "discount"] if self.js else sorted({p.lstrip("-") for total, parts in TOTALS for p in (total, *parts)})
+
+    def total_errors(self, value: Column, n: Column) -> tuple[list[Column], Column]:
+        """value: the fields' values; n: the same as doubles."""
+        errors, bad, there = [], F.lit(False), lambda k: value[k].isNotNull()
         if self.js:
-            part = lambda k: F.coalesce(number(get(d, k)), F.lit(0.0))
-            made, said = part("subtotal") + part("tax") + part("shipping") - part("discount"), number(get(d, "total"))
-            rule = has(d, "total") & has(d, "subtotal") & self.off(made, said)
-            return [F.when(rule, F.concat(F.lit("Total mismatch: expected "), shown_number(made), F.lit(", got "), shown(get(d, "total"))))], bad
+            part = lambda k: F.coalesce(n[k], F.lit(0.0))
+            made = part("subtotal") + part("tax") + part("shipping") - part("discount")
+            rule = there("total") & there("subtotal") & self.off(made, n["total"])
+            return [F.when(rule, F.concat(F.lit("Total mismatch: expected "), shown_number(made), F.lit(", got "), shown(value["total"])))], bad
         for total, parts in TOTALS:
-            made = F.lit(0.0)
-            there = has(d, total)
+            made, all_there = F.lit(0.0), there(total)
             for p in parts:
                 field = p.lstrip("-")
-                there = there & has(d, field)
-                bad = bad | (has(d, total) & has(d, field) & number(get(d, field)).isNull())
-                made = made - number(get(d, field)) if p[0] == "-" else made + number(get(d, field))
-            said = get(d, total)
-            bad = bad | (there & ~is_number(said))
-            errors.append(F.when(there & self.off(made, number(said)), F.concat(F.lit(f"{total} mismatch: expected "), shown(said), F.lit(", calculated "), shown_number(made))))
+                all_there = all_there & there(field)
+                bad = bad | (there(total) & there(field) & n[field].isNull())
+                made = made - n[field] if p[0] == "-" else made + n[field]
+            bad = bad | (all_there & ~is_number(value[total]))
+            errors.append(F.when(all_there & self.off(made, n[total]), F.concat(F.lit(f"{total} mismatch: expected "), shown(value[total]), F.lit(", calculated "), shown_number(made))))
         return errors, bad
 
-    def percentage_errors(self, d: Column) -> tuple[Column, Column]:
-        """(messages, whether one crashes), over whatever keys there are."""
-        fields = F.try_variant_get(d, "$", "map<string,variant>")
-        keys = F.filter(F.map_keys(fields), lambda k: k.endswith("_percent") | k.endswith("_rate"))
+    def percentages_of(self, d: Column) -> Column:
+        """base, amount and rate (doubles) of whatever keys there are."""
+        pairs = lambda fields: F.transform(
+            F.filter(F.map_keys(fields), lambda k: k.endswith("_percent") | k.endswith("_rate")),
+            lambda k: F.struct(F.try_element_at(fields, base_key(k)).alias("base"), F.try_element_at(fields, F.concat(base_key(k), F.lit("_amount"))).alias("amount"), F.try_element_at(fields, k).alias("rate")),
+        )
         base_key = lambda k: F.replace(F.replace(k, F.lit("_percent"), F.lit("")), F.lit("_rate"), F.lit(""))
-        at = lambda k: F.try_element_at(fields, k)
-        rows = F.transform(keys, lambda k: F.struct(at(base_key(k)).alias("base"), at(F.concat(base_key(k), F.lit("_amount"))).alias("amount"), at(k).alias("rate")))
-        rows = F.filter(rows, lambda x: x["base"].isNotNull() & x["amount"].isNotNull())
-        numbers = F.transform(rows, lambda x: F.struct(number(x["base"]).alias("base"), number(x["amount"]).alias("amount"), (number(x["rate"]) / 100.0).alias("rate")))
+        rows = F.filter(bound(F.try_variant_get(d, "$", "map<string,variant>"), pairs), lambda x: x["base"].isNotNull() & x["amount"].isNotNull())
+        return F.transform(rows, lambda x: F.struct(number(x["base"]).alias("base"), number(x["amount"]).alias("amount"), (number(x["rate"]) / 100.0).alias("rate")))
+
+    def percentage_errors(self, numbers: Column) -> tuple[Column, Column]:
+        """(messages, whether one crashes)."""
         bad = F.exists(numbers, lambda x: x["base"].isNull() | x["amount"].isNull() | x["rate"].isNull())
         wrong = F.filter(numbers, lambda x: self.off(x["base"] * x["rate"], x["amount"]))
         message = lambda x: F.concat(F.lit("Percentage calculation error: "), shown_number(x["rate"] * 100), F.lit("% of "), shown_number(x["base"]), F.lit(" should be "), shown_number(x["base"] * x["rate"]), F.lit(", got "), shown_number(x["amount"]))
@@ -91,11 +99,31 @@ class MathGuard(Guard):
         return errors, bad
 
     def column(self, r: Response) -> Column:
-        d = F.coalesce(get(r.value, "output"), r.value)
-        none, no = F.array().cast(EMPTY), F.lit(False)
-        totals, bad_totals = self.total_errors(d) if self.totals else ([], no)
-        percent, bad_percent = self.percentage_errors(d) if self.percentages else (none, no)
-        rules, bad_rules = self.rule_errors(d)
-        errors = F.concat(F.when(is_object(d), compact(totals)).otherwise(none), F.when(is_object(d), percent).otherwise(none), F.when(is_string(d), self.inline_errors(text(d))).otherwise(none), compact(rules))
-        bad = ~is_object(r.value) | (is_object(d) & (bad_totals | bad_percent)) | bad_rules
-        return F.when(bad, self.crash("could not convert to float")).when(F.size(errors) > 0, self.fails(F.format_string("Math verification failed: %d error(s)", F.size(errors)), F.struct(errors.alias("errors")))).otherwise(self.passes("Math verification passed"))
+        none, no, names = F.array().cast(EMPTY), F.lit(False), self.fields()
+
+        def checked(d: Column) -> Column:
+            """struct<errors, bad> of a target."""
+            rules, bad_rules = self.rule_errors(d)
+            outcome = lambda errors, bad: F.struct(errors.alias("errors"), bad.alias("bad"))
+
+            def of_object() -> Column:
+                parts = []
+                if names:
+                    totals = lambda v: bound(F.struct(*[number(v[k]).alias(k) for k in names]), lambda n: outcome(compact((x := self.total_errors(v, n))[0]), x[1]))
+                    parts.append(bound(F.struct(*[get(d, k).alias(k) for k in names]), totals))
+                if self.percentages:  # the key's text, or an escape that may hide it, must be there
+                    may = F.contains(r.raw, F.lit("_percent")) | F.contains(r.raw, F.lit("_rate")) | F.contains(r.raw, F.lit("\\u"))
+                    parts.append(F.when(may, bound(self.percentages_of(d), lambda n: outcome(*self.percentage_errors(n)))).otherwise(outcome(none, no)))
+                if not parts:
+                    return outcome(none, no)
+                return bound(F.array(*parts), lambda all_: outcome(F.flatten(F.transform(all_, lambda x: x["errors"])), F.exists(all_, lambda x: x["bad"])))
+
+            own = F.when(is_object(d), of_object()).when(is_string(d), outcome(self.inline_errors(text(d)), no)).otherwise(outcome(none, no))
+            return bound(own, lambda x: outcome(F.concat(x["errors"], compact(rules)), x["bad"] | bad_rules))
+
+        def verdict(x: Column) -> Column:
+            failed = self.fails(F.format_string("Math verification failed: %d error(s)", F.size(x["errors"])), F.struct(x["errors"].alias("errors")))
+            return F.when(x["bad"], self.crash("could not convert to float")).when(F.size(x["errors"]) > 0, failed).otherwise(self.passes("Math verification passed"))
+
+        target = F.coalesce(get(r.value, "output"), r.value)
+        return F.when(~is_object(r.value), self.crash("could not convert to float")).otherwise(bound(bound(target, checked), verdict))

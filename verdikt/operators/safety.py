@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions.regexes import searched
-from ..functions.values import get, is_number, is_object, is_string, kind, number, text
+from ..functions.values import bound, get, is_number, is_object, is_string, kind, number, text
 from .base import Guard, Response
 
 # The default patterns, all searched without case.
@@ -92,19 +92,23 @@ class SafetyGuard(Guard):
         return (F.array_compact(F.array(*messages)) if messages else F.array()).cast("array<string>"), bad
 
     def column(self, r: Response) -> Column:
-        content = self.content(r)
         budget, bad = self.budget(r)
-        groups = [("pii", "warning", found_in(content, self.pii)), ("injection", "error", found_in(content, self.injection)), ("harmful", "error", found_in(content, self.harmful)), ("budget", "error", budget)]
-        groups += [("custom_pattern", "error", F.when(searched(content, p), F.array(F.lit(p))).otherwise(F.array().cast("array<string>"))) for p in self.custom]
-        issues = F.array_compact(F.array(*[F.when(F.size(d) > 0, F.struct(F.lit(t).alias("type"), F.lit(s).alias("severity"), d.alias("details"))) for t, s, d in groups]))
-        count = lambda s: F.size(F.filter(issues, lambda x: x["severity"] == s))
-        details = F.struct(issues.alias("issues"))
-        return (
-            F.when(~is_object(r.value) | bad, self.crash("malformed usage or response"))
-            .when(count("error") > 0, self.fails(F.format_string("Safety check failed: %d critical issue(s)", count("error")), details))
-            .when(count("warning") > 0, self.warns(F.format_string("Safety warnings: %d warning(s)", count("warning")), details))
-            .otherwise(self.passes("All safety checks passed"))
-        )
+
+        def issues(content: Column) -> Column:
+            groups = [("pii", "warning", found_in(content, self.pii)), ("injection", "error", found_in(content, self.injection)), ("harmful", "error", found_in(content, self.harmful)), ("budget", "error", budget)]
+            groups += [("custom_pattern", "error", F.when(searched(content, p), F.array(F.lit(p))).otherwise(F.array().cast("array<string>"))) for p in self.custom]
+            return F.filter(F.array(*[F.struct(F.lit(t).alias("type"), F.lit(s).alias("severity"), d.alias("details")) for t, s, d in groups]), lambda x: F.size(x["details"]) > 0)
+
+        def verdict(found: Column) -> Column:
+            count = lambda s: F.size(F.filter(found, lambda x: x["severity"] == s))
+            details = F.struct(found.alias("issues"))
+            return (
+                F.when(count("error") > 0, self.fails(F.format_string("Safety check failed: %d critical issue(s)", count("error")), details))
+                .when(count("warning") > 0, self.warns(F.format_string("Safety warnings: %d warning(s)", count("warning")), details))
+                .otherwise(self.passes("All safety checks passed"))
+            )
+
+        return F.when(~is_object(r.value) | bad, self.crash("malformed usage or response")).otherwise(bound(bound(self.content(r), issues), verdict))
 
 
 class JsSafetyGuard(Guard):
@@ -113,16 +117,14 @@ class JsSafetyGuard(Guard):
     name = "SafetyGuard"
 
     def column(self, r: Response) -> Column:
-        content = F.coalesce(SafetyGuard.content(r), F.lit(""))
         names = {"email": "email", "phone": "phone", "ssn": "ssn", "creditCard": "credit_card"}
-        pii = F.array_compact(F.array(*[F.when(searched(content, PII_PATTERNS[p]), F.lit(n)) for n, p in names.items()]))
-        injection = F.lit(False)
-        for p in INJECTION_PATTERNS[:5]:
-            injection = injection | searched(content, p, True)
-        return (
-            F.when(injection, self.fails("BLOCKED: Prompt injection detected"))
-            .when(F.size(pii) > 0, self.warns(F.concat(F.lit("Safety issues detected: "), F.array_join(pii, ", ")), F.struct(pii.alias("pii"))))
-            .otherwise(self.passes("All safety checks passed"))
-        )
 
+        def verdict(content: Column) -> Column:
+            pii = F.array_compact(F.array(*[F.when(searched(content, PII_PATTERNS[p]), F.lit(n)) for n, p in names.items()]))
+            injection = F.lit(False)
+            for p in INJECTION_PATTERNS[:5]:
+                injection = injection | searched(content, p, True)
+            warned = lambda found: F.when(F.size(found) > 0, self.warns(F.concat(F.lit("Safety issues detected: "), F.array_join(found, ", ")), F.struct(found.alias("pii")))).otherwise(self.passes("All safety checks passed"))
+            return F.when(injection, self.fails("BLOCKED: Prompt injection detected")).otherwise(bound(pii, warned))
 
+        return bound(F.coalesce(SafetyGuard.content(r), F.lit("")), verdict)

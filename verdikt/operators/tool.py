@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions.regexes import searched
-from ..functions.values import get, has, is_array, is_object, items, kind
+from ..functions.values import bound, get, has, is_array, is_object, items, kind
 from .base import Guard, Response
 
 # Tools blocked by default, and dangerous patterns in arguments.
@@ -36,6 +37,36 @@ CALL = "struct<tool_name:string,name:string,toolName:string,arguments:string>"
 SHAPE = f"struct<type:string,tool_name:string,name:string,toolName:string,arguments:string,tool_calls:array<{CALL}>,toolCalls:array<{CALL}>,choices:array<struct<message:struct<tool_calls:array<{CALL}>>>>>"
 
 
+class PythonValidator:
+    """A Python validator of a tool: arguments (as read from JSON) to (valid, message).  It runs in Arrow batches; its exception is a failure that blocks."""
+
+    def __init__(self, check: Callable[[object], tuple[bool, str]]):
+        self.check = check
+
+
+def python_failures(validators: dict[str, PythonValidator], calls: Column) -> Column:
+    """For each call (struct of tool and arguments) what its validator has against it, or NULL."""
+    checks = {name: v.check for name, v in validators.items()}
+
+    @F.pandas_udf("array<string>")
+    def run(batch: pd.Series) -> pd.Series:
+        import json
+
+        def said(call: dict) -> str | None:
+            tool = call.get("tool")
+            if tool not in checks:
+                return None
+            try:
+                valid, message = checks[tool](json.loads(call["arguments"]))
+            except Exception as e:  # noqa: BLE001
+                return f"Tool validator error: {e}"
+            return None if valid else f"Tool '{tool}' validation failed: {message}"
+
+        return pd.Series([[said(c) for c in json.loads(x)] if x else [] for x in batch])
+
+    return run(F.to_json(calls, {"ignoreNullFields": "false"}))
+
+
 class ToolGuard(Guard):
     name = "ToolGuard"
 
@@ -46,11 +77,12 @@ class ToolGuard(Guard):
         use_default_blocklist: bool = True,
         dangerous_patterns: Iterable[str] | None = None,
         use_default_patterns: bool = True,
-        custom_validators: dict[str, Callable[[Column], tuple[Column, Column]]] | None = None,
+        custom_validators: dict[str, Callable[[Column], tuple[Column, Column]] | PythonValidator] | None = None,
         max_calls_per_response: int = 10,
         profile: str = "py",
     ):
-        """custom_validators: by tool, a function from the arguments column (JSON text) to (valid, message) columns.
+        """custom_validators: by tool, a function from the arguments column (JSON text) to (valid, message) columns, which must not raise
+        (``try_`` forms; NULL is not valid), or a ``PythonValidator``, whose exceptions are failures.
         profile: ``py`` or ``js`` (no cap, no provider choices, an empty allow list blocks all)."""
         self.js = profile == "js"
         self.blocked = sorted(set(blocked_tools or ()) | (set(BLOCKED_TOOLS) if use_default_blocklist else set()))
@@ -87,16 +119,28 @@ class ToolGuard(Guard):
         for p in self.patterns:
             rule = rule.when(searched(call["arguments"], p, self.js), found(F.lit("BLOCKED: Dangerous pattern detected in tool arguments"), tool=call["tool"], pattern=F.lit(p)))
         for name, validate in self.validators.items():
+            if isinstance(validate, PythonValidator):
+                rule = rule.when((call["tool"] == name) & call["said"].isNotNull(), found(call["said"], tool=call["tool"]))
+                continue
             valid, message = validate(call["arguments"])
             rule = rule.when((call["tool"] == name) & ~F.coalesce(valid, F.lit(False)), found(F.concat(F.lit(f"Tool '{name}' validation failed: "), message), tool=call["tool"]))
         return rule
 
     def column(self, r: Response) -> Column:
         calls = self.calls(r)
+        if python := {k: v for k, v in self.validators.items() if isinstance(v, PythonValidator)}:
+            calls = F.zip_with(calls, python_failures(python, calls), lambda c, said: c.withField("said", said))
+        return F.when(self.crashes(r), self.crash("malformed tool calls")).otherwise(bound(calls, self.verdict))
+
+    def verdict(self, calls: Column) -> Column:
         n = F.size(calls)
-        failure = F.get(F.filter(F.transform(calls, self.first_failure), lambda x: x.isNotNull()), F.lit(0))
-        out = F.when(self.crashes(r), self.crash("malformed tool calls")).when(n == 0, self.passes("No tool calls to verify"))
+        out = F.when(n == 0, self.passes("No tool calls to verify"))
         if not self.js:
             out = out.when(n > self.max_calls, self.fails(F.format_string(f"Too many tool calls: %d (max: {self.max_calls})", n)))
+        first = F.get(F.filter(F.transform(calls, self.first_failure), lambda x: x.isNotNull()), F.lit(0))
+        return out.otherwise(bound(first, lambda failure: self.told(failure, calls)))
+
+    def told(self, failure: Column, calls: Column) -> Column:
+        n = F.size(calls)
         failed = F.struct(F.lit(self.name).alias("guard"), F.lit(False).alias("passed"), failure["message"].alias("message"), failure["details"].alias("details"), F.lit("error").alias("severity"), F.lit(False).alias("crashed"))
-        return out.when(failure.isNotNull(), failed).otherwise(self.passes(F.format_string("All %d tool call(s) verified", n), F.struct(F.transform(calls, lambda c: c["shown"]).alias("tools_checked"))))
+        return F.when(failure.isNotNull(), failed).otherwise(self.passes(F.format_string("All %d tool call(s) verified", n), F.struct(F.transform(calls, lambda c: c["shown"]).alias("tools_checked"))))

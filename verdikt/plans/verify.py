@@ -13,16 +13,47 @@ from ..operators.schema import SchemaGuard
 SEVERITIES = ("error", "warning", "info")
 
 
-def parsed(responses: DataFrame, raw: str = "raw", context: str | None = None) -> DataFrame:
-    """Adds ``_raw, _value, _context``.  Text that is not JSON (or NaN, or repeats a key) is a response of type text."""
-    as_text = F.to_json(F.struct(F.lit("text").alias("type"), F.col(raw).alias("content")))
+#: Repeated keys of a JSON object: the last one counts.
+LAST_KEY_COUNTS = "spark.sql.variant.allowDuplicateKeys"
+#: A JSON string, or a number that JSON does not have but its readers take.
+STRING_OR_NAN = r'(?s)("(?:[^"\\]|\\.)*+")|-?(?:NaN|Infinity)'
+
+
+def fresh(name: str, df: DataFrame) -> str:
+    """A column name that ``df`` does not have (names are the same without case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def parsed(responses: DataFrame, raw: str = "raw", context: str | None = None) -> tuple[DataFrame, Response]:
+    """The rows with columns for the response (its text, value and context), under names that clash with none.
+
+    Text that is not one JSON value is a response of type text.  NaN and infinities are read (as strings of those names), and of
+    repeated keys the last one counts; the text of an object that repeats a key is written anew.
+    """
+    responses.sparkSession.conf.set(LAST_KEY_COUNTS, "true")
+    names = {c: fresh(f"_{c}", responses) for c in ("text", "list", "raw", "value", "context")}
+    col = lambda c: F.col(names[c])
+    marked = F.regexp_replace(raw, STRING_OR_NAN, "$1\u0001")
+    numbers = F.replace(F.replace(marked, F.lit('"\u0001'), F.lit('"')), F.lit("\u0001"), F.lit('"NaN"'))
     # Inside brackets, so that what stands behind a first value is not overlooked.
-    out = responses.withColumn("_list", F.try_parse_json(F.concat(F.lit("["), F.col(raw), F.lit("]"))))
-    single = F.coalesce(F.size(F.try_variant_get("_list", "$", "array<variant>")) == 1, F.lit(False)) | F.col(raw).isNull()
-    out = out.withColumn("_single", single).withColumn("_raw", F.when(F.col("_single"), F.col(raw)).otherwise(as_text))
+    as_list = lambda x: F.try_parse_json(F.concat(F.lit("["), x, F.lit("]")))
+    odd = F.col(raw).rlike("NaN|Infinity") & as_list(F.col(raw)).isNull()
+    out = responses.withColumn(names["text"], F.when(odd, numbers).otherwise(F.col(raw)))
+    out = out.withColumn(names["list"], as_list(col("text")))
+    single = F.coalesce(F.size(F.try_variant_get(col("list"), "$", "array<variant>")) == 1, F.lit(False))
+    value = F.when(single, F.try_variant_get(col("list"), "$[0]", "variant"))
+    out = out.withColumn(names["value"], value)
+    keys = F.json_object_keys(col("text"))
+    repeated = F.coalesce(F.size(keys) > F.size(F.array_distinct(keys)), F.lit(False))
+    as_text = F.to_json(F.struct(F.lit("text").alias("type"), F.col(raw).alias("content")))
+    parsed_raw = F.when(F.col(raw).isNull(), F.lit(None).cast("string")).when(col("value").isNull(), as_text).when(repeated, F.to_json(col("value"))).otherwise(col("text"))
     given = F.lit(None).cast("string") if context is None else F.col(context)
-    value = F.when(F.col("_single"), F.try_variant_get("_list", "$[0]", "variant")).otherwise(F.try_parse_json("_raw"))
-    return out.withColumns({"_value": value, "_context": F.try_parse_json(given)}).drop("_list", "_single")
+    out = out.withColumns({names["raw"]: parsed_raw, names["context"]: F.try_parse_json(given)})
+    out = out.withColumn(names["value"], F.when(col("value").isNull() & F.col(raw).isNotNull(), F.try_parse_json(col("raw"))).otherwise(col("value"))).drop(names["text"], names["list"])
+    return out, Response(col("raw"), col("value"), col("context"))
 
 
 class ResponseVerifier:
@@ -38,10 +69,10 @@ class ResponseVerifier:
         A NULL response is one that no guard can read: each guard fails with an error.
         """
         chosen = self.guards if guards is None else list(guards)
-        rows = parsed(responses, raw, context)
-        r = Response(F.col("_raw"), F.col("_value"), F.col("_context"))
+        rows, r = parsed(responses, raw, context)
         results = F.array(*[g.column(r) for g in chosen]) if chosen else F.array().cast("array<struct<guard:string,passed:boolean,message:string,details:string,severity:string,crashed:boolean>>")
-        return rows.withColumn("_results", results).select(*[F.col(c) for c in responses.columns], *self.folded(F.col("_results")))
+        own = fresh("_results", rows)
+        return rows.withColumn(own, results).select(*[F.col(c) for c in responses.columns], *self.folded(F.col(own)))
 
     def blocking(self, x: Column) -> Column:
         if not self.strict:
@@ -60,19 +91,21 @@ class ResponseVerifier:
             shown.alias("guard_results"),
             (F.size(blocks) > 0).alias("blocked"),
             F.get(blocks, F.size(blocks) - 1)["message"].alias("block_reason"),
-            F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("timestamp"),
+            F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("timestamp"),
         ]
 
     def verify_tool_call(self, calls: DataFrame, tool_name: str, arguments: str, guards: Sequence[Guard] | None = None) -> DataFrame:
         """tool_name and arguments (JSON) columns as responses of type tool_call."""
         raw = tool_call(F.col(tool_name), F.col(arguments))
-        return self.verify(calls.withColumn("_call", raw), guards, "_call").drop("_call")
+        own = fresh("_call", calls)
+        return self.verify(calls.withColumn(own, raw), guards, own).drop(own)
 
     def verify_structured_output(self, outputs: DataFrame, output: str, schema: dict | None = None, guards: Sequence[Guard] | None = None) -> DataFrame:
         """An output column (JSON); a schema that is not empty is checked first.  Default guards are not used."""
         chosen = [*([SchemaGuard(schema)] if schema else []), *(guards or ())]
         raw = F.concat(F.lit('{"type":"structured_output","output":'), F.coalesce(F.col(output), F.lit("null")), F.lit("}"))
-        return self.verify(outputs.withColumn("_output", raw), chosen, "_output").drop("_output")
+        own = fresh("_output", outputs)
+        return self.verify(outputs.withColumn(own, raw), chosen, own).drop(own)
 
 
 def tool_call(tool_name: Column, arguments: Column) -> Column:

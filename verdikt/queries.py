@@ -274,8 +274,69 @@ def parse_kinds(spark, sf_dir):
     from .plans.verify import parsed
 
     rows = table(spark, sf_dir, "events").select(F.col("props").alias("raw")).union(table(spark, sf_dir, "documents").select("text"))
-    kind = F.when(F.coalesce(F.variant_get("_value", "$.type", "string") == "text", F.lit(False)), "text").otherwise("object")
-    return parsed(rows).groupBy(kind.alias("kind")).agg(F.count("*").alias("n"))
+    rows, r = parsed(rows)
+    kind = F.when(F.coalesce(F.try_variant_get(r.value, "$.type", "string") == "text", F.lit(False)), "text").otherwise("object")
+    return rows.groupBy(kind.alias("kind")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT event_id, event_type <> 'purchase' AS verified, event_type = 'purchase' AS blocked, CASE WHEN event_type = 'purchase' THEN 'BLOCKED: Tool ''purchase'' is not allowed' END AS block_reason FROM events")
+def tool_odd_json(spark, sf_dir):
+    """NaN, infinities and repeated keys, which JSON readers take, hide no tool call."""
+    name = json_string(F.col("event_type"))
+    forms = [F.lit('"arguments":{"x":NaN}'), F.lit('"arguments":{"a":1,"a":"NaN"}'), F.lit('"arguments":[-Infinity,"a \\" NaN"]'), F.lit('"arguments":{}')]
+    tail = F.element_at(F.array(*forms), (F.col("event_id") % 4 + 1).cast("int"))
+    rows = table(spark, sf_dir, "events").withColumn("raw", F.concat(F.lit('{"type":"x","tool_name":"safe","type":"tool_call","tool_name":'), name, F.lit(","), tail, F.lit("}")))
+    return ResponseVerifier([ToolGuard(blocked_tools=["purchase"])]).verify(rows).select("event_id", "verified", "blocked", "block_reason")
+
+
+ARGUMENT_TYPES_SQL = """SELECT event_id, (event_id % 3 = 0)::INT + (event_id % 5 = 0)::INT + (event_id % 2 = 0)::INT + (event_id % 7 = 0)::INT + (event_id % 11 = 0)::INT AS n_errors FROM events"""
+
+
+@query(ARGUMENT_TYPES_SQL)
+def argument_types(spark, sf_dir):
+    """url, uuid, boolean, integer and a further argument: each is wrong in a part of the rows."""
+    e = F.col("event_id")
+    url = F.when(e % 3 == 0, F.lit("ftp://x")).otherwise(F.concat(F.lit("https://example.com/"), e.cast("string")))
+    uuid = F.when(e % 5 == 0, F.lit("123")).otherwise(F.concat(F.lit("00000000-0000-4000-8000-"), F.lpad(e.cast("string"), 12, "0")))
+    flag = F.when(e % 2 == 0, F.lit('"yes"')).otherwise(F.lit("true"))
+    number = F.when(e % 7 == 0, F.lit("1.5")).otherwise(F.lit("3"))
+    more = F.when(e % 11 == 0, F.lit(',"z":1')).otherwise(F.lit(""))
+    arguments = F.concat(F.lit('{"u":'), json_string(url), F.lit(',"i":'), json_string(uuid), F.lit(',"b":'), flag, F.lit(',"n":'), number, more, F.lit("}"))
+    rules = {"u": {"type": "url"}, "i": {"type": "uuid"}, "b": {"type": "boolean"}, "n": {"type": "integer"}}
+    rows = checked(table(spark, sf_dir, "events"), tool_call(F.lit("t"), arguments), ArgumentGuard(rules, allow_extra_args=False))
+    n = F.regexp_extract(result("message"), r"(\d+) error", 1)
+    return rows.select("event_id", F.when(result("passed"), 0).otherwise(F.try_to_number(n, F.lit("99")).cast("int")).alias("n_errors"))
+
+
+HARM = [("password = abc", 0), ("api_key: k", 1), ("the private key", 2), ("secret=1", 3), ("private-key", 4), ("nothing here", 5)]
+HARM_SQL = "SELECT event_id, event_id % 6 NOT IN (2, 5) AS blocked, CASE WHEN event_id % 6 NOT IN (2, 5) THEN 'Safety check failed: 1 critical issue(s)' END AS block_reason FROM events"
+
+
+@query(HARM_SQL)
+def safety_harmful(spark, sf_dir):
+    text = F.element_at(F.array(*[F.lit(t) for t, _ in HARM]), (F.col("event_id") % 6 + 1).cast("int"))
+    return checked(table(spark, sf_dir, "events"), content(text), SafetyGuard()).select("event_id", "blocked", "block_reason")
+
+
+@query("SELECT event_id, CASE WHEN event_type = 'purchase' THEN 422 ELSE 200 END AS status, CASE WHEN event_type = 'purchase' THEN 'ToolGuard' ELSE '' END AS failed FROM events")
+def request_tool_calls(spark, sf_dir):
+    """HTTP bodies with a tool guard before all others; whatever is not verified is answered with 422."""
+    from .sources.adapters import guard_tool_calls
+
+    rows = table(spark, sf_dir, "events").select("event_id", tool_call(F.col("event_type"), F.col("props")).alias("body"))
+    out = guard_tool_calls(rows, tool_guard=ToolGuard(blocked_tools=["purchase"]))
+    guards = F.from_json(F.get_json_object("out_body", "$.guards"), "array<struct<guard:string,message:string>>")
+    return out.select("event_id", F.col("status").cast("int").alias("status"), F.coalesce(F.array_join(guards["guard"], ","), F.lit("")).alias("failed"))
+
+
+@query("SELECT doc_id, regexp_matches(text, '(?i)[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\\.[a-zA-Z]{2,}') AS stopped FROM documents".replace("\\\\", "\\"))
+def response_warnings(spark, sf_dir):
+    """A response with no more than a warning is not verified, so it is stopped too."""
+    from .sources.adapters import guard_bodies
+
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.lit("/a").alias("path"), content(F.col("text")).alias("body"))
+    out = guard_bodies(rows, ResponseVerifier([SafetyGuard(check_injection=False, check_harmful=False, pii_allow_list=["phone", "ssn", "credit_card", "ip_address"])]), skip=["/health"])
+    return out.select("doc_id", (F.get_json_object("out_body", "$.code") == "VERIFICATION_FAILED").alias("stopped")).fillna(False)
 
 
 MULTI = f"""SELECT doc_id, 2 - (p <> '')::INT - (s)::INT AS guards_passed, (p <> '')::INT + s::INT AS guards_failed, s AS blocked, CASE WHEN s THEN 'Safety check failed: 1 critical issue(s)' END AS block_reason

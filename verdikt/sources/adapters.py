@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.base import Guard
-from ..plans.verify import ResponseVerifier, json_string
+from ..operators.tool import ToolGuard
+from ..plans.verify import ResponseVerifier, json_string, split, to_dict
 
 
 def from_completions(rows: DataFrame, response: str = "response") -> DataFrame:
@@ -44,12 +45,30 @@ def from_events(rows: DataFrame, event: str = "event", payload: str = "payload",
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
-def guard_bodies(rows: DataFrame, verifier: ResponseVerifier, body: str = "body", path: str = "path", skip: Sequence[str] = (), request: bool = False, guards: Sequence[Guard] | None = None) -> DataFrame:
-    """HTTP bodies: ``status`` and ``out_body``.  Paths that begin with one of skip (responses only) and rows without a body go through."""
+def guard_bodies(
+    rows: DataFrame, verifier: ResponseVerifier, body: str = "body", path: str = "path", skip: Sequence[str] = (), request: bool = False, guards: Sequence[Guard] | None = None, block_on_failure: bool = True
+) -> DataFrame:
+    """HTTP bodies: ``status`` and ``out_body``, beside the verdict.  Whatever is not verified is stopped, warnings and crashed guards too, and its body tells each failed
+    guard with its message.  Paths that begin with one of skip (responses only) and rows without a body go through.
+    Without block_on_failure all bodies go through, with their verdicts beside them."""
     verdicts = verifier.verify(rows, guards, raw=body)
     through = F.col(body).isNull()
     for prefix in () if request else skip:
-        through = through | F.col(path).startswith(prefix)
-    failed = F.to_json(F.struct(F.lit("REQUEST_BLOCKED" if request else "VERIFICATION_FAILED").alias("code"), F.col("block_reason").alias("reason"), F.filter("guard_results", lambda g: ~g["passed"])["guard"].alias("guards")))
-    stop = ~through & F.col("blocked")
+        through = through | F.coalesce(F.col(path).startswith(prefix), F.lit(False))
+    told = F.transform(F.filter("guard_results", lambda g: ~g["passed"]), lambda g: F.struct(g["guard"].alias("guard"), g["message"].alias("message")))
+    failed = F.to_json(F.struct(F.lit("REQUEST_BLOCKED" if request else "VERIFICATION_FAILED").alias("code"), F.col("block_reason").alias("reason"), told.alias("guards")))
+    stop = ~through & ~F.col("verified") & F.lit(block_on_failure)
     return verdicts.withColumns({"status": F.when(stop & F.lit(request), 422).otherwise(200), "out_body": F.when(stop, failed).otherwise(F.col(body))})
+
+
+def guard_tool_calls(rows: DataFrame, verifier: ResponseVerifier | None = None, body: str = "body", tool_guard: ToolGuard | None = None) -> DataFrame:
+    """Request bodies with a tool guard (the default one, if none is given) before the verifier's own guards."""
+    own = verifier.guards if verifier else []
+    return guard_bodies(rows, verifier or ResponseVerifier(), body, request=True, guards=[tool_guard or ToolGuard(), *own])
+
+
+def enforced(rows: DataFrame, verifier: ResponseVerifier, raw: str = "raw", context: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(released, refused): a response that is not verified is refused with ``payload`` and ``result`` (JSON); a released one carries its ``result``."""
+    verdicts = to_dict(verifier.verify(rows, raw=raw, context=context)).withColumnRenamed("as_json", "result").drop("as_text")
+    released, refused = split(verdicts)
+    return released, refused.withColumn("payload", F.col(raw))
