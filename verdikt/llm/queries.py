@@ -114,4 +114,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     from . import oracles
 
-    return oracles.SQL
+    return oracles.sql()
