@@ -311,6 +311,38 @@ def test_html(spark):
     assert got[0] == got[4] == "A & B\n\nFirst long sentence of text here.\n\nSecond é sentence ends." and got[1:4] == ["", "", ""]
 
 
+def test_html_keeps_what_is_shown():
+    """Only what is hidden by an attribute of that name or its own style goes; formulas, deep nesting and a head without end lose nothing."""
+    text = lambda page: [b[0] for b in html.leaf_blocks(page)]
+    assert text('<p>a</p><div style="overflow:hidden"><p>b</p></div><div data-x="hidden gem" class="overflow-hidden">c</div>') == ["a", "b", "c"]
+    assert text('<div hidden>a</div><div style="color:red; display : none">b</div><p aria-hidden=true>c</p><p hidden="">d</p><p>e</p>') == ["e"]
+    assert text("<p>one <math><mi>x</mi></math> two <noscript>three</noscript>") == ["one x two three"]
+    assert text("<html><head><title>t</title><body><p>a") == ["a"] and text("<head><meta x><p>a") == ["a"]
+    assert text("<b>" * 2000 + "<div hidden>" + "<i>" * 900 + "x</div>" + "<p>deep") == ["deep"]
+
+
+def test_toxicity_with_few_labels(spark):
+    frame = spark.createDataFrame([(k, "plain words here" if k > 1 else "you idiot") for k in range(30)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(k <= 1)) for k in range(30)], "doc_id long, toxic int")
+    model = toxicity.fit(frame, labels)
+    assert model.curve is not None and 0 < model.score("anything") < 0.3
+    long = "z" * 90
+    phrase = toxicity.Model({" idiot ": 5.0}, frozenset({f"{long} idiot"}))
+    assert [h[2:] for h in phrase.hits(toxicity.fold(f"a {long}  idiot b"))] == [(f"{long} idiot", "idiot b")] and phrase.features(f"{long} idiot") == (0.0, 0.0)
+
+
+def test_line_dedup_clashing_names(spark):
+    """Columns of any name come through; equal rows, nulls and empties too."""
+    names = ["_removed", "_uid", "removed", "kept_in", "n_lines", "document", "near_word", "near_bits", "_place", "hash", "key"]
+    rows = [(k, t, *([k] * len(names))) for k, t in ((1, "a line of text\nother one"), (2, "A  line of text\n"), (2, "A  line of text\n"), (3, None), (None, ""))]
+    frame = spark.createDataFrame(rows, ", ".join(["doc_id long", "text string", *[f"{c} long" for c in names]]))
+    got = line_dedup.dedup_documents(frame)
+    assert got.columns == frame.columns
+    assert sorted(((r.doc_id or 0), r.text or "", r["key"] or 0) for r in got.collect()) == [(0, "", 0), (1, "a line of text\nother one", 1), (2, "", 2), (2, "", 2), (3, "", 3)]
+    kept = decontaminate.keep_clean(frame.withColumnRenamed("key", "_key"), spark.createDataFrame([(1, "no such words")], "item_id long, text string"))
+    assert sorted((r["_key"] or 0) for r in kept.collect()) == [0, 1, 2, 2, 3]
+
+
 def test_line_dedup(spark, docs):
     line = "this is a line of some eleven words that comes again"
     rows = [(1, f"first unique line of five words\n{line}"), (2, f"{line.upper()}.\nsecond unique line with other words"), (3, "short\nshort"), (4, None), (5, ""), (None, f"tail text of five words\n{line}!")]

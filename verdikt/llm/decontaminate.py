@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import work_path
+from .common import fresh, split_near, work_path, written
 
 KEPT = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 SEGMENT = "part int, segment int, doc_ids array<bigint>, begins binary, terms binary, firsts binary, positions binary"
@@ -210,6 +210,9 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, width: int = 10) -
 def keep_clean(documents: DataFrame, benchmark: DataFrame, width: int = 10) -> DataFrame:
     """The documents without a window of the benchmark, with all their columns.  A doc_id with a hit goes with all its
     rows; rows with a null doc_id are judged by their text's hash."""
-    named = documents.withColumn("_key", F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")))
-    hit = decontaminate(named.select(F.col("_key").alias("doc_id"), "text"), benchmark, width).where("n_hit > 0").select(F.col("doc_id").alias("_key")).distinct()
-    return named.join(hit, "_key", "left_anti").select(documents.columns)
+    own = fresh("contaminated_key", documents)
+    key = F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text"))
+    hit = decontaminate(documents.select(key.alias("doc_id"), "text"), benchmark, width).where("n_hit > 0").select(F.col("doc_id").alias(own)).distinct()
+    hit = written(hit, "contaminated")
+    stay, near = split_near(documents, key, hit)
+    return stay.union(near.join(hit, key == F.col(own), "left_anti").select(documents.columns))

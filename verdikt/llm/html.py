@@ -30,22 +30,35 @@ from pyspark.sql import functions as F
 
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)", re.DOTALL)
 NAMES = re.compile(r"\b(class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
-HIDDEN = re.compile(r"\bhidden\b(?!\s*=\s*[\"']?false)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.IGNORECASE)
+ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]*)))?")
+NOT_SHOWN = re.compile(r"(?:^|;)\s*display\s*:\s*none\b", re.IGNORECASE)
 WORD = re.compile(r"[a-z]+|[A-Z][a-z]*")
 
 # Elements of the HTML standard by kind.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea noscript template iframe object svg math select option button title xmp noembed noframes".split())
+RAW = frozenset("script style textarea template iframe select option button title xmp noembed noframes".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 CLOSES_P = BLOCK - {"body", "html", "head", "caption", "tbody", "td", "tfoot", "th", "thead", "tr"}
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "p": BLOCK - {"p"}}
 
 
+def hidden(attributes: str) -> bool:
+    """Whether an element with these attributes is not shown: ``hidden``, ``aria-hidden="true"`` or a style of ``display: none``."""
+    low = attributes.lower()
+    if "hidden" not in low and "none" not in low:
+        return False
+    for m in ATTRIBUTE.finditer(attributes):
+        name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").strip()
+        if name == "hidden" and value.lower() != "false" or name == "aria-hidden" and value.lower() == "true" or name == "style" and NOT_SHOWN.search(value):
+            return True
+    return False
+
+
 def leaf_blocks(page: str) -> list[tuple[str, tuple[str, ...], tuple[str, ...], float]]:
     """(text, ancestors' tags, words of their names, share of its characters inside links) of each leaf block."""
     out: list = []
-    stack: list[tuple[str, tuple[str, ...], bool]] = []
+    stack: list[tuple[str, tuple[str, ...], bool, bool]] = []  # tag, words of its names, whether it is hidden, whether in a link (or something around it is)
     piece: list[str] = []
     linked = 0
 
@@ -53,7 +66,7 @@ def leaf_blocks(page: str) -> list[tuple[str, tuple[str, ...], tuple[str, ...],
         nonlocal linked
         text = " ".join(entities.unescape("".join(piece)).split())
         if text:
-            out.append((text, tuple(t for t, _, _ in stack), tuple(w for _, ws, _ in stack for w in ws), min(1.0, linked / max(1, sum(map(len, piece))))))
+            out.append((text, tuple(x[0] for x in stack), tuple(w for x in stack for w in x[1]), min(1.0, linked / max(1, sum(map(len, piece))))))
         piece.clear()
         linked = 0
 
@@ -61,7 +74,7 @@ def leaf_blocks(page: str) -> list[tuple[str, tuple[str, ...], tuple[str, ...],
         """Close the nearest open element of ``names``, unless one of ``stop`` is nearer."""
         for k in range(len(stack) - 1, -1, -1):
             if stack[k][0] in names:
-                if any(t in BLOCK for t, _, _ in stack[k:]):
+                if any(x[0] in BLOCK for x in stack[k:]):
                     end()
                 del stack[k:]
                 return True
@@ -71,9 +84,9 @@ def leaf_blocks(page: str) -> list[tuple[str, tuple[str, ...], tuple[str, ...],
 
     def take(text: str) -> None:
         nonlocal linked
-        if text and not any(h for _, _, h in stack):
+        if text and not (stack and stack[-1][2]):
             piece.append(text)
-            if any(t == "a" for t, _, _ in stack):
+            if stack and stack[-1][3]:
                 linked += len(text)
 
     at = 0
@@ -87,7 +100,7 @@ def leaf_blocks(page: str) -> list[tuple[str, tuple[str, ...], tuple[str, ...],
             continue
         name = name.lower()
         if slash:
-            if name in BLOCK or name == "a" or any(t == name for t, _, _ in stack):
+            if name in BLOCK or name == "a" or any(x[0] == name for x in stack):
                 close({name}, set() if name in BLOCK else {"td", "th", "table"})
             continue
         if name in RAW:
@@ -102,16 +115,16 @@ def leaf_blocks(page: str) -> list[tuple[str, tuple[str, ...], tuple[str, ...],
                 take(" " if name == "br" else "")
             continue
         if name in BLOCK:
+            if name not in ("html", "head") and any(x[0] == "head" for x in stack[:2]):
+                close({"head"}, set())  # its end may be left out
             if name in CLOSES_P:
                 close({"p"}, SCOPES["p"])
             if name in SIBLINGS:
                 close(SIBLINGS[name], SCOPES[name])
             end()
         words = tuple(w.lower() for x in NAMES.finditer(rest) for w in WORD.findall(x[2] or x[3] or x[4] or "")) if rest else ()
-        stack.append((name, words, name == "head" or bool(rest and HIDDEN.search(rest))))
-        if len(stack) > 400:  # a runaway of unclosed elements: the oldest inline one goes
-            k = next((k for k, x in enumerate(stack) if x[0] not in BLOCK), 0)
-            del stack[k]
+        above = stack[-1] if stack else ("", (), False, False)
+        stack.append((name, words, above[2] or name == "head" or bool(rest and hidden(rest)), above[3] or name == "a"))
     take(page[at:])
     end()
     return out

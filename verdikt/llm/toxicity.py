@@ -26,6 +26,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import written
+
 # Letters that look like Latin ones.
 CYRILLIC_GREEK = "аa вb еe кk мm нh оo рp сc тt уy хx ѕs іi јj ԁd ԛq ԝw ɡg αa βb εe ικ ιi κk νv οo ρp τt υu χx ɑa ıi ʟl ɴn ʀr"
 #: Digits and signs that stand for letters.
@@ -97,9 +99,13 @@ class Model:
         out = []
         for start, (p, w) in best.items():
             stop = folded.find(" ", start + 1)
-            word = folded[start + 1 : stop]
-            left, right = folded[max(0, start - 40) : start].split()[-1:], folded[stop : stop + 40].split()[:1]
-            out.append((p, w, " ".join([*left, word]), " ".join([word, *right])))
+            word, a, b = folded[start + 1 : stop], start, stop
+            while a > 0 and folded[a - 1] == " ":
+                a -= 1
+            while b < len(folded) and folded[b] == " ":
+                b += 1
+            left, right = folded[folded.rfind(" ", 0, a) + 1 : a], folded[b : max(b, folded.find(" ", b))]
+            out.append((p, w, f"{left} {word}".strip(), f"{word} {right}".strip()))
         return out
 
     def features(self, text: str) -> tuple[float, float]:
@@ -169,10 +175,12 @@ def fit(documents: DataFrame, labels: DataFrame, most_labels: int = 20_000, most
         yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in terms], pa.string()), pa.array([k for _, k in terms]), pa.array([found.get(t) or docs[t[1]] for t in terms], pa.int64())], ["pattern", "toxic", "n"])
 
     sums = rows.mapInArrow(count, "pattern string, toxic boolean, n bigint").groupBy("pattern").agg(F.sum(F.when(F.col("toxic"), F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(~F.col("toxic"), F.col("n")).otherwise(0)).alias("b"))
-    counts = {r.pattern: (r.a, r.b) for r in sums.where("a >= 4").orderBy(F.desc("a"), "pattern").limit(200_000).collect()}
-    n_toxic, n_clean = counts.pop("", (0, 0))
+    sums = written(sums, "patterns")
+    n_toxic, n_clean = next(((r.a, r.b) for r in sums.where("pattern = ''").collect()), (0, 0))
     if not n_toxic or not n_clean:
         return Model()
+    # As many as ``choose`` looks at, which needs a share of the toxic documents: bounded by what ``1 / share`` documents have.
+    counts = {r.pattern: (r.a, r.b) for r in sums.where((F.col("a") >= 0.75 * max(4, 0.01 * n_toxic)) & (F.col("pattern") != "")).collect()}
     model = Model(choose(counts, n_toxic, n_clean, least_weight, most_patterns))
 
     def phrases(batches):
