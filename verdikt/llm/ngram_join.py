@@ -273,27 +273,39 @@ def contested(rows: DataFrame, percent: int) -> DataFrame:
 
 def linked_in_blocks(rows: DataFrame, sets, percent: int) -> DataFrame:
     """Links (a, b) between the components in each pair of blocks; rows: ``sig, i, j, own, key, root, text``.
-    Intersections are counted exactly by way of an inverted list of the elements of block j, and of the similar
-    pairs a spanning forest is given, fewer than the rows that came."""
+    Two similar sets share one of their rarest elements (as many as a similar set may lack, and one), so an inverted list of those
+    of block j gives candidates, whose intersections are counted exactly; of the similar pairs a spanning forest is given, fewer than the rows that came."""
 
     def links(current, held):
         own = np.array([r[0] for r in held])
         found = sets([r[3] for r in held])
         size = np.array([len(x) for x in found], np.int64)
-        _, local = np.unique(np.concatenate(found), return_inverse=True)
+        _, local, often = np.unique(np.concatenate(found), return_inverse=True, return_counts=True)
+        rank = np.empty(len(often), np.int64)
+        rank[np.argsort(often, kind="stable")] = np.arange(len(often))
         owner, at = np.repeat(np.arange(len(held)), size), np.concatenate([[0], np.cumsum(size)])
-        mine = np.flatnonzero(own[owner] == current[2])
+        # Each set's elements, the rarest first.
+        local = np.sort(owner * len(often) + rank[local]) - owner * len(often)
+        rarest = size - -(-percent * size // 100) + 1
+        first = np.arange(len(local)) - at[owner] < rarest[owner]
+        mine = np.flatnonzero(first & (own[owner] == current[2]))
         mine = mine[np.argsort(local[mine], kind="stable")]
-        posted, ends = owner[mine], np.cumsum(np.bincount(local[mine], minlength=int(local.max(initial=0)) + 1))
+        posted, ends = owner[mine], np.cumsum(np.bincount(local[mine], minlength=len(often)))
         begins = np.concatenate([[0], ends[:-1]])
         _, part = np.unique(np.array([r[2] for r in held], np.int64), return_inverse=True)
-        out = []
+        out, marked = [], np.zeros(len(often), bool)
         for x in np.flatnonzero(own == current[1]).tolist():
-            terms = local[at[x] : at[x + 1]]
-            lists = [posted[a:b] for a, b in zip(begins[terms].tolist(), ends[terms].tolist())]
-            both = np.bincount(np.concatenate(lists) if lists else np.zeros(0, np.int64), minlength=len(held))
-            similar_to = np.flatnonzero((both > 0) & (part != part[x]) & (100 * both >= percent * (size + size[x] - both)))
-            for y in similar_to.tolist():
+            terms = local[at[x] : at[x] + min(rarest[x], size[x])]
+            lists = [posted[a:b] for a, b in zip(begins[terms].tolist(), ends[terms].tolist()) if a < b]
+            near = np.unique(np.concatenate(lists)) if lists else np.zeros(0, np.int64)
+            near = near[(part[near] != part[x]) & (100 * np.minimum(size[near], size[x]) >= percent * np.maximum(size[near], size[x]))]
+            if not len(near):
+                continue
+            marked[local[at[x] : at[x + 1]]] = True
+            starts = np.cumsum(size[near]) - size[near]
+            both = np.add.reduceat(marked[local[np.repeat(at[near] - starts, size[near]) + np.arange(int(size[near].sum()))]], starts, dtype=np.int64)
+            marked[local[at[x] : at[x + 1]]] = False
+            for y in near[100 * both >= percent * (size[near] + size[x] - both)].tolist():
                 if part[y] != part[x]:
                     part[part == part[y]] = part[x]
                     out.append((held[x][1], held[y][1]))
