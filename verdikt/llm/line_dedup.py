@@ -74,10 +74,20 @@ def line_sets(lines: list[bytes]) -> list[np.ndarray]:
     if not lines:
         return []
     codes, at, counts = codes_of(lines)
-    total = np.zeros(len(at), np.uint64)
+    codes = codes.astype(np.uint64)
+    total = np.zeros(len(codes) - SHINGLE + 1, np.uint64)  # of each place, also of those between the lines
     for k, factor in enumerate(mix(np.arange(1, SHINGLE + 1, dtype=np.uint64))):
-        total += codes[at + k].astype(np.uint64) * factor
-    return [np.unique(x) for x in np.split(mix(total), np.cumsum(counts)[:-1])]
+        total += codes[k : k + len(total)] * factor
+    total = mix(total[at])
+    ends = np.cumsum(counts)
+    return [ascending(total[a:b]) for a, b in zip((ends - counts).tolist(), ends.tolist())]
+
+
+def ascending(x: np.ndarray) -> np.ndarray:
+    """Sorted in place, each value once."""
+    x.sort()
+    again = x[1:] == x[:-1]
+    return np.delete(x, np.flatnonzero(again)) if again.any() else x
 
 
 @functools.cache
