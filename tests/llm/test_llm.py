@@ -293,6 +293,24 @@ def test_packing(spark, docs):
     assert np.allclose(x, [3, 2], atol=1e-4)
 
 
+def test_workers_let_go_of_tokenizers(spark, docs):
+    def alive(batches):
+        import gc
+        import os
+
+        import pyarrow as pa
+
+        for _ in batches:
+            yield pa.RecordBatch.from_pydict({"pid": [os.getpid()], "n": [sum(isinstance(x, bpe.Encoder) for x in gc.get_objects())]})
+
+    encoders = lambda: {r.pid: r.n for r in spark.range(64, numPartitions=64).mapInArrow(alive, "pid long, n long").collect()}
+    packing.pack(docs.repartition(64), public_tokenizers.path("byte_bpe_50k.json"), end=1).count()
+    assert sum(encoders().values()) > 0  # for the next task of this operator
+    many = spark.range(64, numPartitions=64).selectExpr("id as doc_id", "'some text' as text")
+    assert toxicity.score(many, toxicity.Model()).where("score = 0").count() == 64
+    assert sum(encoders().values()) == 0
+
+
 def test_html(spark):
     model = html.trained()
     right = total = 0

@@ -26,6 +26,8 @@ from collections.abc import Sequence
 
 import numpy as np
 
+from .common import kept
+
 #: Marks a text's first piece; no byte of UTF-8.
 FIRST = b"\xff"
 BORDER = re.compile(r"(?<=\S) (?=\S)")
@@ -215,14 +217,9 @@ class Encoder:
         return ids, np.diff(bounds)
 
 
-_encoders: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
-    """One for each path and Python worker."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    """One for each path and Python worker, which may grow to some hundred MB."""
+    return kept(("encoder", path), lambda: Encoder(path))
 
 
 def documents_of(batches, path: str, end: int, most_bytes: int = 8_000_000):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 
 import numpy as np
@@ -108,6 +109,46 @@ def unpacked(x: bytes, kind) -> np.ndarray:
     return out.view(kind).ravel()
 
 
+#: What a Python worker keeps from task to task, by name.
+_kept: dict = {}
+
+
+def kept(name, make):
+    """``make()``, which this Python worker keeps for later tasks, until one comes that has no use for it (``lean``)."""
+    if name not in _kept:
+        _kept[name] = make()
+    return _kept[name]
+
+
+def let_go() -> None:
+    """Drop all that is ``kept``.  (A function of the module, since a closure would reach the executors with a ``_kept`` of its own.)"""
+    if _kept:
+        _kept.clear()
+        returned()
+
+
+def returned() -> None:
+    """Give freed memory back to the system.  Where the C library has no call for it, it stays with the process."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
+def lean(rows, keeps: bool = False):
+    """``rows`` for ``mapInArrow``, for Python workers that tasks of other operators had before and will have again: what those have
+    ``kept`` goes first, unless this one ``keeps`` such things too, and what the task has freed goes at its end."""
+
+    def alone(batches):
+        if not keeps:
+            let_go()
+        yield from rows(batches)
+        returned()
+
+    return alone
+
+
 def held_out(doc_id: Column, parts: int) -> Column:
     """crc32 of the id's decimal text, modulo ``parts``, is 2.  A null id is never held out."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % parts == 2, F.lit(False))

@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, split_near, work_path, written
+from .common import fresh, lean, split_near, work_path, written
 
 KEPT = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 SEGMENT = "part int, segment int, doc_ids array<bigint>, begins binary, terms binary, firsts binary, positions binary"
@@ -68,7 +68,7 @@ def build_index(documents: DataFrame, path: str, segment_bytes: int = 8_000_000)
                 first, segment = last, segment + 1
 
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    rows.mapInArrow(segments, SEGMENT).write.parquet(path)
+    rows.mapInArrow(lean(segments), SEGMENT).write.parquet(path)
 
 
 class Queries:
@@ -161,7 +161,7 @@ def counted(index: DataFrame) -> DataFrame:
                 n = len(begins) - 1
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(n, r["part"], np.int32)), pa.array(np.full(n, r["segment"], np.int32)), pa.array(np.arange(n, dtype=np.int32)), pa.array(r["doc_ids"], pa.int64()), pa.array(np.diff(begins) - 1)], ["part", "segment", "place", "doc_id", "n_words"])
 
-    return index.select("part", "segment", "doc_ids", "begins").mapInArrow(rows, "part int, segment int, place int, doc_id bigint, n_words bigint")
+    return index.select("part", "segment", "doc_ids", "begins").mapInArrow(lean(rows), "part int, segment int, place int, doc_id bigint, n_words bigint")
 
 
 def matches(index: DataFrame, queries: Queries, slack: int | None) -> DataFrame:
@@ -196,7 +196,7 @@ def matches(index: DataFrame, queries: Queries, slack: int | None) -> DataFrame:
                 out = [(r["part"], r["segment"], d, spans[d], sorted(x[0]), x[1]) for d, x in docs.items()]
                 yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, (_, t) in enumerate(kinds)], [n for n, _ in kinds])
 
-    return index.mapInArrow(rows, "part int, segment int, place int, spans array<struct<start:bigint,stop:bigint>>, items array<string>, n_near bigint")
+    return index.mapInArrow(lean(rows), "part int, segment int, place int, spans array<struct<start:bigint,stop:bigint>>, items array<string>, n_near bigint")
 
 
 def decontaminate(documents: DataFrame, benchmark: DataFrame, width: int = 10) -> DataFrame:

@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, packed, signed, unpacked
+from .common import lean, mix, packed, signed, unpacked
 
 BITS = 48
 HOT = 16
@@ -131,7 +131,7 @@ def exchanged(sent: DataFrame, buckets: int, facts: str) -> DataFrame:
             n = len(columns["set"])
             yield pa.RecordBatch.from_arrays([columns[f.name] if f.name in columns else pa.nulls(n, f.type) for f in rest_schema(batch.schema, names)], ["set", "uid", *names])
 
-    return sent.repartitionById(buckets, F.col("bucket")).mapInArrow(rows, f"set bigint, uid bigint, {facts}")
+    return sent.repartitionById(buckets, F.col("bucket")).mapInArrow(lean(rows), f"set bigint, uid bigint, {facts}")
 
 
 def rest_schema(schema, names: list[str]):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import dropped, written
+from .common import dropped, lean, written
 
 
 def forest(edges: DataFrame) -> DataFrame:
@@ -35,7 +35,7 @@ def forest(edges: DataFrame) -> DataFrame:
             some = nodes[k : k + 100_000]
             yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array([find(x) for x in some], pa.int64())], ["u", "v"])
 
-    return edges.hint("rebalance").mapInArrow(rows, "u bigint, v bigint")
+    return edges.hint("rebalance").mapInArrow(lean(rows), "u bigint, v bigint")
 
 
 def stars(edges: DataFrame) -> bool:

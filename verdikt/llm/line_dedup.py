@@ -27,7 +27,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import FILTER_BITS, fresh, mix, parts, signed, split_near, written
+from .common import FILTER_BITS, fresh, lean, mix, parts, signed, split_near, written
 from .exchange import Outbox, buckets_for, exchanged
 from .ngram_join import NO_ID, buckets_of, resolve
 
@@ -194,7 +194,7 @@ def duplicates(documents: DataFrame, bands: int, rows: int, percent: int, least_
                     yield batch(1, uid=uids[:1], signed=listed(new_keys[k : k + len(some)], [len(some)], "uint64"))
         yield from flushed()
 
-    base = written(exchanged(base_rows.mapInArrow(signed_rows, schema), buckets, FACTS), "lines")
+    base = written(exchanged(base_rows.mapInArrow(lean(signed_rows), schema), buckets, FACTS), "lines")
     owners = base.where("signed is not null").select("uid", F.posexplode("signed").alias("k", "key")).select((F.col("uid") + F.col("k")).alias("uid"), "key")
     sets = base.where("set is not null").select("set", "uid").distinct().join(owners, "uid").select("set", "key")
     candidates = written(buckets_of(sets), "buckets")
@@ -239,7 +239,7 @@ def texts_of(wanted: DataFrame, documents: DataFrame, least_words: int) -> DataF
                         found[key] = forms[k]
                 yield pa.RecordBatch.from_arrays([pa.array(np.array(list(found), np.uint64).view(np.int64)), pa.array(list(found.values()), pa.binary())], ["key", "text"])
 
-    near = documents.select("text").mapInArrow(rows, "key bigint, text binary")
+    near = documents.select("text").mapInArrow(lean(rows), "key bigint, text binary")
     return near.join(wanted, "key", "left_semi").dropDuplicates(["key"])
 
 

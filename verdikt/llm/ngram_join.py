@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words
-from .common import dropped, mix, parts, signed, split_near, written
+from .common import dropped, lean, mix, parts, signed, split_near, written
 from .exchange import OWNERS, Outbox, buckets_for, exchanged
 from .graph import components, merged
 
@@ -251,7 +251,7 @@ def by_block(rows: DataFrame, result, schema: str) -> DataFrame:
             yield told(found)
         yield told(result(current, held) if len(held) > 1 else [])
 
-    return rows.repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j").mapInArrow(rows_of, schema)
+    return rows.repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j").mapInArrow(lean(rows_of), schema)
 
 
 def contested(rows: DataFrame, percent: int) -> DataFrame:
@@ -340,7 +340,7 @@ def possible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
             keep = [int(np.abs(np.subtract(*histograms([p, q]))).sum()) * (100 + percent) <= (100 - percent) * m for m, p, q in zip(n, x, y)]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return sized.select("a", "b", (F.col("size_a") + F.col("size_b")).alias("n"), "bins_a", "bins_b").mapInArrow(near, "a bigint, b bigint")
+    return sized.select("a", "b", (F.col("size_a") + F.col("size_b")).alias("n"), "bins_a", "bins_b").mapInArrow(lean(near), "a bigint, b bigint")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, sets, percent: int, salts: int = 16) -> DataFrame:
@@ -364,7 +364,7 @@ def verified(pairs: DataFrame, texts: DataFrame, sets, percent: int, salts: int
                     out.append((x, y))
             yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in out], pa.int64()) for k in (0, 1)], ["a", "b"])
 
-    return written(others.union(pivots).repartition("a", "part").sortWithinPartitions("a", "part", "side").mapInArrow(linked, "a bigint, b bigint"), "links")
+    return written(others.union(pivots).repartition("a", "part").sortWithinPartitions("a", "part", "side").mapInArrow(lean(linked), "a bigint, b bigint"), "links")
 
 
 def restarted(buckets: DataFrame, roots: DataFrame, links: DataFrame) -> DataFrame:
@@ -464,7 +464,7 @@ def join(documents: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
                 yield batch(len(keys), uid=pa.array(uid, mask=~new), doc_id=part.column(0), size=size, key=pa.array(keys, mask=size == 0), hash=part.column(1), histogram=bins)
         yield from flushed()
 
-    base = written(exchanged(rows.mapInArrow(signed_rows, schema), buckets, FACTS), "sets")
+    base = written(exchanged(rows.mapInArrow(lean(signed_rows), schema), buckets, FACTS), "sets")
     facts = base.where("set is null and key is not null")
     classes = facts.groupBy("key").agg(F.min(F.when(F.col("doc_id") != NO_ID, F.col("doc_id"))).alias("smallest"), F.first("hash").alias("hash"), F.first("size").alias("size"), F.first("histogram", ignorenulls=True).alias("histogram"))
     classes = written(classes, "classes")

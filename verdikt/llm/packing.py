@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bpe
+from .common import lean
 
 PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
 
@@ -175,4 +176,4 @@ def pack(documents: DataFrame, tokenizer: str, end: int, window: int = 2048, blo
         yield rows(packer.finish())
 
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    return rows.mapInArrow(pieces, PIECES + ", ids binary" * with_ids)
+    return rows.mapInArrow(lean(pieces, keeps=True), PIECES + ", ids binary" * with_ids)

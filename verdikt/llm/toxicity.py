@@ -26,7 +26,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import lean, written
 
 # Letters that look like Latin ones.
 CYRILLIC_GREEK = "аa вb еe кk мm нh оo рp сc тt уy хx ѕs іi јj ԁd ԛq ԝw ɡg αa βb εe ικ ιi κk νv οo ρp τt υu χx ɑa ıi ʟl ɴn ʀr"
@@ -174,7 +174,7 @@ def fit(documents: DataFrame, labels: DataFrame, most_labels: int = 20_000, most
         terms = list(found) + [("", k) for k in docs]
         yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in terms], pa.string()), pa.array([k for _, k in terms]), pa.array([found.get(t) or docs[t[1]] for t in terms], pa.int64())], ["pattern", "toxic", "n"])
 
-    sums = rows.mapInArrow(count, "pattern string, toxic boolean, n bigint").groupBy("pattern").agg(F.sum(F.when(F.col("toxic"), F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(~F.col("toxic"), F.col("n")).otherwise(0)).alias("b"))
+    sums = rows.mapInArrow(lean(count), "pattern string, toxic boolean, n bigint").groupBy("pattern").agg(F.sum(F.when(F.col("toxic"), F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(~F.col("toxic"), F.col("n")).otherwise(0)).alias("b"))
     sums = written(sums, "patterns")
     n_toxic, n_clean = next(((r.a, r.b) for r in sums.where("pattern = ''").collect()), (0, 0))
     if not n_toxic or not n_clean:
@@ -193,7 +193,7 @@ def fit(documents: DataFrame, labels: DataFrame, most_labels: int = 20_000, most
                 out.append((toxic, math.log1p(sum(h[1] for h in hits)), sum(h[1] for h in hits) / math.sqrt(len(fold(text)) / 8 + 10), [x for h in hits for x in h[2:]]))
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.float64()), pa.array([x[2] for x in out], pa.float64()), pa.array([x[3] for x in out], pa.list_(pa.string()))], ["toxic", "a", "b", "phrases"])
 
-    seen = rows.mapInArrow(phrases, "toxic int, a double, b double, phrases array<string>").collect()
+    seen = rows.mapInArrow(lean(phrases), "toxic int, a double, b double, phrases array<string>").collect()
     clean = Counter(x for r in seen if r.toxic <= 0 for x in r.phrases)
     toxic = Counter(x for r in seen if r.toxic > 0 for x in r.phrases)
     model.exceptions = frozenset(x for x, n in clean.items() if n >= 5 and n > 4 * toxic[x] * n_clean / n_toxic)
@@ -212,7 +212,7 @@ def score(documents: DataFrame, model: Model) -> DataFrame:
             out = [model.score(t or "") for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.float64())], ["doc_id", "score"])
 
-    return documents.select("doc_id", "text").mapInArrow(rows, f"doc_id {documents.schema['doc_id'].dataType.simpleString()}, score double")
+    return documents.select("doc_id", "text").mapInArrow(lean(rows), f"doc_id {documents.schema['doc_id'].dataType.simpleString()}, score double")
 
 
 def reject(documents: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
@@ -226,4 +226,4 @@ def reject(documents: DataFrame, model: Model, threshold: float = 0.3) -> DataFr
             keep = [model.score(t or "") < threshold for t in batch.column(names.index("text")).to_pylist()]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return documents.mapInArrow(rows, documents.schema)
+    return documents.mapInArrow(lean(rows), documents.schema)
