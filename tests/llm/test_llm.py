@@ -311,6 +311,33 @@ def test_workers_let_go_of_tokenizers(spark, docs):
     assert sum(encoders().values()) == 0
 
 
+def test_pipeline_batches_have_a_bound(spark):
+    pytest.importorskip("corpus_pipeline")
+    import corpus_pipeline
+
+    def sizes(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"n": [batch.nbytes]})
+
+    wide, key = spark.range(0, 6000, 1, 1).selectExpr("id as doc_id", "repeat('x', 2200) as text"), "spark.sql.execution.arrow.maxBytesPerBatch"
+    for name, stage in corpus_pipeline.STAGES:
+        before = spark.conf.get(key)
+        try:
+            stage(spark, wide.limit(1), "/root/testdata/sf0.001")
+            assert max(r.n for r in wide.mapInArrow(sizes, "n long").collect()) <= corpus_pipeline.BATCH_BYTES, name
+        finally:
+            spark.conf.set(key, before)
+
+
+def test_encoder_with_few_kept():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    few, texts = bpe.Encoder(path, most=20, most_parts=10), [" ".join(f"w{k}, x{k * j}" for k in range(30)).encode() for j in range(9)]
+    for t in texts + texts:
+        assert few.encode([t])[0].tolist() == bpe.Encoder(path).tokenizer.encode(t.decode(), add_special_tokens=False).ids
+
+
 def test_html(spark):
     model = html.trained()
     right = total = 0

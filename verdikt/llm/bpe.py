@@ -77,7 +77,7 @@ def mode_of(tokenizer) -> str:
 class Encoder:
     """``encode(texts)`` gives all ids in a row and the number of ids of each text."""
 
-    def __init__(self, path: str, most: int = 300_000, most_parts: int = 1_200_000):
+    def __init__(self, path: str, most: int = 300_000, most_parts: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
