@@ -477,6 +477,88 @@ def test_links_in_blocks(spark, most_rows):
         assert want and got <= want and parts(got) == parts(want)
 
 
+def some_lines(r, n: int) -> list[bytes]:
+    """Lines of which many are near each other: short ones, long ones, some not ASCII, some that repeat themselves."""
+    letters = np.array(list("abcdefgh éß日𝄞"))
+    starts = ["".join(r.choice(letters, int(k))) for k in r.integers(1, 400, 12)] + ["ab cd " * 60, "x" * 300, "日本 " * 90]
+    out = []
+    for _ in range(n):
+        x = starts[int(r.integers(0, len(starts)))]
+        cut = int(r.integers(0, len(x) // 4 + 1))
+        out.append((x[cut:] + "".join(r.choice(letters, int(r.integers(0, 9))))).strip().encode() or b"-")
+    return out
+
+
+def test_rough_bounds_lose_no_pair():
+    """Every similar pair of lines passes the bit vectors, and nearly all pairs of unlike lines without many repeated shingles do not."""
+    lines = some_lines(np.random.default_rng(3), 250)
+    sets = line_dedup.line_sets(lines)
+    a, b = (np.ravel(x) for x in np.triu_indices(len(lines), 1))
+    jaccard = np.array([len(np.intersect1d(sets[x], sets[y])) / len(np.union1d(sets[x], sets[y])) for x, y in zip(a.tolist(), b.tolist())])
+    plain = np.array([len(s) > 30 and len(s) > 0.9 * (len(x.decode()) - 7) for x, s in zip(lines, sets)])
+    for percent in (60, 80, 95):
+        may = line_dedup.rough(lines, percent)(a, b)
+        assert (jaccard >= percent / 100).sum() > 100 and may[jaccard >= percent / 100].all()
+        n = [len(x) for x in lines]
+        near = np.array([0.8 * n[x] <= n[y] <= 1.25 * n[x] for x, y in zip(a.tolist(), b.tolist())])
+        assert may[(jaccard < 0.3) & plain[a] & plain[b] & near].mean() < 0.05
+    assert not len(line_dedup.rough(lines, 80)(a[:0], b[:0]))
+
+
+@pytest.mark.parametrize("most", [3, 1 << 18])
+def test_rows_left_open_in_blocks(most):
+    """Of several pairs of blocks, some with one block only, just the rows of a similar pair across blocks and components, in few or many pairs at once."""
+    r = np.random.default_rng(4)
+    lines = some_lines(r, 120)
+    sets = line_dedup.line_sets(lines)
+    groups = []
+    for k in range(60):
+        one, members = k % 3 == 0, r.choice(len(lines), 10, replace=False).tolist()
+        groups.append(((k, 0, 0 if one else 1), [(0 if one else int(r.integers(0, 2)), x, int(r.integers(0, 3)), lines[x]) for x in members]))
+    exact = lambda texts: lambda a, b: np.array([ngram_join.similar(*line_dedup.line_sets([texts[x], texts[y]]), 80) for x, y in zip(a.tolist(), b.tolist())], bool)
+    want = {}
+    for current, held in groups:
+        for x in held:
+            if any(ngram_join.similar(sets[x[1]], sets[y[1]], 80) and x[2] != y[2] and (current[1] == current[2] or x[0] != y[0]) for y in held):
+                want.setdefault(current, set()).add(x)
+    got = ngram_join.left_open(groups, exact, most)
+    assert 10 < len(want) < 60 and {current: set(held) for current, held in got} == want and all(len(held) == len(set(held)) for _, held in got)
+
+
+def test_blocks_compare_few_sets(spark):
+    """Unlike lines of a bucket are not split into sets for exact counts (before, all were), and the similar ones are still linked."""
+    r = np.random.default_rng(6)
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyz "))
+    lines = ["".join(r.choice(letters, 200)).replace(" ", "x").encode() for _ in range(200)]
+    lines.append(lines[0][:-3] + b"new")
+    rows = [(int(k) % 5, 0, 0, 0, k, k, x) for k, x in enumerate(lines)]
+    frame = spark.createDataFrame(rows, "sig long, i int, j int, own int, key long, root long, text binary")
+    read = spark.sparkContext.accumulator(0)
+
+    def sets(texts):
+        read.add(len(texts))
+        return line_dedup.line_sets(texts)
+
+    import functools
+
+    got = ngram_join.linked_in_blocks(frame, sets, 80, functools.partial(line_dedup.rough, percent=80)).collect()
+    assert {(r.a, r.b) for r in got} in ({(0, 200)}, {(200, 0)}) and read.value == 2
+
+
+def test_verified_over_many_rows(spark):
+    """A pivot's rows that come in several parts, among unlike ones: the same links with rough bounds as without, and as by hand."""
+    import functools
+
+    pivot = "the first line of some length that all the others are held against"
+    rows = [(k, f"{pivot if k % 3 else 'an altogether different beginning of a line that is of like size'} {k % 7}".encode()) for k in range(20_000)]
+    texts = spark.createDataFrame(rows, "key long, text binary").repartition(3)
+    pairs = spark.range(2, 20_000).selectExpr("1L as a", "id as b").union(spark.range(4, 40).selectExpr("3L as a", "id as b"))
+    want = {(1, k) for k in range(2, 20_000) if k % 3} | {(3, k) for k in range(4, 40) if k % 3 == 0}
+    for bound in (None, functools.partial(line_dedup.rough, percent=80)):
+        got = ngram_join.verified(pairs, texts, line_dedup.line_sets, 80, salts=1, rough=bound).collect()
+        assert len(got) == len(want) and {(r.a, r.b) for r in got} == want
+
+
 def test_components_and_merged(spark):
     """Random edges, a chain and a hub in two lots: the same roots as by union-find, and none without edges."""
     from verdikt.llm.graph import components, merged

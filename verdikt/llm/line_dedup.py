@@ -5,7 +5,8 @@ characters (a shorter line: the line).  MinHash: the shingles are dealt to ``ban
 its value, and an empty bin takes the value of the first bin with one in an order of its own (so that few shingles give values as
 independent as many do).  Bands of ``rows`` values agree with a probability of the Jaccard coefficient to the power ``rows``.  Lines that share a band are candidates: all of a bucket are verified
 exactly (Jaccard of the sets of code points, 80 % or more) against its smallest, then its hubs; those that stay in different components
-are verified against each other in blocks, by exact counts over an inverted list.  Distributed union-find then gives components, of which the first line
+are verified against each other in blocks, by exact counts over an inverted list.  Before exact counts, bit vectors of shingles rule out
+pairs that cannot be similar (``rough``).  Distributed union-find then gives components, of which the first line
 (by doc_id, then place) stays and all others are removed.
 
 A task signs each line once; bands meet as in ``exchange``.  Line texts are fetched for candidates only, by a second scan of the documents with a filter of fixed
@@ -96,15 +97,53 @@ def orders(bins: int) -> np.ndarray:
     return np.argsort(mix(np.arange(1, bins * bins + 1, dtype=np.uint64)).reshape(bins, bins), axis=1)
 
 
-def minhashes(lines: list[bytes], bins: int) -> np.ndarray:
-    """One row of values for each line."""
-    codes, n = padded(lines)
+def hashed(codes: np.ndarray) -> np.ndarray:
+    """Of each place a hash of the ``SHINGLE`` code points there, by their low bytes."""
     if codes.dtype != np.uint8:  # equal shingles stay equal
         codes = (codes ^ (codes >> 8) ^ (codes >> 16)).astype(np.uint8)
-    # Of each place a hash, also of those after a line's last shingle, which then count as empty.
     h = np.ndarray((len(codes) - SHINGLE + 1,), "<u8", codes.tobytes(), 0, (1,)) * np.uint64(0x9E3779B97F4A7C15)
     h ^= h >> np.uint64(32)
     h *= np.uint64(0xD6E8FEB86659FD93)
+    return h
+
+
+def rough(lines: list[bytes], percent: int):
+    """A function of two arrays of places in ``lines``: which of the pairs may be similar.
+
+    A line's bit vector has a bit for each shingle, so two vectors differ in no more bits than the sets do in elements, and similar sets
+    differ in a share of their sizes at most.  Repeated shingles count in the sizes here, which lets more pairs through but loses none; pairs of
+    lines of very different lengths go through as they are."""
+    codes, at, counts = codes_of(lines)
+    h = hashed(codes)[at]
+    # Two bits or more for each shingle.
+    wide = np.maximum(np.ceil(np.log2(counts)).astype(np.int64) + 3, 9)
+
+    def may(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        out = np.abs(wide[a] - wide[b]) > 1
+        width = np.where(out, 0, np.maximum(wide[a], wide[b]))
+        for w in np.flatnonzero(np.bincount(width)).tolist():
+            if w == 0:
+                continue
+            pairs, used = np.flatnonzero(width == w), np.zeros(len(lines), bool)
+            used[a[pairs]] = used[b[pairs]] = True
+            rank, n = np.cumsum(used) - 1, counts[used]
+            bits = np.zeros(len(n) << w, bool)
+            bits[(np.repeat(np.arange(len(n)), n) << w) + (h[np.repeat(used, counts)] >> np.uint64(64 - w)).astype(np.int64)] = True
+            vectors = np.packbits(bits).view(np.uint64).reshape(len(n), -1)
+            step = max(1, (1 << 24) >> w)
+            for some in (pairs[k : k + step] for k in range(0, len(pairs), step)):
+                x, y = a[some], b[some]
+                differ = np.bitwise_count(vectors[rank[x]] ^ vectors[rank[y]]).sum(axis=1, dtype=np.int64)
+                out[some] = differ * (100 + percent) <= (100 - percent) * (counts[x] + counts[y])
+        return out
+
+    return may
+
+
+def minhashes(lines: list[bytes], bins: int) -> np.ndarray:
+    """One row of values for each line."""
+    codes, n = padded(lines)
+    h = hashed(codes)  # also of places after a line's last shingle, which then count as empty
     value = h.astype(np.uint32)
     ends = np.cumsum(n + SHINGLE)
     for k in range(1, 2 * SHINGLE):
@@ -199,7 +238,7 @@ def duplicates(documents: DataFrame, bands: int, rows: int, percent: int, least_
     sets = base.where("set is not null").select("set", "uid").distinct().join(owners, "uid").select("set", "key")
     candidates = written(buckets_of(sets), "buckets")
     texts = written(texts_of(candidates.select("key").distinct(), base_rows, least_words), "texts")
-    roots = resolve(candidates, None, lambda wanted: texts, line_sets, percent)
+    roots = resolve(candidates, None, lambda wanted: texts, line_sets, percent, rough=functools.partial(rough, percent=percent))
     lines = base.where("places is not null").select("doc_id", "document", F.explode(F.arrays_zip("places", "keys")).alias("x")).select(F.col("x.keys").alias("key"), F.struct("doc_id", "document", F.col("x.places").alias("place")).alias("line"))
     by_key = lines.groupBy("key").agg(F.min("line").alias("first"), F.count("*").alias("n"))
     rooted = by_key.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))

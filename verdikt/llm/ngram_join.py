@@ -228,8 +228,37 @@ def dealt(members_of: DataFrame, roots: DataFrame, facts: DataFrame, most_rows:
     return others.select("sig", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "key", "root", *[c for c in facts.columns if c != "key"])
 
 
-def by_block(rows: DataFrame, result, schema: str) -> DataFrame:
-    """Rows that result((sig, i, j), rows of own, key, root and facts, the last a text or binary) gives for each pair of blocks."""
+def left_open(groups: list[tuple], rough, most: int = 1 << 18) -> list[tuple]:
+    """Of several pairs of blocks, each ``(sig, i, j)`` and its rows ``own, key, root, text``, the rows that ``rough`` leaves a partner in another component.
+    rough(texts) gives a function of two arrays of places in them, which tells the pairs that may be similar; ``most`` pairs are held at once."""
+    size = np.array([len(held) for _, held in groups], np.int64)
+    group = np.repeat(np.arange(len(groups)), size)
+    i, j = (np.array([current[k] for current, _ in groups], np.int64)[group] for k in (1, 2))
+    held = [r for _, some in groups for r in some]
+    own, root = (np.array([r[k] for r in held], np.int64) for k in (0, 2))
+    order = np.lexsort((own != i, group))  # of a pair of blocks the first one's rows come first
+    held, i, j, own, root = [held[k] for k in order.tolist()], i[order], j[order], own[order], root[order]
+    ends, firsts, places = np.cumsum(size)[group], np.bincount(group, own == i, len(groups)).astype(np.int64)[group], np.arange(len(held))
+    begin = np.where(i == j, places + 1, ends - size[group] + firsts)
+    n = np.where(own == i, ends - begin, 0)
+    before, may, open_ = np.concatenate([[0], np.cumsum(n)]), rough([r[-1] for r in held]), np.zeros(len(held), bool)
+    first = 0
+    while first < len(held):
+        last = max(first + 1, int(np.searchsorted(before, before[first] + most, side="right")) - 1)
+        x = np.repeat(places[first:last], n[first:last])
+        y = np.arange(before[first], before[last]) - np.repeat(before[first:last] - begin[first:last], n[first:last])
+        apart = root[x] != root[y]
+        x, y = x[apart], y[apart]
+        found = may(x, y)
+        open_[x[found]] = open_[y[found]] = True
+        first = last
+    bounds = np.concatenate([[0], np.cumsum(size)]).tolist()
+    return [(current, [held[k] for k in range(a, b) if open_[k]]) for (current, _), a, b in zip(groups, bounds, bounds[1:]) if open_[a:b].any()]
+
+
+def by_block(rows: DataFrame, result, schema: str, rough=None, load: int = 1 << 20) -> DataFrame:
+    """Rows that result((sig, i, j), rows of own, key, root and facts, the last a text or binary) gives for each pair of blocks.
+    With ``rough``, only rows that are ``left_open`` come to it; about ``load`` bytes of whole pairs of blocks go through that at once."""
 
     def rows_of(batches):
         import pyarrow as pa
@@ -239,17 +268,23 @@ def by_block(rows: DataFrame, result, schema: str) -> DataFrame:
         def told(found):
             return pa.RecordBatch.from_arrays([pa.array([int(r[k]) for r in found], pa.int64()) for k in range(len(names))], names)
 
-        held, current = [], None
+        def results(groups):
+            groups = [x for x in groups if len(x[1]) > 1]
+            return [r for current, held in (left_open(groups, rough) if rough and groups else groups) for r in result(current, held)]
+
+        groups, held = [], 0
         for batch in (p for whole in batches for p in parts(whole, whole.num_columns - 1)):
             found = []
             for r in zip(*(batch.column(k).to_pylist() for k in range(batch.num_columns))):
-                if r[:3] != current:
-                    if len(held) > 1:
-                        found += result(current, held)
-                    held, current = [], r[:3]
-                held.append(r[3:])
+                if not groups or r[:3] != groups[-1][0]:
+                    if held >= load or not rough:
+                        found += results(groups)
+                        groups, held = [], 0
+                    groups.append((r[:3], []))
+                groups[-1][1].append(r[3:])
+                held += len(r[-1]) + 64
             yield told(found)
-        yield told(result(current, held) if len(held) > 1 else [])
+        yield told(results(groups))
 
     return rows.repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j").mapInArrow(lean(rows_of), schema)
 
@@ -273,10 +308,10 @@ def contested(rows: DataFrame, percent: int) -> DataFrame:
     return by_block(rows, near, "sig bigint, i bigint, j bigint, own bigint, key bigint, root bigint")
 
 
-def linked_in_blocks(rows: DataFrame, sets, percent: int) -> DataFrame:
+def linked_in_blocks(rows: DataFrame, sets, percent: int, rough=None) -> DataFrame:
     """Links (a, b) between the components in each pair of blocks; rows: ``sig, i, j, own, key, root, text``.
     Two similar sets share one of their rarest elements (as many as a similar set may lack, and one), so an inverted list of those
-    of block j gives candidates, whose intersections are counted exactly; of the similar pairs a spanning forest is given, fewer than the rows that came."""
+    of block j gives candidates, whose intersections are counted exactly; of the similar pairs a spanning forest is given, fewer than the rows that came.  rough: see ``left_open``."""
 
     def links(current, held):
         own = np.array([r[0] for r in held])
@@ -313,7 +348,7 @@ def linked_in_blocks(rows: DataFrame, sets, percent: int) -> DataFrame:
                     out.append((held[x][1], held[y][1]))
         return out
 
-    return by_block(rows, links, "a bigint, b bigint").distinct()
+    return by_block(rows, links, "a bigint, b bigint", rough).distinct()
 
 
 def texts_of(wanted: DataFrame, classes: DataFrame, documents: DataFrame) -> DataFrame:
@@ -343,8 +378,8 @@ def possible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return sized.select("a", "b", (F.col("size_a") + F.col("size_b")).alias("n"), "bins_a", "bins_b").mapInArrow(lean(near), "a bigint, b bigint")
 
 
-def verified(pairs: DataFrame, texts: DataFrame, sets, percent: int, salts: int = 16) -> DataFrame:
-    """The pairs (a, b) of classes whose sets are similar; sets(texts) gives sorted distinct elements.
+def verified(pairs: DataFrame, texts: DataFrame, sets, percent: int, salts: int = 16, rough=None) -> DataFrame:
+    """The pairs (a, b) of classes whose sets are similar; sets(texts) gives sorted distinct elements (rough: see ``left_open``).
     b's texts come to a's, which is sent to each of ``salts`` parts of its pairs that has one."""
     dealt = pairs.withColumn("part", F.pmod(F.xxhash64("b"), F.lit(salts)).cast("int"))
     others = dealt.join(texts.withColumnRenamed("key", "b"), "b").select("a", "part", F.lit(1).alias("side"), "b", "text")
@@ -353,15 +388,20 @@ def verified(pairs: DataFrame, texts: DataFrame, sets, percent: int, salts: int
     def linked(batches):
         import pyarrow as pa
 
-        pivot = None
+        pivot = b""
         for part in (p for batch in batches for p in parts(batch, 4)):
-            a, side, b = (part.column(k).to_pylist() for k in (0, 2, 3))
-            out = []
-            for x, s, y, elements in zip(a, side, b, sets(part.column(4).to_pylist())):
-                if s == 0:
-                    pivot = elements
-                elif similar(pivot, elements, percent):
-                    out.append((x, y))
+            a, b = (part.column(k).to_pylist() for k in (0, 3))
+            is_pivot = part.column(2).to_numpy() == 0
+            rows = [pivot, *part.column(4).to_pylist()]  # a part's first pairs may be of the last pivot before
+            of = np.maximum.accumulate(np.where(is_pivot, np.arange(1, len(rows)), 0))
+            pivot = rows[of[-1]]
+            x, y = of[~is_pivot], np.flatnonzero(~is_pivot) + 1
+            if rough:
+                left = rough(rows)(x, y)
+                x, y = x[left], y[left]
+            wanted = np.unique(np.concatenate([x, y])).tolist()
+            found = dict(zip(wanted, sets([rows[k] for k in wanted]))) if wanted else {}
+            out = [(a[q - 1], b[q - 1]) for p, q in zip(x.tolist(), y.tolist()) if similar(found[p], found[q], percent)]
             yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in out], pa.int64()) for k in (0, 1)], ["a", "b"])
 
     return written(others.union(pivots).repartition("a", "part").sortWithinPartitions("a", "part", "side").mapInArrow(lean(linked), "a bigint, b bigint"), "links")
@@ -378,15 +418,16 @@ def restarted(buckets: DataFrame, roots: DataFrame, links: DataFrame) -> DataFra
     return pairs.select(F.least("key", "pivot").alias("a"), F.greatest("key", "pivot").alias("b")).distinct()
 
 
-def resolve(buckets: DataFrame, classes: DataFrame | None, texts, sets, percent: int, turns: int = 2) -> DataFrame:
+def resolve(buckets: DataFrame, classes: DataFrame | None, texts, sets, percent: int, turns: int = 2, rough=None) -> DataFrame:
     """``node, root`` of the classes linked to others.  First all of a bucket are verified against its pivot;
     in later turns against its hub, if still in different components; at last all of a bucket that still are, block by block.
-    texts(wanted) gives ``key, text`` of the wanted classes (``key``); classes, if given, have sizes and histograms, which spare the texts without a partner this."""
+    texts(wanted) gives ``key, text`` of the wanted classes (``key``); classes, if given, have sizes and histograms, which spare the texts without a partner this.
+    rough, if given, spares most pairs of texts the exact comparison (see ``left_open``)."""
 
     def held(pairs: DataFrame) -> DataFrame:
         if classes is not None:
             pairs = written(possible(pairs, classes, percent), "possible")
-        found = verified(pairs, texts(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()), sets, percent)
+        found = verified(pairs, texts(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()), sets, percent, rough=rough)
         if classes is not None:
             dropped(pairs)
         return found
@@ -408,7 +449,7 @@ def resolve(buckets: DataFrame, classes: DataFrame | None, texts, sets, percent:
     else:
         open_ = written(contested(dealt(buckets, roots, classes.select("key", "size", "histogram")), percent), "open")
         rows = open_.join(texts(open_.select("key").distinct()), "key").select("sig", "i", "j", "own", "key", "root", "text")
-    return merged(roots, written(linked_in_blocks(rows, sets, percent), "links"))
+    return merged(roots, written(linked_in_blocks(rows, sets, percent, rough), "links"))
 
 
 FACTS = "doc_id bigint, size bigint, key bigint, hash bigint, histogram binary"
