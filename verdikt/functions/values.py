@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,13 +13,30 @@ def bound(value: Column, make) -> Column:
     return F.get(F.transform(F.array(value), make), F.lit(0))
 
 
+@dataclass(frozen=True)
+class Known:
+    """A value whose kind is computed already; every function here takes one in a value's place."""
+
+    value: Column
+    kind: Column
+
+
+def known(v: Column, make) -> Column:
+    """make(Known), where the value and its kind are computed once."""
+    return bound(F.struct(v.alias("value"), kind(v).alias("kind")), lambda x: make(Known(x["value"], x["kind"])))
+
+
+def plain(v: Column | Known) -> Column:
+    return v.value if isinstance(v, Known) else v
+
+
 def path(*keys: str) -> str:
     return "$" + "".join('["' + k.replace('"', '\\"') + '"]' for k in keys)
 
 
 def get(v: Column, *keys: str) -> Column:
     """The value at a key: NULL if the key is missing, a variant null if it is null."""
-    return F.try_variant_get(v, path(*keys), "variant")
+    return F.try_variant_get(plain(v), path(*keys), "variant")
 
 
 def has(v: Column, key: str) -> Column:
@@ -26,11 +45,12 @@ def has(v: Column, key: str) -> Column:
 
 def kind(v: Column) -> Column:
     """STRING, BIGINT, DECIMAL(..), DOUBLE, BOOLEAN, VOID, OBJECT<..> or ARRAY<..>; '' if missing."""
-    return F.coalesce(F.schema_of_variant(v), F.lit(""))
+    return v.kind if isinstance(v, Known) else F.coalesce(F.schema_of_variant(v), F.lit(""))
 
 
 def is_object(v: Column) -> Column:
-    return kind(v).startswith("OBJECT")
+    """As a struct without fields, which looks at nothing inside; an object's kind lists all that it has."""
+    return kind(v).startswith("OBJECT") if isinstance(v, Known) else F.try_variant_get(v, "$", "struct<>").isNotNull()
 
 
 def is_array(v: Column) -> Column:
@@ -55,26 +75,30 @@ def is_number(v: Column) -> Column:
 
 
 def text(v: Column) -> Column:
-    return F.try_variant_get(v, "$", "string")
+    return F.try_variant_get(plain(v), "$", "string")
 
 
 def number(v: Column) -> Column:
     """As a double; also of number strings and booleans; NULL where that fails."""
-    return F.try_variant_get(v, "$", "double")
+    return F.try_variant_get(plain(v), "$", "double")
 
 
 def truthy(v: Column) -> Column:
     """False for what is missing, null, false, zero or empty."""
-    return F.coalesce(~F.to_json(v).isin("null", '""', "0", "0.0", "-0.0", "false", "{}", "[]"), F.lit(False))
+    if not isinstance(v, Known):
+        return known(v, truthy)
+    rest = F.coalesce(~text(v).isin("0", "0.0", "-0.0", "false"), F.lit(False))
+    first = F.try_variant_get(plain(v), "$[0]", "variant")
+    return F.when(v.kind == "STRING", text(v) != "").when(v.kind.startswith("OBJECT"), v.kind != "OBJECT<>").when(v.kind.startswith("ARRAY"), first.isNotNull()).otherwise(rest)
 
 
 def first_truthy(*values: Column) -> Column:
-    return F.coalesce(*[F.when(truthy(v), v) for v in values])
+    return F.coalesce(*[known(v, lambda x: F.when(truthy(x), x.value)) for v in values])
 
 
 def items(v: Column) -> Column:
     """An array's elements; NULL for anything else."""
-    return F.try_variant_get(v, "$", "array<variant>")
+    return F.try_variant_get(plain(v), "$", "array<variant>")
 
 
 def type_name(v: Column) -> Column:
@@ -93,7 +117,7 @@ def type_name(v: Column) -> Column:
 def shown(v: Column) -> Column:
     """How a value is written in messages."""
     k = kind(v)
-    return F.when(k == "VOID", F.lit("None")).when(k == "BOOLEAN", F.initcap(text(v))).when(k.startswith("OBJECT") | k.startswith("ARRAY"), F.to_json(v)).otherwise(text(v))
+    return F.when(k == "VOID", F.lit("None")).when(k == "BOOLEAN", F.initcap(text(v))).when(k.startswith("OBJECT") | k.startswith("ARRAY"), F.to_json(plain(v))).otherwise(text(v))
 
 
 def shown_number(x: Column) -> Column:

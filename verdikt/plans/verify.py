@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.values import bound
 from ..operators.base import Guard, Response
 from ..operators.schema import SchemaGuard
 
@@ -34,25 +35,24 @@ def parsed(responses: DataFrame, raw: str = "raw", context: str | None = None) -
     repeated keys the last one counts; the text of an object that repeats a key is written anew.
     """
     responses.sparkSession.conf.set(LAST_KEY_COUNTS, "true")
-    names = {c: fresh(f"_{c}", responses) for c in ("text", "list", "raw", "value", "context")}
+    names = {c: fresh(f"_{c}", responses) for c in ("text", "list", "read", "raw", "value", "context")}
     col = lambda c: F.col(names[c])
     marked = F.regexp_replace(raw, STRING_OR_NAN, "$1\u0001")
     numbers = F.replace(F.replace(marked, F.lit('"\u0001'), F.lit('"')), F.lit("\u0001"), F.lit('"NaN"'))
     # Inside brackets, so that what stands behind a first value is not overlooked.
     as_list = lambda x: F.try_parse_json(F.concat(F.lit("["), x, F.lit("]")))
-    odd = F.col(raw).rlike("NaN|Infinity") & as_list(F.col(raw)).isNull()
+    odd = (F.contains(raw, F.lit("NaN")) | F.contains(raw, F.lit("Infinity"))) & as_list(F.col(raw)).isNull()
     out = responses.withColumn(names["text"], F.when(odd, numbers).otherwise(F.col(raw)))
     out = out.withColumn(names["list"], as_list(col("text")))
-    single = F.coalesce(F.size(F.try_variant_get(col("list"), "$", "array<variant>")) == 1, F.lit(False))
-    value = F.when(single, F.try_variant_get(col("list"), "$[0]", "variant"))
-    out = out.withColumn(names["value"], value)
-    keys = F.json_object_keys(col("text"))
-    repeated = F.coalesce(F.size(keys) > F.size(F.array_distinct(keys)), F.lit(False))
+    at = lambda k: F.try_variant_get(col("list"), f"$[{k}]", "variant")
+    out = out.withColumn(names["read"], F.when(at(1).isNull(), at(0)))
+    repeated = F.coalesce(bound(F.json_object_keys(col("text")), lambda keys: F.size(keys) > F.size(F.array_distinct(keys))), F.lit(False))
     as_text = F.to_json(F.struct(F.lit("text").alias("type"), F.col(raw).alias("content")))
-    parsed_raw = F.when(F.col(raw).isNull(), F.lit(None).cast("string")).when(col("value").isNull(), as_text).when(repeated, F.to_json(col("value"))).otherwise(col("text"))
+    parsed_raw = F.when(F.col(raw).isNull(), F.lit(None).cast("string")).when(col("read").isNull(), as_text).when(repeated, F.to_json(col("read"))).otherwise(col("text"))
     given = F.lit(None).cast("string") if context is None else F.col(context)
-    out = out.withColumns({names["raw"]: parsed_raw, names["context"]: F.try_parse_json(given)})
-    out = out.withColumn(names["value"], F.when(col("value").isNull() & F.col(raw).isNotNull(), F.try_parse_json(col("raw"))).otherwise(col("value"))).drop(names["text"], names["list"])
+    # The value does not read the new text, which is not made at all if no guard looks at it.
+    value = F.coalesce(col("read"), F.when(F.col(raw).isNotNull(), F.try_parse_json(as_text)))
+    out = out.withColumns({names["raw"]: parsed_raw, names["value"]: value, names["context"]: F.try_parse_json(given)}).drop(names["text"], names["list"], names["read"])
     return out, Response(col("raw"), col("value"), col("context"))
 
 

@@ -34,6 +34,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame, key: str) -> DataFrame:
+    """The rows dealt over all cores: a file of long work may have them in one row group, which a single task reads."""
+    return rows.repartition(key)
+
+
 def content(text: Column) -> Column:
     return F.concat(F.lit('{"type":"text","content":'), json_string(text), F.lit("}"))
 
@@ -216,7 +221,7 @@ def argument_rules(spark, sf_dir):
         "name": {"type": "pattern", "pattern": "Customer#", "max_length": 17},
         "email": {"type": "email", "required": True},
     }
-    rows = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_acctbal", "c_mktsegment")
+    rows = spread(table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_acctbal", "c_mktsegment"), "c_custkey")
     raw = F.to_json(F.struct(F.struct(F.col("c_acctbal").alias("balance"), F.col("c_mktsegment").alias("segment"), F.col("c_name").alias("name")).alias("arguments")))
     out = checked(rows, raw, ArgumentGuard(rules))
     return out.select("c_custkey", F.coalesce(F.json_array_length(F.get_json_object(result("details"), "$.errors")), F.lit(0)).alias("n_errors"))
