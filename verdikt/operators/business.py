@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.values import first_truthy, get, has, is_array, is_number, is_object, is_string, items, kind, number, shown, text, truthy, type_name
+from ..functions.values import NUMBER_KINDS, Known, bound, first_truthy, get, has, is_array, is_number, is_object, is_string, items, kind, known, number, shown, text, truthy, type_name
 from .base import Guard, Response
 
 # Places that count as the United States.
@@ -71,8 +71,9 @@ class TaxGuard(Guard):
 def npv_engine(tolerance: float = 0.01) -> Engine:
     def run(cashflows: Column, rate: Column, said: Column) -> Column:
         value = F.aggregate(F.transform(cashflows, lambda c, t: c / F.pow(1 + rate, t)), F.lit(0.0), lambda a, x: a + x)
-        wrong = F.abs(value - said)
-        return F.struct((wrong <= tolerance).alias("verified"), F.concat(F.lit("NPV verification failed (difference="), wrong.cast("string"), F.lit("; computed="), value.cast("string"), F.lit("; llm_val="), said.cast("string"), F.lit(")")).alias("message"))
+        message = lambda x, wrong: F.concat(F.lit("NPV verification failed (difference="), wrong.cast("string"), F.lit("; computed="), x["value"].cast("string"), F.lit("; llm_val="), x["said"].cast("string"), F.lit(")"))
+        told = lambda x, wrong: bound(wrong <= tolerance, lambda ok: F.struct(ok.alias("verified"), F.when(~F.coalesce(ok, F.lit(False)), message(x, wrong)).alias("message")))
+        return bound(F.struct(value.alias("value"), said.alias("said")), lambda x: told(x, F.abs(x["value"] - x["said"])))
 
     return run
 
@@ -85,25 +86,36 @@ class FinanceGuard(Guard):
         self.npv = npv
 
     def column(self, r: Response) -> Column:
-        flows, said = get(r.value, "cashflows"), get(r.value, "npv")
-        given = F.coalesce(get(r.context, "context"), get(r.context, "type"))
-        context = F.coalesce(F.when(is_string(r.context), text(r.context)), text(F.coalesce(F.when(truthy(given), given), first_truthy(get(r.value, "context"), get(r.value, "type")))), F.lit(""))
-        rate = F.when(is_number(get(r.value, "discount_rate")), number(get(r.value, "discount_rate"))).otherwise(F.lit(0.0))
-        result = self.npv(F.transform(items(flows), number), rate, number(said))
+        # The caller's engine stays outside of lambdas, where it may be Python.
+        of_type = lambda v: F.when(truthy(v), v.value)
+        given = known(F.coalesce(get(r.context, "context"), get(r.context, "type")), of_type)
+        context = F.coalesce(F.when(is_string(r.context), text(r.context)), text(F.coalesce(given, first_truthy(get(r.value, "context"), get(r.value, "type")))), F.lit(""))
+        flows, said, rate = get(r.value, "cashflows"), get(r.value, "npv"), known(get(r.value, "discount_rate"), lambda v: F.when(is_number(v), number(v)).otherwise(F.lit(0.0)))
+        kinds = lambda v: F.transform(items(v), kind)
+        wrong = bound(F.struct(flows.alias("flows"), said.alias("said"), context.alias("context"), kinds(flows).alias("kinds")), self.wrong)
+        parts = F.struct(wrong.alias("wrong"), F.when(wrong.isNull(), self.npv(F.transform(items(flows), number), rate, number(said))).alias("result"))
+        not_object = self.fails(F.concat(F.lit("Invalid response type: expected dict, got "), type_name(r.value)))
+        return F.when(~is_object(r.value), not_object).otherwise(bound(parts, self.verdict))
+
+    def wrong(self, x: Column) -> Column:
+        """What keeps the engine from being asked, or NULL."""
+        flows, said, context, kinds = x["flows"], x["said"], x["context"], x["kinds"]
         both, one = flows.isNotNull() & said.isNotNull(), flows.isNotNull() | said.isNotNull()
         return (
-            F.when(~is_object(r.value), self.fails(F.concat(F.lit("Invalid response type: expected dict, got "), type_name(r.value))))
-            .when(context == "payment_instruction", self.fails("ISO verification for payment_instruction not implemented"))
-            .when(both & ~is_array(flows), self.fails(F.concat(F.lit("Invalid 'cashflows': expected list, got "), type_name(flows))))
-            .when(both & F.exists(items(flows), lambda x: kind(x) == "VOID"), self.fails("Invalid 'cashflows': list contains null entries"))
-            .when(both & F.exists(items(flows), lambda x: ~is_number(x)), self.fails("Invalid 'cashflows': list contains non-numeric entries"))
-            .when(both & (kind(said) == "VOID"), self.fails("Invalid 'npv': value must not be null"))
-            .when(both & F.coalesce(result["verified"], F.lit(False)), self.passes())
-            .when(both, self.fails(F.coalesce(result["message"], F.lit("NPV verification failed"))))
-            .when(one & context.isin("", "npv"), self.fails(F.concat(F.lit("Missing required field: '"), F.when(flows.isNotNull(), F.lit("npv")).otherwise(F.lit("cashflows")), F.lit("' for NPV calculation"))))
-            .otherwise(self.fails(F.concat(F.lit("Unrecognized finance context: "), context)))
+            F.when(context == "payment_instruction", F.lit("ISO verification for payment_instruction not implemented"))
+            .when(both & kinds.isNull(), F.concat(F.lit("Invalid 'cashflows': expected list, got "), type_name(flows)))
+            .when(both & F.exists(kinds, lambda k: k == "VOID"), F.lit("Invalid 'cashflows': list contains null entries"))
+            .when(both & F.exists(kinds, lambda k: ~k.rlike(NUMBER_KINDS)), F.lit("Invalid 'cashflows': list contains non-numeric entries"))
+            .when(both & (kind(said) == "VOID"), F.lit("Invalid 'npv': value must not be null"))
+            .when(both, F.lit(None).cast("string"))
+            .when(one & context.isin("", "npv"), F.concat(F.lit("Missing required field: '"), F.when(flows.isNotNull(), F.lit("npv")).otherwise(F.lit("cashflows")), F.lit("' for NPV calculation")))
+            .otherwise(F.concat(F.lit("Unrecognized finance context: "), context))
         )
 
+    def verdict(self, x: Column) -> Column:
+        result = x["result"]
+        return F.when(x["wrong"].isNotNull(), self.fails(x["wrong"])).when(F.coalesce(result["verified"], F.lit(False)), self.passes()).otherwise(self.fails(F.coalesce(result["message"], F.lit("NPV verification failed"))))
+
 
 class LegalGuard(Guard):
     name = "LegalGuard"
@@ -115,29 +127,53 @@ class LegalGuard(Guard):
         self.choice_of_law = choice_of_law
 
     def column(self, r: Response) -> Column:
+        # The caller's engine stays outside of lambdas, where it may be Python; what reads its result is computed once.
         v, none = r.value, F.array().cast("array<string>")
-        string = lambda k: F.when(is_string(get(v, k)), text(get(v, k)))
-        listed = F.transform(F.filter(items(get(v, "parties_countries")), truthy), lambda p: normalize_country(F.when(is_string(p), text(p))))
-        own = normalize_country(string("jurisdiction"))
-        parties = F.when(is_array(get(v, "parties_countries")), listed).otherwise(F.when(own != "", F.array(own)).otherwise(none))
-        asked = has(v, "governing_law") & has(v, "forum")
+        string = lambda k: known(get(v, k), lambda x: F.when(is_string(x), text(x)))
+        country = lambda p: known(p, lambda x: bound(F.when(is_string(x), text(x)), normalize_country))
+        listed = lambda xs: F.transform(F.filter(items(xs), truthy), country)
+        own = bound(bound(string("jurisdiction"), normalize_country), lambda c: F.when(c != "", F.array(c)).otherwise(none))
+        parties = known(get(v, "parties_countries"), lambda xs: F.when(is_array(xs), listed(xs)).otherwise(own))
         result = self.choice_of_law(parties, text(get(v, "governing_law")), text(get(v, "forum")))
-        skipped = F.when(asked & (F.size(parties) == 0), F.lit("Jurisdiction check skipped (missing party country information)")).when(asked & result.isNull(), F.lit("Jurisdiction check skipped: internal error (API mismatch)"))
-        mismatch = F.when(asked & (F.size(parties) > 0) & ~F.coalesce(result["verified"], F.lit(True)), F.coalesce(result["message"], F.lit("Jurisdiction Mismatch")))
-        clauses = F.when(truthy(get(v, "clauses")), items(get(v, "clauses")))
-        types = F.coalesce(F.transform(F.filter(clauses, is_object), lambda c: F.when(is_string(get(c, "type")), text(get(c, "type")))), none)
-        place = F.upper(F.trim(F.coalesce(string("jurisdiction"), F.lit(""))))
-        banned = F.when(place.isin("CA", "CALIFORNIA"), F.transform(F.filter(types, lambda t: t == "non_compete"), lambda t: F.lit("PROHIBITED_CLAUSE: Non-compete clauses are unenforceable in California."))).otherwise(none)
+        asked = has(v, "governing_law") & has(v, "forum")
+        law = bound(F.struct(asked.alias("asked"), F.size(parties).alias("parties"), result.alias("result")), self.law)
+        clauses = known(get(v, "clauses"), self.clauses)
+        parts = F.struct(law.alias("law"), clauses.alias("clauses"), F.upper(F.trim(F.coalesce(string("jurisdiction"), F.lit("")))).alias("place"), self.term(string("type"), get(v, "term_years")).alias("term"))
+        not_object = self.fails(F.concat(F.lit("Invalid response type: expected dict, got "), type_name(v)))
+        return F.when(~is_object(v), not_object).otherwise(bound(parts, self.verdict))
+
+    def law(self, x: Column) -> Column:
+        """struct<skipped, mismatch>, both messages."""
+        result = x["result"]
+        skipped = F.when(x["parties"] == 0, F.lit("Jurisdiction check skipped (missing party country information)")).when(result.isNull(), F.lit("Jurisdiction check skipped: internal error (API mismatch)"))
+        mismatch = F.when((x["parties"] > 0) & ~F.coalesce(result["verified"], F.lit(True)), F.coalesce(result["message"], F.lit("Jurisdiction Mismatch")))
+        return F.struct(F.when(x["asked"], skipped).alias("skipped"), F.when(x["asked"], mismatch).alias("mismatch"))
+
+    def clauses(self, v: Known) -> Column:
+        """struct<bad, types> of the clauses."""
+        name = lambda c: known(get(c, "type"), lambda t: F.when(is_string(t), text(t)))
+        types = F.coalesce(F.transform(F.filter(items(v), is_object), name), F.array().cast("array<string>"))
+        made = lambda there: F.struct((there & ~is_array(v) & ~is_string(v) & ~is_object(v)).alias("bad"), F.when(there, types).otherwise(F.array().cast("array<string>")).alias("types"))
+        return bound(truthy(v), made)
+
+    def term(self, kind_: Column, years: Column) -> Column:
+        long = lambda y: F.when(is_number(y) & (number(y) > 5), F.concat(F.lit("UNREASONABLE_TERM: "), shown(y), F.lit(" year term for NDA exceeds standard commercial practice (typically 2-5 years).")))
+        return F.when(kind_ == "NDA", known(years, long))
+
+    def verdict(self, x: Column) -> Column:
+        none, types = F.array().cast("array<string>"), x["clauses"]["types"]
+        banned = F.when(x["place"].isin("CA", "CALIFORNIA"), F.transform(F.filter(types, lambda t: t == "non_compete"), lambda t: F.lit("PROHIBITED_CLAUSE: Non-compete clauses are unenforceable in California."))).otherwise(none)
+        incomplete = lambda missing: F.when(F.size(missing) > 0, F.concat(F.lit("COMPLETENESS_WARNING: Missing standard clauses: ['"), F.array_join(missing, "', '"), F.lit("']")))
         missing = F.array_except(F.array(*map(F.lit, REQUIRED_CLAUSES)), types)
-        incomplete = F.when(F.size(missing) > 0, F.concat(F.lit("COMPLETENESS_WARNING: Missing standard clauses: ['"), F.array_join(missing, "', '"), F.lit("']")))
-        years = get(v, "term_years")
-        term = F.when((string("type") == "NDA") & is_number(years) & (number(years) > 5), F.concat(F.lit("UNREASONABLE_TERM: "), shown(years), F.lit(" year term for NDA exceeds standard commercial practice (typically 2-5 years).")))
-        flags = F.array_compact(F.concat(F.array(mismatch), banned, F.array(term)))
-        warnings = F.array_compact(F.array(skipped, incomplete))
+        flags = F.array_compact(F.concat(F.array(x["law"]["mismatch"]), banned, F.array(x["term"])))
+        warnings = F.array_compact(F.array(x["law"]["skipped"], bound(missing, incomplete)))
+        told = bound(F.struct(flags.alias("flags"), warnings.alias("warnings")), self.told)
+        return F.when(x["clauses"]["bad"], self.crash("clauses are not a list")).otherwise(told)
+
+    def told(self, x: Column) -> Column:
+        flags, warnings = x["flags"], x["warnings"]
         return (
-            F.when(~is_object(v), self.fails(F.concat(F.lit("Invalid response type: expected dict, got "), type_name(v))))
-            .when(truthy(get(v, "clauses")) & ~is_array(get(v, "clauses")) & ~is_string(get(v, "clauses")) & ~is_object(get(v, "clauses")), self.crash("clauses are not a list"))
-            .when(F.size(flags) > 0, self.fails(F.array_join(flags, "; "), F.struct(flags.alias("flags"), F.when(F.size(warnings) > 0, warnings).alias("warnings"))))
+            F.when(F.size(flags) > 0, self.fails(F.array_join(flags, "; "), F.struct(flags.alias("flags"), F.when(F.size(warnings) > 0, warnings).alias("warnings"))))
             .when(F.size(warnings) > 0, self.warns(F.array_join(warnings, "; "), F.struct(warnings.alias("warnings"))))
             .otherwise(self.passes())
         )

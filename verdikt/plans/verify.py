@@ -43,9 +43,8 @@ def parsed(responses: DataFrame, raw: str = "raw", context: str | None = None) -
     as_list = lambda x: F.try_parse_json(F.concat(F.lit("["), x, F.lit("]")))
     odd = (F.contains(raw, F.lit("NaN")) | F.contains(raw, F.lit("Infinity"))) & as_list(F.col(raw)).isNull()
     out = responses.withColumn(names["text"], F.when(odd, numbers).otherwise(F.col(raw)))
-    out = out.withColumn(names["list"], as_list(col("text")))
-    at = lambda k: F.try_variant_get(col("list"), f"$[{k}]", "variant")
-    out = out.withColumn(names["read"], F.when(at(1).isNull(), at(0)))
+    out = out.withColumn(names["list"], F.try_variant_get(as_list(col("text")), "$", "array<variant>"))
+    out = out.withColumn(names["read"], F.when(F.size(col("list")) == 1, F.get(col("list"), F.lit(0))))
     repeated = F.coalesce(bound(F.json_object_keys(col("text")), lambda keys: F.size(keys) > F.size(F.array_distinct(keys))), F.lit(False))
     as_text = F.to_json(F.struct(F.lit("text").alias("type"), F.col(raw).alias("content")))
     parsed_raw = F.when(F.col(raw).isNull(), F.lit(None).cast("string")).when(col("read").isNull(), as_text).when(repeated, F.to_json(col("read"))).otherwise(col("text"))

@@ -238,7 +238,7 @@ CASE WHEN c_custkey % 10 > 5 THEN 'UNREASONABLE_TERM: ' || (c_custkey % 10) || '
 FROM customer JOIN nation ON c_nationkey = n_nationkey)""")
 def legal_contracts(spark, sf_dir):
     nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
-    rows = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey").join(F.broadcast(nation), F.col("c_nationkey") == F.col("n_nationkey"))  # 25 rows
+    rows = spread(table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey"), "c_custkey").join(F.broadcast(nation), F.col("c_nationkey") == F.col("n_nationkey"))  # 25 rows
     k = F.col("c_custkey")
     contract = F.struct(
         F.lit("NDA").alias("type"),
