@@ -15,7 +15,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions.regexes import searched
-from ..functions.values import get, has, is_array, is_boolean, is_integer, is_object, is_string, kind, number, text
+from ..functions.values import bound, get, has, is_array, is_boolean, is_integer, is_object, is_string, kind, known, number, text
 from .argument import equal
 from .base import Guard, Response
 
@@ -186,25 +186,27 @@ class SchemaGuard(Guard):
                 for e in x if key == "enum" else [x]:
                     ok = ok | F.coalesce(strictly(e), F.lit(False))
                 add(~ok, f"not one of {x}" if key == "enum" else f"{x} was expected")
-        return [F.when(v.isNotNull(), e) for e in out]
+        return out
 
     def flat_errors(self, data: Column) -> Column:
-        out = [F.when(~is_object(data), F.lit("$: not of type 'object'"))]
+        none = F.array().cast("array<string>")
+        if_any = lambda out: F.array(*out).cast("array<string>") if out else none
         inside = []
         for key, x in self.schema.items():
             if key == "required":
-                inside += [F.when(~has(data, n), F.lit(f"$: '{n}' is a required property")) for n in x]
+                inside += [F.array(F.when(~has(data, n), F.lit(f"$: '{n}' is a required property"))) for n in x]
             elif key == "properties":
-                for n, s in x.items():
-                    inside += self.leaf_errors(n, s, get(data, n))
+                inside += [known(get(data, n), lambda v, n=n, s=s: F.when(v.value.isNull(), none).otherwise(if_any(self.leaf_errors(n, s, v)))) for n, s in x.items()]
             elif key == "additionalProperties" and x is False:
-                extra = F.array_except(F.map_keys(F.try_variant_get(data, "$", "map<string,variant>")), F.array(*map(F.lit, self.schema.get("properties", {}))).cast("array<string>"))
-                inside.append(F.when(F.size(extra) > 0, F.concat(F.lit("$: Additional properties are not allowed ("), F.array_join(extra, ", "), F.lit(")"))))
-        return F.array_compact(F.array(*out, *[F.when(is_object(data), e) for e in inside])).cast("array<string>")
+                unknown = F.array_except(F.map_keys(F.try_variant_get(data, "$", "map<string,variant>")), F.array(*map(F.lit, self.schema.get("properties", {}))).cast("array<string>"))
+                inside.append(bound(unknown, lambda extra: F.array(F.when(F.size(extra) > 0, F.concat(F.lit("$: Additional properties are not allowed ("), F.array_join(extra, ", "), F.lit(")"))))))
+        errors_ = F.array_compact(F.flatten(F.array(*inside))) if inside else none
+        return F.when(is_object(data), errors_).otherwise(F.array(F.lit("$: not of type 'object'")))
 
     def column(self, r: Response) -> Column:
         if is_flat(self.schema):
-            found, crashed = self.flat_errors(self.target(r)), F.lit(False)
+            found = bound(bound(self.target(r), self.flat_errors), self.verdict)
+            return F.when(~is_object(r.value), self.crash("invalid schema or response")).otherwise(found)
         else:
             schema = self.schema
 
@@ -220,12 +222,12 @@ class SchemaGuard(Guard):
 
             out = run(F.to_json(self.target(r)))
             found, crashed = F.coalesce(out, F.array().cast("array<string>")), out.isNull()
+        return F.when(~is_object(r.value) | crashed, self.crash("invalid schema or response")).otherwise(self.verdict(found))  # Python may not stand in a lambda's argument
+
+    def verdict(self, found: Column) -> Column:
         details = F.struct(F.slice(found, 1, 10).alias("errors"), F.size(found).alias("total_errors"))
-        return (
-            F.when(~is_object(r.value) | crashed, self.crash("invalid schema or response"))
-            .when(F.size(found) > 0, self.fails(F.format_string("Schema validation failed: %d error(s)", F.size(found)), details))
-            .otherwise(self.passes("Schema validation passed", F.struct(F.lit(True).alias("schema_valid"))))
-        )
+        failed = self.fails(F.format_string("Schema validation failed: %d error(s)", F.size(found)), details)
+        return F.when(F.size(found) > 0, failed).otherwise(self.passes("Schema validation passed", F.struct(F.lit(True).alias("schema_valid"))))
 
 
 class RequiredFieldsGuard(Guard):
