@@ -23,3 +23,14 @@ def test_values_are_read_once(spark, name):
 @pytest.mark.parametrize("name", ["argument_rules", "legal_contracts"])
 def test_rows_are_shared_out(spark, name):
     assert "RepartitionByExpression" in plan(spark, name)
+
+
+def test_addresses_are_searched_apart(spark):
+    from pyspark.sql import functions as F
+
+    from verdikt.operators.safety import PII_PATTERNS, found_in
+
+    texts = ["a@b.org", "a b", "@", "1.2.3.4", "x@y.com 123-45-6789", None]
+    got = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string").select("k", found_in(F.col("t"), PII_PATTERNS).alias("f"))
+    assert "contains(t" in got._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert [r.f for r in got.orderBy("k").collect()] == [["email"], [], [], ["ip_address"], ["email", "ssn"], []]

@@ -45,8 +45,11 @@ def found_in(content: Column, patterns: dict[str, str]) -> Column:
     if not patterns:
         return F.array().cast("array<string>")
     each = F.array_compact(F.array(*[F.when(searched(content, p, True), F.lit(n)) for n, p in patterns.items()]))
-    joint = "|".join(f"(?:{p})" for p in patterns.values())
-    return F.when(searched(content, joint, True), each).otherwise(F.array().cast("array<string>"))
+    joint = [p for n, p in patterns.items() if p != PII_PATTERNS["email"]]
+    any_ = searched(content, "|".join(f"(?:{p})" for p in joint), True) if joint else F.lit(False)
+    if len(joint) < len(patterns):  # an address has this sign, and without it the pattern tries every word from each of its letters
+        any_ = (F.contains(content, F.lit("@")) & searched(content, PII_PATTERNS["email"], True)) | any_
+    return F.when(any_, each).otherwise(F.array().cast("array<string>"))
 
 
 class SafetyGuard(Guard):
