@@ -75,6 +75,7 @@ def npv_engine(tolerance: float = 0.01) -> Engine:
         told = lambda x, wrong: bound(wrong <= tolerance, lambda ok: F.struct(ok.alias("verified"), F.when(~F.coalesce(ok, F.lit(False)), message(x, wrong)).alias("message")))
         return bound(F.struct(value.alias("value"), said.alias("said")), lambda x: told(x, F.abs(x["value"] - x["said"])))
 
+    run.expressions_only = True  # no Python, so it may stand in a lambda
     return run
 
 
@@ -92,9 +93,14 @@ class FinanceGuard(Guard):
         context = F.coalesce(F.when(is_string(r.context), text(r.context)), text(F.coalesce(given, first_truthy(get(r.value, "context"), get(r.value, "type")))), F.lit(""))
         flows, said, rate = get(r.value, "cashflows"), get(r.value, "npv"), known(get(r.value, "discount_rate"), lambda v: F.when(is_number(v), number(v)).otherwise(F.lit(0.0)))
         kinds = lambda v: F.transform(items(v), kind)
-        wrong = bound(F.struct(flows.alias("flows"), said.alias("said"), context.alias("context"), kinds(flows).alias("kinds")), self.wrong)
-        parts = F.struct(wrong.alias("wrong"), F.when(wrong.isNull(), self.npv(F.transform(items(flows), number), rate, number(said))).alias("result"))
+        read = F.struct(flows.alias("flows"), said.alias("said"), context.alias("context"), kinds(flows).alias("kinds"), rate.alias("rate"))
         not_object = self.fails(F.concat(F.lit("Invalid response type: expected dict, got "), type_name(r.value)))
+        if getattr(self.npv, "expressions_only", False):
+            asked = lambda x: self.npv(F.transform(items(x["flows"]), number), x["rate"], number(x["said"]))
+            checked = lambda x: bound(self.wrong(x), lambda w: F.when(w.isNotNull(), self.fails(w)).otherwise(bound(asked(x), self.of_result)))
+            return F.when(~is_object(r.value), not_object).otherwise(bound(read, checked))
+        wrong = bound(read, self.wrong)
+        parts = F.struct(wrong.alias("wrong"), F.when(wrong.isNull(), self.npv(F.transform(items(flows), number), rate, number(said))).alias("result"))
         return F.when(~is_object(r.value), not_object).otherwise(bound(parts, self.verdict))
 
     def wrong(self, x: Column) -> Column:
@@ -113,8 +119,10 @@ class FinanceGuard(Guard):
         )
 
     def verdict(self, x: Column) -> Column:
-        result = x["result"]
-        return F.when(x["wrong"].isNotNull(), self.fails(x["wrong"])).when(F.coalesce(result["verified"], F.lit(False)), self.passes()).otherwise(self.fails(F.coalesce(result["message"], F.lit("NPV verification failed"))))
+        return F.when(x["wrong"].isNotNull(), self.fails(x["wrong"])).otherwise(self.of_result(x["result"]))
+
+    def of_result(self, result: Column) -> Column:
+        return F.when(F.coalesce(result["verified"], F.lit(False)), self.passes()).otherwise(self.fails(F.coalesce(result["message"], F.lit("NPV verification failed"))))
 
 
 class LegalGuard(Guard):
